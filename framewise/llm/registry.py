@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import binary, lines, packing, quality
+from . import binary, decontaminate, lines, ngram_join, packing, quality
 
 
 def queries() -> dict:
     return {
         "op5_packing": packing.query,
+        "op6_decontaminate": decontaminate.query,
         "op7_quality": quality.query,
         "op8_token_binary": binary.query,
         "op9_line_dedup": lines.query,
+        "op10_ngram_join": ngram_join.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": lines.SQL}
+    return {"op9_line_dedup": lines.SQL, "op10_ngram_join": ngram_join.SQL}
