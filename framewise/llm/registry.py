@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import binary, decontaminate, lines, ngram_join, packing, quality
+from . import binary, decontaminate, lines, ngram_join, packing, pii, quality, topk
 
 
 def queries() -> dict:
     return {
+        "op3_top_k": topk.query,
+        "op4_pii": pii.query,
         "op5_packing": packing.query,
         "op6_decontaminate": decontaminate.query,
         "op7_quality": quality.query,
@@ -17,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": lines.SQL, "op10_ngram_join": ngram_join.SQL}
+    return {"op3_top_k": topk.SQL, "op9_line_dedup": lines.SQL, "op10_ngram_join": ngram_join.SQL}
