@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import binary, decontaminate, lines, ngram_join, packing, pii, quality, topk
+from . import binary, decontaminate, lines, lm_score, ngram_join, packing, pii, quality, topk
 
 
 def queries() -> dict:
     return {
+        "op1_lm_score": lm_score.query,
         "op3_top_k": topk.query,
         "op4_pii": pii.query,
         "op5_packing": packing.query,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_top_k": topk.SQL, "op9_line_dedup": lines.SQL, "op10_ngram_join": ngram_join.SQL}
+    return {"op1_lm_score": lm_score.SQL, "op3_top_k": topk.SQL, "op9_line_dedup": lines.SQL, "op10_ngram_join": ngram_join.SQL}
