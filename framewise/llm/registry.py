@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import binary, decontaminate, lines, lm_score, ngram_join, packing, pii, quality, topk
+from . import binary, decontaminate, lines, lm_score, ngram_join, packing, pii, quality, substring_dedup, topk
 
 
 def queries() -> dict:
     return {
         "op1_lm_score": lm_score.query,
+        "op2_substring_dedup": substring_dedup.query,
         "op3_top_k": topk.query,
         "op4_pii": pii.query,
         "op5_packing": packing.query,
