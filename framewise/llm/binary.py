@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import as_bytes, new_path, read_table, spread
-from .tokens import Ids, tokenizer_path
+from .tokens import ids_of, tokenizer_path
 
 END, SEGMENT_IDS, SAMPLE = 1, 1_000_000, 64
 _HEAD = struct.Struct("<IIB")  # values, bits of the upper part, lower bits of each value
@@ -89,7 +89,7 @@ def segments(docs: DataFrame, path: str | None = None, end: int = END, segment_i
     ordered = ordered.repartitionByRange(spread(docs), "doc_id").sortWithinPartitions("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, tail, part, before = Ids(path), end.to_bytes(4, "little"), TaskContext.get().partitionId(), 0
+        ids, tail, part, before = ids_of(path), end.to_bytes(4, "little"), TaskContext.get().partitionId(), 0
         width = 2 if max(ids.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else 4
         doc_ids, blobs, held = [], [], 0
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import as_bytes, read_table
-from .tokens import Ids, tokenizer_path
+from .tokens import ids_of, tokenizer_path
 
 SIZE, END, WINDOW = 4096, 2, 1024
 
@@ -88,7 +88,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int =
     schema = T.StructType([source.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in names[1:]]] + [T.StructField("ids", T.BinaryType())] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, packer, tail = Ids(path), Packer(size, window), end.to_bytes(4, "little")
+        ids, packer, tail = ids_of(path), Packer(size, window), end.to_bytes(4, "little")
         number, rows, kind = TaskContext.get().partitionId() << 36, [], None
 
         def put(pieces: list[tuple]) -> None:
