@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 
 def value_counts(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """(group, value, c, below, n): c rows have the value, `below` have smaller ones, n have any."""
+    """(group, value, c, below, n): c rows have the value, `below` have smaller ones, n have any. Other columns are dropped; the
+    group and value columns must have other names than these three."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("c"))
     totals = counts.groupBy(*group).agg(F.sum("c").alias("n"))
     w = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)

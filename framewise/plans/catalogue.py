@@ -580,8 +580,11 @@ def sky_projection(spark, d):
 
 
 def queries() -> dict:
+    from . import models  # noqa: F401  its queries register here
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
