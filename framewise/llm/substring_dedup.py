@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import U64, WordHashes, as_bytes, materialize, mix, ngrams, read_table
-from ._links import CLASSES, find_runs, resolve
+from ._links import find_runs, resolve, sketches
 
 WORDS, PERCENT, BANDS, ROWS = 5, 80, 12, 3
-LEAST_WORDS, LEAST_PASSAGE, REACH = 20, 30, 8
+LEAST_WORDS, LEAST_PASSAGE, REACH = 20, 24, 4
 PLACES = 1 << 22  # words of a document that have a place
 UNIT = 1 << 32  # added to n in rows that are units
 _A = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | U64(1)
@@ -112,9 +112,7 @@ def signatures(docs: DataFrame, least_words: int) -> DataFrame:
                 if sets:
                     sizes = np.array([len(s) for s in sets])
                     sig.append(min_bands(sets).ravel().view(np.int64)), node.append(np.repeat(own, BANDS)), n.append(np.repeat(sizes, BANDS))
-                    which = np.repeat(np.arange(len(sets)), sizes) * CLASSES + (np.concatenate(sets) & U64(CLASSES - 1)).astype(np.int64)
-                    classes = np.minimum(np.bincount(which, minlength=len(sets) * CLASSES), 65535).astype("<u2").tobytes()
-                    tail = -sizes - 1, [None] * len(sets), [classes[2 * CLASSES * i : 2 * CLASSES * (i + 1)] for i in range(len(sets))]
+                    tail = -sizes - 1, [None] * len(sets), sketches(np.concatenate(sets), sizes)
                 facts = np.concatenate((own, np.array([c[0] for c in copies], np.int64)))
                 sig.append(mix(facts.view(np.uint64)).view(np.int64)), node.append(facts), n.append(np.concatenate((tail[0], np.full(len(copies), -1))))
                 k = sum(map(len, sig)) - len(facts)
