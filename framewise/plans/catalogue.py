@@ -580,7 +580,7 @@ def sky_projection(spark, d):
 
 
 def queries() -> dict:
-    from . import models  # noqa: F401  its queries register here
+    from . import measures, models  # noqa: F401  their queries register here
 
     return dict(_QUERIES)
 
