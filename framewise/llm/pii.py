@@ -21,7 +21,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +39,11 @@ ACCEPT = 0.9
 # What may stand in an address, the four patterns, and word lists.
 EMAIL_LEFT = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 EMAIL = re.compile(rb"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(rb"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+IP = re.compile(rb"[0-9]+(?:\.[0-9]+)*")  # whole runs of dotted numbers; four numbers at a time are a match
 CARD = re.compile(rb"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
-LOOSE_EMAIL = re.compile(rb"[A-Za-z0-9._%+-]+\s*(?:\[at\]|\(at\)|\{at\}| at )\s*[A-Za-z0-9-]+(?:\s*(?:\[dot\]|\(dot\)|\{dot\}| dot |\.)\s*[A-Za-z0-9-]+)+", re.I)
+LOOSE_AT = re.compile(rb"\[at\]|\(at\)|\{at\}| at ", re.I)
+LOOSE_DOMAIN = re.compile(rb"\s{0,3}[A-Za-z0-9-]{1,63}(?:\s{0,3}(?:\[dot\]|\(dot\)|\{dot\}| dot |\.)\s{0,3}[A-Za-z0-9-]{1,63}){1,8}", re.I)
 LOOSE_NUMBER = re.compile(rb"\(?[0-9][0-9().\x20/-]{5,22}[0-9]")
 DOMAIN_ENDINGS = frozenset(b"com org net edu gov io de fr es uk it nl eu info co".split())
 CARD_PREFIXES = (b"4", b"51", b"52", b"53", b"54", b"55", b"34", b"37", b"6011", b"65", b"35")
@@ -94,14 +97,43 @@ def emails(text: bytes) -> Iterator[tuple[int, int]]:
         at = text.find(b"@", max(done, at + 1))
 
 
+def addresses(text: bytes) -> Iterator[tuple[int, int]]:
+    """Matches of four numbers with dots between, leftmost first: linear in the text, however long its runs of digits are."""
+    for m in IP.finditer(text):
+        if m.group().count(b".") >= 3:
+            parts, at = m.group().split(b"."), m.start()
+            for i in range(0, len(parts) - 3, 4):
+                size = sum(map(len, parts[i : i + 4])) + 3
+                yield at, at + size
+                at += size + 1
+
+
+def loose_emails(text: bytes) -> Iterator[tuple[int, int]]:
+    """A name, "at" in words or brackets, and a domain whose dots may be in words or brackets."""
+    done = 0
+    for m in LOOSE_AT.finditer(text):
+        domain = LOOSE_DOMAIN.match(text, m.end())
+        right = left = m.start()
+        while right > max(done, m.start() - 3) and text[right - 1] in b" \t\n":
+            right -= 1
+        left = right
+        while left > max(done, right - 64) and text[left - 1] in EMAIL_LEFT:
+            left -= 1
+        if domain and left < right and (m.group() != b" at " or re.search(rb"dot|\.", domain.group(), re.I)):
+            done = domain.end()
+            yield left, done
+
+
 _NUMERIC = re.compile(rb"[0-9]")
+_WRITTEN = re.compile(rb"[\[({]at[\])}]| dot |[\[({]dot[\])}]", re.I)
 
 
 def base_spans(text: bytes) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the base spans, in bytes."""
     out = [(0, a, b) for a, b in emails(text)]
     if _NUMERIC.search(text):
-        for k, pattern in ((1, IP), (2, CARD), (3, PHONE)):
+        out += [(1, a, b) for a, b in addresses(text) if check("ip", text[a:b])]
+        for k, pattern in ((2, CARD), (3, PHONE)):
             out += [(k, m.start(), m.end()) for m in pattern.finditer(text) if check(KINDS[k], m.group())]
     return out
 
@@ -111,9 +143,8 @@ def candidates(text: bytes) -> list[tuple[int, int, int, bool]]:
     out = [(k, a, b, True) for k, a, b in base_spans(text)]
     known = {(k, a, b) for k, a, b, _ in out}
     loose = []
-    if b"at" in text or b"AT" in text:
-        if re.search(rb"[\[({]at[\])}]|dot", text, re.I):
-            loose += [(0, m.start(), m.end()) for m in LOOSE_EMAIL.finditer(text)]
+    if _WRITTEN.search(text):
+        loose += [(0, a, b) for a, b in loose_emails(text)]
     if _NUMERIC.search(text):
         for m in LOOSE_NUMBER.finditer(text):
             d = len(_digits(m.group()))
@@ -249,11 +280,14 @@ def spans(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
             rows = []
             for own in batch.column(1).to_pylist():
                 base = sorted((s["kind"], s["first"], s["last"]) for s in own if s["base"])
-                taken, added = [x[1:] for x in base], []
+                starts = sorted(x[1:] for x in base)
+                ends = list(accumulate((x[1] for x in starts), max))  # the furthest end so far
+                added, last = [], 0
                 for s in sorted((s for s in own if not s["base"]), key=lambda s: (s["first"], s["last"], s["kind"])):
-                    if all(s["last"] <= a or s["first"] >= b for a, b in taken) and probability(s) >= accept:
+                    before = bisect_left(starts, (s["last"],))
+                    if s["first"] >= last and not (before and ends[before - 1] > s["first"]) and probability(s) >= accept:
                         added.append((s["kind"], s["first"], s["last"]))
-                        taken.append(added[-1][1:])
+                        last = s["last"]
                 join = lambda x: ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in x)
                 rows.append((*(sum(s[0] == k for s in base) for k in range(4)), hashlib.sha256(join(base).encode()).hexdigest(), join(sorted(base + added)), len(added)))
             columns = list(zip(*rows)) if rows else [[] for _ in names[1:]]

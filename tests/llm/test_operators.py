@@ -235,6 +235,16 @@ def test_base_spans_of_any_text(text):
     assert sorted((k, place[a], place[b]) for k, a, b in pii.base_spans(raw)) == brute_spans(text)
 
 
+def test_long_runs_take_linear_time():
+    for text in (b"1" * 300_000, b"a" * 300_000 + b" dot ", b"1." * 100_000, b" " * 300_000 + b"[at]", b"x@" * 100_000, b"+" * 300_000 + b"1"):
+        pii.candidates(text)
+
+
+def test_written_out_addresses_are_candidates():
+    text = b"write to jane.doe [at] example [dot] com or joe at mail dot example dot org now"
+    assert [text[a:b] for a, b in pii.loose_emails(text)] == [b"jane.doe [at] example [dot] com", b"joe at mail dot example dot org"]
+
+
 def test_expectation_maximisation_finds_the_reliable_labelers():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.3
