@@ -137,6 +137,21 @@ def ngrams(words: np.ndarray, n: int) -> np.ndarray:
     return mix(h + U64(n))
 
 
+def pack_ascending(values: np.ndarray) -> bytes:
+    """Ascending values as differences, in as many bytes each as the largest needs."""
+    d = np.concatenate((values[:1], np.diff(values))).astype("<u8")
+    width = max(1, (int(d.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + d.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack_ascending(blob: bytes) -> np.ndarray:
+    width = blob[0]
+    rows = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, width)
+    d = np.zeros((len(rows), 8), np.uint8)
+    d[:, :width] = rows
+    return np.cumsum(d.view("<u8").ravel(), dtype=np.uint64)
+
+
 def spread(df: DataFrame, share: int = 1) -> int:
     """A partition count for a keyed shuffle: what the session is set to, times `share`."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * share)

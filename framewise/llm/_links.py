@@ -6,21 +6,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import materialize, spread
+from ._common import materialize, pack_ascending, spread, unpack_ascending
 
 CHAIN = 2  # earlier members of its run that a member is compared with, besides the first
 WHOLE = CHAIN + 2  # in a run of so many members at most, that compares every two
+MOST_BROADCAST = 500_000
 BLOCK = 4096  # members of a run that are compared within one task
-CLASSES = 64  # of the sketch: how many elements of a set fall in each class
+CLASSES, WRAP = 256, 16  # of the sketch: how many elements of a set fall in each class, modulo WRAP
 
 
-def sketch(elements: np.ndarray) -> bytes:
-    """Elements in each of CLASSES classes, up to 65535. The sum of absolute differences never exceeds the symmetric difference of two sets."""
-    return np.minimum(np.bincount((elements & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES), 65535).astype("<u2").tobytes()
+def sketches(elements: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Of sets laid end to end: elements in each of CLASSES classes, modulo WRAP, two to a byte; then a 128-bit hash of the set."""
+    which = np.repeat(np.arange(len(sizes)), sizes) * CLASSES + (elements & np.uint64(CLASSES - 1)).astype(np.int64)
+    counts = (np.bincount(which, minlength=len(sizes) * CLASSES) % WRAP).astype(np.uint8).reshape(-1, CLASSES)
+    end = np.cumsum(sizes)
+    keys = (xxhash.xxh3_128_digest(elements[a:b].tobytes()) for a, b in zip(end - sizes, end))
+    return [x.tobytes() + key for x, key in zip(counts[:, ::2] << 4 | counts[:, 1::2], keys)]
+
+
+def _unpack(blobs: list[bytes]) -> np.ndarray:
+    both = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, CLASSES // 2 + 16)[:, : CLASSES // 2]
+    return np.concatenate((both >> 4, both & 15), axis=1)
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A lower bound of the symmetric difference: counts differ by the shorter way around at least."""
+    d = (x - y) & np.uint8(WRAP - 1)
+    return np.minimum(d, WRAP - d).sum(axis=1, dtype=np.int64)
 
 
 def find_runs(rows: DataFrame) -> DataFrame:
@@ -46,7 +63,7 @@ def find_runs(rows: DataFrame) -> DataFrame:
             keep = np.flatnonzero(n_all >= 0)
             if not len(keep):
                 continue
-            sig, node, n = (batch.column(i).to_numpy()[keep] for i in range(3))
+            sig, node, n = (batch.column(i).fill_null(0).to_numpy()[keep] for i in range(3))
             if tail is not None:  # as if the last run's first and latest members stood before this batch
                 sig, node, n = (np.concatenate((a, b)) for a, b in zip(tail["rows"], (sig, node, n)))
             fresh = np.ones(len(sig), bool)
@@ -96,7 +113,8 @@ def _most_apart(n: np.ndarray, o: np.ndarray, percent: int) -> np.ndarray:
 
 
 def near_sketches(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sketches allow the similarity. facts: (node, n, sketch), one row for each node."""
+    """(a, b, same, n) of the pairs whose sketches allow the similarity; same: the sets are equal, with n elements.
+    facts: (node, n, sketch), one row for each node."""
     side = lambda x: facts.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
 
@@ -104,16 +122,23 @@ def near_sketches(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, CLASSES).astype(np.int64) for i in (4, 5))
+            s, t = (batch.column(i).to_pylist() for i in (4, 5))
             n, o = (batch.column(i).to_numpy() for i in (2, 3))
-            ok = np.abs(x - y).sum(axis=1) <= _most_apart(n, o, percent)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+            ok = pa.array(_apart(_unpack(s), _unpack(t)) <= _most_apart(n, o, percent))
+            same = pa.array([x == y for x, y in zip(s, t)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), same, batch.column(2)], names=["a", "b", "same", "n"]).filter(ok)
+
+    return both.mapInArrow(run, "a long, b long, same boolean, n long")
 
-    return both.mapInArrow(run, "a long, b long")
+
+def pack_set(elements: np.ndarray) -> bytes:
+    """A sorted set for jaccard_links: the upper 48 bits of each 64-bit hash, as differences. Two elements of a pair of sets of a
+    thousand fall together once in 10^8 pairs."""
+    return pack_ascending(elements >> np.uint64(16))
 
 
 def jaccard_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, common, either) of the pairs whose sets have the similarity, exactly. sets: (node, elements: sorted unsigned 64-bit integers)."""
+    """(a, b, common, either) of the pairs whose sets have the similarity, exactly. sets: (node, elements: from pack_set)."""
     side = lambda x: sets.select(F.col("node").alias(x), F.col("elements").alias(f"e_{x}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "e_a", "e_b")
 
@@ -121,7 +146,7 @@ def jaccard_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             common, either = [], []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                x, y = unpack_ascending(x.as_py()), unpack_ascending(y.as_py())
                 if not len(x) or not len(y):
                     both = 0
                 else:
@@ -139,14 +164,17 @@ def jaccard_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def other_pairs(runs: DataFrame, facts: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """(a, b) of one run but of two components whose sizes and sketches allow the similarity; for runs where not every two were compared.
 
-    Runs within one component need nothing more. The others go to tasks in blocks of BLOCK members, each two blocks of a run
+    Runs whose members all are in their first's component need nothing more. The others go to tasks in blocks of BLOCK members, each two blocks of a run
     meeting in one task; only the pairs that pass leave it."""
-    long = runs.where("sig IS NOT NULL").groupBy("sig").agg(F.max("m").alias("m")).where(F.col("m") > WHOLE)
-    rows = runs.where("sig IS NOT NULL").select("sig", F.explode(F.array("node", "first")).alias("node")).distinct()
-    rows = rows.join(long, "sig").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rows = materialize(rows, "runs")
-    mixed = rows.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("sig")
-    rows = rows.join(mixed, "sig").join(facts.select("node", "n", "sketch"), "node")
+    real = runs.where("sig IS NOT NULL")
+    of = lambda node, comp: comps.select(F.col("node").alias(node), F.col("comp").alias(comp))
+    stars = real.select("first", "node").distinct().join(of("node", "own"), "node", "left").join(of("first", "its"), "first", "left")
+    apart = materialize(stars.where("coalesce(own, node) <> coalesce(its, first)").select("first", "node"), "apart")
+    mixed = materialize(real.join(sized(apart), ["first", "node"], "left_semi").select("sig").distinct(), "mixed")
+    found = materialize(real.join(sized(mixed), "sig", "left_semi").select("sig", "node", "first", "m"), "members")
+    long = found.groupBy("sig").agg(F.max("m").alias("m")).where(F.col("m") > WHOLE)
+    rows = found.select("sig", "node").unionByName(found.where("m = 2").select("sig", F.col("first").alias("node")))
+    rows = rows.join(long, "sig").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(facts.select("node", "n", "sketch"), "node")
     rows = rows.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "sketch")
@@ -162,14 +190,14 @@ def other_pairs(runs: DataFrame, facts: DataFrame, comps: DataFrame, percent: in
                 ok &= own[r] != own[k]
             if ok.any():
                 at = np.flatnonzero(ok) + k + 1
-                at = at[np.abs(sk[at] - sk[k]).sum(axis=1) <= _most_apart(n[at], n[k], percent)]
+                at = at[_apart(sk[at], sk[k]) <= _most_apart(n[at], n[k], percent)]
                 found[0].append(np.full(len(at), node[k])), found[1].append(node[at])
         return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(t: pa.Table) -> pa.RecordBatch:
             own, node, comp, n = (t.column(c).to_numpy() for c in ("own", "node", "comp", "n"))
-            sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u2").reshape(-1, CLASSES).astype(np.int32)
+            sk = _unpack(t.column("sketch").to_pylist())
             a, b = compare(own, node, comp, n, sk, t.column("i")[0].as_py(), t.column("j")[0].as_py())
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
 
@@ -191,6 +219,11 @@ def other_pairs(runs: DataFrame, facts: DataFrame, comps: DataFrame, percent: in
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row: broadcast if it has MOST_BROADCAST rows at most, else joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
 def components(links: DataFrame, tag: str = "components", most_rounds: int = 60) -> DataFrame:
     """(node, comp): comp is the smallest node that links (a, b) reach; only linked nodes have rows.
 
@@ -219,16 +252,20 @@ def components(links: DataFrame, tag: str = "components", most_rounds: int = 60)
 def resolve(runs: DataFrame, facts: DataFrame, sets_of, copies: DataFrame | None, percent: int) -> tuple[DataFrame, DataFrame]:
     """(components, links) of all pairs of one run whose sets have the similarity. facts: (node, n, sketch);
     sets_of(nodes) gives (node, elements) of a table of nodes; copies: links (a, b) already certain."""
-    near = lambda p, tag: materialize(near_sketches(p, facts, percent), tag)
     nodes = lambda p: p.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    pairs = near(first_pairs(runs, percent), "pairs")
-    links = materialize(jaccard_links(pairs, sets_of(nodes(pairs)), percent), "links")
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        return materialize(jaccard_links(pairs, sets_of(sized(materialize(nodes(pairs), "nodes"))), percent), "links")
+
+    pairs = materialize(near_sketches(first_pairs(runs, percent), facts, percent), "pairs")
+    links = exact(pairs.where("NOT same")).unionByName(pairs.where("same").select("a", "b", F.col("n").alias("common"), F.col("n").alias("either")))
     certain = links.select("a", "b") if copies is None else links.select("a", "b").unionByName(copies)
     comps = materialize(components(certain), "comps")
-    more = materialize(other_pairs(runs, facts, comps, percent), "pairs")
+    more = other_pairs(runs, facts, comps, percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    more = materialize(more, "pairs")
     if more.isEmpty():
         return comps, links
-    found = materialize(jaccard_links(more, sets_of(nodes(more)), percent), "links")
+    found = exact(more)
     if found.isEmpty():
         return comps, links
     return materialize(components(certain.unionByName(found.select("a", "b"))), "comps"), links.unionByName(found)

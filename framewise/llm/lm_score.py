@@ -8,7 +8,8 @@ millionth, so that sums don't depend on their order.
 Relationally: n-grams (order, hash) are exploded from chunks of documents and summed within a chunk; the count table is
 partitioned by hash, and each chunk's n-grams join it there; the counts return to the chunk, where its words are scored and
 summed by document. Rows are packed: one holds the n-grams of a chunk that fall in one hash range, as sorted 64-bit values less the range's first, so
-a common n-gram is one value for each chunk, however hot it is. A chunk is a hash class of documents; `chunk_chars` and
+a common n-gram is one value for each chunk, however hot it is. Unigrams and bigrams are counted first; a trigram is sent only
+if the bigrams that it begins and ends with reach `min_count`, as it can't be more frequent than they are. A chunk is a hash class of documents; `chunk_chars` and
 `range_grams` set how many classes and hash ranges there are from the corpus's size, so that either fits a task at any size.
 
 Defined results: null and empty texts have 0 words and score 0; repeated rows are counted and scored each; an empty table gives
@@ -24,11 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import P1, U64, WordHashes, as_bytes, ascii_words, mix, read_table
+from ._common import P1, U64, WordHashes, as_bytes, ascii_words, mix, pack_ascending, read_table, unpack_ascending
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
 CHUNK_CHARS, RANGE_GRAMS = 12_000_000, 4_000_000
-GRAMS = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("chunk", T.LongType()), T.StructField("grams", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+GRAMS = T.StructType([T.StructField("level", T.LongType()), T.StructField("bucket", T.LongType()), T.StructField("chunk", T.LongType()), T.StructField("grams", T.BinaryType()), T.StructField("counts", T.BinaryType())])
 
 
 def grams_of(words: np.ndarray, order: int) -> list[np.ndarray]:
@@ -47,21 +48,6 @@ def _count(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return grams[start], np.diff(np.concatenate((start, [len(grams)])))
 
 
-def _pack_grams(grams: np.ndarray) -> bytes:
-    """Ascending values as differences, in as many bytes each as the largest needs."""
-    d = np.concatenate((grams[:1], np.diff(grams))).astype("<u8")
-    width = max(1, (int(d.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + d.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def _unpack_grams(blob: bytes) -> np.ndarray:
-    width = blob[0]
-    rows = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, width)
-    d = np.zeros((len(rows), 8), np.uint8)
-    d[:, :width] = rows
-    return np.cumsum(d.view("<u8").ravel(), dtype=np.uint64)
-
-
 def _pack_counts(counts: np.ndarray) -> bytes:
     """Counts in the fewest of 1, 2, 4 or 8 bytes each."""
     top = int(counts.max(initial=0))
@@ -101,83 +87,110 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
     source = source.repartition(max(tables, min(n_chunks // 2, 20_000)), "chunk").sortWithinPartitions("chunk")
     step = (1 << 64) // n_ranges + 1
 
-    def words_of(texts: pa.ChunkedArray, memo: WordHashes) -> tuple[list[np.ndarray], np.ndarray]:
+    def words_of(texts: pa.ChunkedArray) -> tuple[list[list[np.ndarray]], np.ndarray]:
+        """(n-grams by order, of all the chunk's documents; words of each)."""
+        memo = WordHashes()
         words = [memo.of(ascii_words(t.as_py())) for c in texts.chunks for t in as_bytes(c)]
-        return words, np.array([len(w) for w in words], np.int64)
-
-    def grams_by_order(words: list[np.ndarray]) -> list[list[np.ndarray]]:
-        return list(zip(*[grams_of(w, order) for w in words]))
+        return [np.concatenate(g) for g in zip(*[grams_of(w, order) for w in words])], np.array([len(w) for w in words], np.int64)
+
+    def sent(level: int, chunk: int, flat: np.ndarray) -> pa.Table:
+        """A chunk's n-grams of a level, in rows by hash range."""
+        grams, counts = _count(flat)
+        edges = np.searchsorted(grams, np.array([i * step for i in range(n_ranges)], np.uint64))
+        rows = [(level, i, chunk, pack_ascending(grams[a:b] - U64(i * step)), _pack_counts(counts[a:b])) for i, (a, b) in enumerate(zip(edges, [*edges[1:], len(grams)])) if b > a]
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, _ARROW)], names=GRAMS.names)
+
+    def counts_by_word(flat: list[np.ndarray], n: np.ndarray, replies: pa.Table, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(c, place, wanted): c[k] is the count of the n-gram of order k that ends at each word, 0 where there is none or it can't reach
+        min_count; place is the word's place in its document; wanted: words whose n-gram of order levels + 1 may reach min_count."""
+        known: dict[int, list] = {}
+        for level, bucket, counts in zip(*(replies.column(c).to_pylist() for c in ("level", "bucket", "counts"))):
+            known.setdefault(level, []).append((bucket, counts))
+        known = {k: np.concatenate([_unpack_counts(x) for _, x in sorted(v)]) for k, v in known.items()}
+        first = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(first, n)
+        c = np.zeros((order + 1, len(place)), np.int64)
+        c[0] = n_words
+        both = min(2, order)
+        grams, _ = _count(np.concatenate(flat[:both]))
+        for k in range(both):
+            c[k + 1][place >= k] = known.get(both, c[0][:0])[np.searchsorted(grams, flat[k])]
+        wanted = np.zeros(len(place), bool)
+        for k in range(both + 1, levels + 2):  # an n-gram is at most as frequent as what it begins and ends with
+            often = c[k - 1] >= min_count
+            wanted = (place >= k - 1) & often & np.concatenate(([False], often[:-1]))
+            if k <= levels:
+                own = np.zeros(len(place), np.uint64)
+                own[place >= k - 1] = flat[k - 1]
+                grams, _ = _count(own[wanted])
+                c[k][wanted] = known.get(k, c[0][:0])[np.searchsorted(grams, own[wanted])]
+        return c, place, wanted
+
+    both = min(2, order)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         for table in _of_chunks(batches, "chunk"):
-            words, _ = words_of(table.column("text"), memo)
-            grams, counts = _count(np.concatenate([g for gs in grams_by_order(words) for g in gs]))
-            edges = np.searchsorted(grams, np.array([i * step for i in range(n_ranges)], np.uint64))
-            chunk = table.column("chunk")[0].as_py()
-            rows = [(i, chunk, _pack_grams(grams[a:b] - U64(i * step)), _pack_counts(counts[a:b])) for i, (a, b) in enumerate(zip(edges, [*edges[1:], len(grams)])) if b > a]
-            if not rows:
-                continue
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], names=GRAMS.names)
+            flat, _ = words_of(table.column("text"))
+            yield from sent(both, table.column("chunk")[0].as_py(), np.concatenate(flat[:both])).to_batches()
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _of_chunks(batches, "bucket"):
             chunks = table.column("chunk").to_pylist()
-            grams = [_unpack_grams(x.as_py()) for x in table.column("grams")]
+            grams = [unpack_ascending(x.as_py()) for x in table.column("grams")]
             counts = [_unpack_counts(x.as_py()) for x in table.column("counts")]
             all_grams, all_counts = np.concatenate(grams), np.concatenate(counts)
             by = np.argsort(all_grams, kind="stable")
             start = np.flatnonzero(np.concatenate(([True], all_grams[by][1:] != all_grams[by][:-1])))
-            sums = np.add.reduceat(all_counts[by], start)
             back = np.empty(len(by), np.int64)
-            back[by] = np.repeat(sums, np.diff(np.concatenate((start, [len(by)]))))
+            back[by] = np.repeat(np.add.reduceat(all_counts[by], start), np.diff(np.concatenate((start, [len(by)]))))
             at = 0
-            for chunk, g in zip(chunks, grams):
-                yield pa.RecordBatch.from_arrays([table.column("bucket")[:1].combine_chunks(), pa.array([chunk]), pa.nulls(1, pa.binary()), pa.array([_pack_counts(back[at : at + len(g)])], pa.binary())], names=GRAMS.names)
+            for row, (chunk, g) in enumerate(zip(chunks, grams)):
+                one = [table.column(c)[row : row + 1].combine_chunks() for c in ("level", "bucket")]
+                yield pa.RecordBatch.from_arrays(one + [pa.array([chunk]), pa.nulls(1, pa.binary()), pa.array([_pack_counts(back[at : at + len(g)])], pa.binary())], names=GRAMS.names)
                 at += len(g)
 
-    grams = source.mapInArrow(count, GRAMS).repartition(max(tables, min(n_ranges, 20_000)), "bucket").sortWithinPartitions("bucket", "chunk")
-    totals = grams.mapInArrow(total, GRAMS)
+    def totals(grams: DataFrame) -> DataFrame:
+        ranged = grams.repartition(max(tables, min(n_ranges, 20_000)), "bucket").sortWithinPartitions("bucket", "chunk")
+        return ranged.mapInArrow(total, GRAMS).select("level", "chunk", "bucket", "counts")
+
+    def next_level(level: int):
+        def pick(docs_of: pa.Table, replies: pa.Table) -> pa.Table:
+            flat, n = words_of(docs_of.column("text"))
+            _, place, wanted = counts_by_word(flat, n, replies, level - 1)
+            return sent(level, docs_of.column("chunk")[0].as_py(), flat[level - 1][wanted[place >= level - 1]])
+
+        return pick
+
+    chunks = source.groupBy("chunk")
+    answers = totals(source.mapInArrow(count, GRAMS))
+    for level in range(3, order + 1):
+        answers = answers.unionByName(totals(chunks.cogroup(answers.groupBy("chunk")).applyInArrow(next_level(level), GRAMS)))
     names = ["doc_id", "n_words", "log_score", "mean_log_score", "n_unseen"]
     out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("log_score", T.DoubleType()), T.StructField("mean_log_score", T.DoubleType()), T.StructField("n_unseen", T.LongType())])
 
-    def score(docs_of: pa.Table, counts_of: pa.Table) -> pa.Table:
-        memo = WordHashes()
-        words, n = words_of(docs_of.column("text"), memo)
-        per_order = grams_by_order(words)
-        flat = [np.concatenate(g) for g in per_order]
-        grams, _ = _count(np.concatenate(flat))
-        replies = sorted(zip(counts_of.column("bucket").to_pylist(), counts_of.column("counts").to_pylist()))
-        known = np.concatenate([_unpack_counts(c) for _, c in replies]) if replies else np.zeros(0, np.int64)
-        # Counts of the n-grams that end at each word, laid out by word; 0 where a document is too short for the order.
+    def score(docs_of: pa.Table, replies: pa.Table) -> pa.Table:
+        flat, n = words_of(docs_of.column("text"))
+        c, place, _ = counts_by_word(flat, n, replies, order)
         first = np.cumsum(n) - n
-        doc = np.repeat(np.arange(len(n)), n)
-        place = np.arange(int(n.sum())) - first[doc]
-        c = np.zeros((order + 1, len(doc)), np.int64)
-        c[0] = n_words
-        for k in range(order):
-            c[k + 1][place >= k] = known[np.searchsorted(grams, flat[k])]
-        value, unseen = np.zeros(len(doc)), np.zeros(len(doc), np.int64)
-        left = np.ones(len(doc), bool)
+        value, unseen = np.zeros(len(place)), np.zeros(len(place), np.int64)
+        left = np.ones(len(place), bool)
         for k in range(order, 0, -1):  # the context of an n-gram ends one word earlier
-            before = c[k - 1] if k == 1 else np.concatenate(([0], c[k - 1][:-1]))
+            before = c[0] if k == 1 else np.concatenate(([0], c[k - 1][:-1]))
             ok = left & (place >= k - 1) & (c[k] >= (min_count if k > 1 else 1))
-            value[ok] = c[k][ok] / before[ok]
             cost = np.minimum(order, place + 1) - k
-            value[ok] *= alpha ** cost[ok]
+            value[ok] = alpha ** cost[ok] * (c[k][ok] / before[ok])
             unseen[ok] = cost[ok] > 0
             left &= ~ok
-        micro = np.floor(np.log(value, where=value > 0, out=np.zeros(len(doc))) * 1e6 + 0.5).astype(np.int64)
+        micro = np.floor(np.log(value, where=value > 0, out=np.zeros(len(place))) * 1e6 + 0.5).astype(np.int64)
         total, backed = (np.concatenate(([0], np.cumsum(x)))[[first, first + n]] for x in (micro, unseen))
         total, backed = total[1] - total[0], backed[1] - backed[0]
         mean = np.floor(total / np.maximum(n, 1) + 0.5) / 1e6
         return pa.table([docs_of.column("doc_id"), pa.array(n), pa.array(total / 1e6), pa.array(mean), pa.array(backed)], names=names)
 
-    answers = totals.select("chunk", "bucket", "counts")
-    return source.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, out)
+    return chunks.cogroup(answers.groupBy("chunk")).applyInArrow(score, out)
 
 
-_ARROW = [pa.field("bucket", pa.int64()), pa.field("chunk", pa.int64()), pa.field("grams", pa.binary()), pa.field("counts", pa.binary())]
+_ARROW = [pa.field("level", pa.int64()), pa.field("bucket", pa.int64()), pa.field("chunk", pa.int64()), pa.field("grams", pa.binary()), pa.field("counts", pa.binary())]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

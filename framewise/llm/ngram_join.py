@@ -9,7 +9,7 @@ Sets with fewer such parts also sign their empty parts, and so meet each other.
 
 Signatures meet in one shuffle. In each run of equal signatures every member is compared with the first and those just
 before it; what that links is summed up to components, and members of different components are then compared in blocks.
-Sizes and 64-class sketches (lower bounds of the difference) discard pairs before exact sets are fetched. Texts met twice in
+Sizes and 256-class sketches (lower bounds of the difference) discard pairs before exact sets are fetched. Texts met twice in
 a task are signed once.
 
 Defined results: null, empty and blank texts have n_shingles 0 and are linked with nothing; a text of fewer than 5 words is
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import U64, WordHashes, as_bytes, ascii_words, map_texts, materialize, mix, ngrams, read_table
-from ._links import resolve, find_runs, sketch
+from ._links import find_runs, pack_set, resolve, sketches
 
 WORDS, PERCENT = 5, 80
 
@@ -95,7 +95,7 @@ def signatures(docs: DataFrame, percent: int, words: int) -> DataFrame:
                             seen[key] = doc
                             s = scheme.sign(e)
                             sigs.append(s), nodes.append(np.full(len(s), doc)), sizes.append(np.full(len(s), len(e)))
-                    facts.append((0 if doc is None else doc, doc, -len(e) - 1, copy_of, sketch(e)))
+                    facts.append((0 if doc is None else doc, doc, -len(e) - 1, copy_of, sketches(e, np.array([len(e)]))[0]))
                 own, nulls = [list(x) for x in zip(*facts)], sum(map(len, sigs))
                 spread_out = mix(np.array(own[0], np.int64).view(np.uint64)).view(np.int64)
                 columns = [
@@ -125,7 +125,7 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> tuple[D
         def run(texts: list) -> list:
             if not hasattr(run, "memo"):
                 run.memo = WordHashes()
-            return [[shingles(t, run.memo, words).tobytes() for t in texts]]
+            return [[pack_set(shingles(t, run.memo, words)) for t in texts]]
 
         return map_texts(fetched, run, [T.StructField("elements", T.BinaryType())], keep=["doc_id"]).withColumnRenamed("doc_id", "node")
 

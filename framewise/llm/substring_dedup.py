@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import U64, WordHashes, as_bytes, materialize, mix, ngrams, read_table
-from ._links import find_runs, resolve, sketches
+from ._links import find_runs, pack_set, resolve, sketches
 
 WORDS, PERCENT, BANDS, ROWS = 5, 80, 12, 3
 LEAST_WORDS, LEAST_PASSAGE, REACH = 20, 24, 4
@@ -136,7 +136,7 @@ def paragraph_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             for text, want in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist()):
                 words, places = paragraphs(text.as_py(), memo)
                 size = dict(p for p in places if p[1])
-                out = [(node, np.unique(ngrams(words[at : at + size[at]], WORDS)).tobytes()) for node in want if (at := node % PLACES) in size]
+                out = [(node, pack_set(np.unique(ngrams(words[at : at + size[at]], WORDS)))) for node in want if (at := node % PLACES) in size]
                 if out:
                     nodes, sets = zip(*out)
                     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "elements"])
