@@ -49,14 +49,15 @@ def _count(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pack_counts(counts: np.ndarray) -> bytes:
-    """Counts in the fewest of 1, 2, 4 or 8 bytes each."""
-    top = int(counts.max(initial=0))
-    width = next(w for w in (1, 2, 4, 8) if top < 1 << (8 * w))
-    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+    """Counts in one byte each; those of 255 and more follow in eight."""
+    return len(counts).to_bytes(8, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u8").tobytes()
 
 
 def _unpack_counts(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype(np.int64)
+    n = int.from_bytes(blob[:8], "little")
+    counts = np.frombuffer(blob, np.uint8, n, 8).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(blob, "<u8", offset=8 + n).astype(np.int64)
+    return counts
 
 
 def _of_chunks(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
