@@ -1,12 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-The n-grams of the test items are counted over all documents (sums for each task, then over tasks); an item's seeds are the
-rarer half of its n-grams, and at least `least_seeds`, however common they are, so an item that many documents quote keeps
-seeds. A document with a seed gives a window around the item's place there, and overlapping windows of an item are joined;
-the item is aligned with each window (match 2, mismatch and gap -1), all windows of a slice of documents at once. A document
-is contaminated by an item if the best score reaches `least` of that of a full copy. Neither pass shuffles texts.
+Every n-gram of a test item is a seed, however rare or common, so no choice of seeds can leave out those that survive an edit.
+A document with a seed gives a window around the item's place there, as wide as an alignment through the seed that reaches
+`least` can be, and overlapping windows of an item are joined. A window is aligned (match 2, mismatch and gap -1) unless an
+upper bound of its score (words that the item has count 2, others -1, best stretch) is below `least` of a full copy; all
+windows of a slice of documents at once. A document is contaminated by an item if the best score reaches `least` of that of
+a full copy, and the alignment has `seed` equal words in a row. One pass over the documents without a shuffle.
 
-Items are taken in blocks of at most `block` items, each block a pass of its own, so what the tasks are sent is bounded.
+Items are taken in blocks of at most `block` items, each block computed in the same pass, so what the tasks are sent is bounded.
 
 Defined results: null and empty texts hold nothing; items that are null, have a null id or fewer words than a seed are not
 searched; equal items are reported each; repeated documents are reported each; empty tables give no rows. Other columns stay;
@@ -17,14 +18,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import WordHashes, as_bytes, ascii_words, map_texts, ngrams, read_table
+from ._common import P1, P2, WordHashes, ascii_words, map_texts, ngrams, read_table
 
-SEED, LEAST, LEAST_SEEDS, BLOCK = 3, 0.5, 8, 20_000
+SEED, LEAST, BLOCK = 3, 0.5, 20_000
+MOST = 1_000_000  # rows or window words that are worked on at once
 LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType())]))
 
 
@@ -70,44 +71,80 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
     return best, end
 
 
+def _slices(sizes: np.ndarray) -> Iterator[slice]:
+    """Slices of about MOST in total size, or of one element."""
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + MOST, side="right")))
+        yield slice(at, to)
+        at = to
+
+
 class Matcher:
     """Aligns texts with a block of items by their seeds."""
 
-    def __init__(self, items: list[tuple[int, bytes]], counts: dict[int, int] | None, seed: int = SEED, least: float = LEAST, least_seeds: int = LEAST_SEEDS):
+    def __init__(self, items: list[tuple[int, bytes]], counts: dict[int, int] | None = None, seed: int = SEED, least: float = LEAST):
+        """counts: how often n-grams occur in the texts, if known; those that don't occur need no place in the lookup."""
         self.seed, self.least, self.memo = seed, least, WordHashes()
         self.items = [(i, self.memo.of(w).copy()) for i, w in ((i, ascii_words(t)) for i, t in items) if len(w) >= seed]
-        places: dict[int, list[tuple[int, int]]] = {}
-        for k, (_, words) in enumerate(self.items):
-            grams = ngrams(words, seed)
-            rarest = sorted(set(grams.tolist()), key=lambda g: ((counts or {}).get(g, 0), g))
-            rarest = set(rarest if counts is None else rarest[: max(least_seeds, -(-len(rarest) // 2))])
-            for at, g in enumerate(grams.tolist()):
-                if g in rarest:
-                    places.setdefault(g, []).append((k, at))
-        self.lookup = Lookup(np.array(list(places), np.uint64))
-        self.places = [places[g] for g in self.lookup.values.tolist()]
+        self.sizes = np.array([len(w) for _, w in self.items], np.int64)
+        self.slack = (2 * self.sizes * (1 - least)).astype(np.int64) + 1  # words that an alignment reaching `least` can skip
+        grams = [ngrams(w, seed) for _, w in self.items] or [np.zeros(0, np.uint64)]
+        item, at = np.repeat(np.arange(len(grams)), list(map(len, grams))), np.concatenate([np.arange(len(g)) for g in grams])
+        grams = np.concatenate(grams)
+        if counts is not None:
+            occurs = np.array([counts.get(g, 0) > 0 for g in grams.tolist()], bool)
+            grams, item, at = grams[occurs], item[occurs], at[occurs]
+        order = np.lexsort((at, item, grams))
+        grams, item, at = grams[order], item[order], at[order]
+        start = np.flatnonzero(np.append(len(grams) > 0, (grams[1:] != grams[:-1]) | (item[1:] != item[:-1])))
+        self.lookup = Lookup(grams)
+        self.item, self.low, self.high = item[start], at[start], at[np.append(start, len(at))[1:] - 1]  # of each n-gram in each item: first and last place
+        self.ends = np.append(np.searchsorted(grams[start], self.lookup.values), len(start))
+        keys = [self._key(np.full(len(w), k), w) for k, (_, w) in enumerate(self.items)]
+        self.shift = np.uint64(64 - max(16, 4 + int(self.sizes.sum()).bit_length()))
+        self.has = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.has[np.concatenate(keys or [np.zeros(0, np.uint64)]) >> self.shift] = True
+
+    @staticmethod
+    def _key(item: np.ndarray, words: np.ndarray) -> np.ndarray:
+        return (words ^ ((item + 1).astype(np.uint64) * P1)) * P2
+
+    def bounds(self, words: np.ndarray, item: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Upper bounds of the items' scores in windows: the best stretch where words of the item count 2 and others -1."""
+        n = last - first + 1
+        start = np.cumsum(n) - n
+        which = np.repeat(np.arange(len(n)), n)
+        at = first[which] + np.arange(len(which)) - start[which] - 1
+        value = np.where(self.has[self._key(item[which], words[at]) >> self.shift], 2, -1)
+        value[start] = -3 * len(which)  # a window starts lower than any sum before it
+        total = np.cumsum(value)
+        return np.maximum.reduceat(total - np.minimum.accumulate(total), start)
 
     def windows(self, words: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, first word, word after the last) of the windows to align."""
-        if len(words) < self.seed:
+        if len(words) < self.seed or not len(self.item):
             return []
-        spans: dict[int, list[tuple[int, int]]] = {}
-        for at, k in zip(*(x.tolist() for x in self.lookup.find(ngrams(words, self.seed)))):
-            for item, offset in self.places[k]:
-                size = len(self.items[item][1])
-                slack = 2 + size // 3
-                spans.setdefault(item, []).append((max(0, at - offset - slack), min(len(words), at - offset + size + slack)))
+        at, k = self.lookup.find(ngrams(words, self.seed))
+        n = self.ends[k + 1] - self.ends[k]
         out = []
-        for item, found in spans.items():
-            found.sort()
-            first, last = found[0]
-            for a, b in found[1:]:
-                if a < last:
-                    last = max(last, b)
-                else:
-                    out.append((item, first, last))
-                    first, last = a, b
-            out.append((item, first, last))
+        for some in _slices(n):
+            m = n[some]
+            hit = np.repeat(np.arange(len(m)), m)
+            row = self.ends[k[some]][hit] + np.arange(len(hit)) - (np.cumsum(m) - m)[hit]
+            item, seed = self.item[row], at[some][hit]
+            first = np.maximum(0, seed - self.high[row] - self.slack[item])
+            last = np.minimum(len(words), seed - self.low[row] + self.sizes[item] + self.slack[item])
+            order = np.lexsort((first, item))
+            item, first, last = item[order], first[order], last[order]
+            reach = np.maximum.accumulate(item * (len(words) + 1) + last)
+            new = np.flatnonzero(np.concatenate(([True], (item * (len(words) + 1) + first)[1:] >= reach[:-1])))
+            item, first, last = item[new], first[new], np.maximum.reduceat(last, new)
+            for part in _slices(last - first):
+                i, a, b = item[part], first[part], last[part]
+                ok = self.bounds(words, i, a, b) >= self.least * 2 * self.sizes[i]
+                out += zip(i[ok].tolist(), a[ok].tolist(), b[ok].tolist())
         return out
 
     def leaks(self, texts: list[bytes | None]) -> list[list[dict]]:
@@ -147,38 +184,15 @@ def _blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple[int, bytes]
         yield held
 
 
-def seed_counts(docs: DataFrame, items: list[tuple[int, bytes]], seed: int = SEED) -> dict[int, int]:
-    """How often each n-gram of the items occurs in all documents."""
-    words = [ascii_words(t) for _, t in items]
-    memo = WordHashes()
-    grams = np.unique(np.concatenate([ngrams(memo.of(w), seed) for w in words if len(w) >= seed] or [np.zeros(0, np.uint64)]))
-    if not len(grams):
-        return {}
-    shared = docs.sparkSession.sparkContext.broadcast(grams)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, memo, n = Lookup(shared.value), WordHashes(), np.zeros(len(shared.value), np.int64)
-        for batch in batches:
-            for text in as_bytes(batch.column(0)):
-                w = memo.of(ascii_words(text.as_py()))
-                if len(w) >= seed:
-                    np.add.at(n, lookup.find(ngrams(w, seed))[1], 1)
-        k = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n[k])], names=["k", "n"])
-
-    counted = docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()  # a row for each n-gram of a block at most
-    return {int(grams[r["k"]]): r["n"] for r in counted}
-
-
-def mark(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, least: float = LEAST, least_seeds: int = LEAST_SEEDS, block: int = BLOCK) -> DataFrame:
+def mark(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """docs with `leaks`: the items that a document holds a copy of, exact or edited, with score and place."""
     out, parts = docs, []
     for i, items in enumerate(_blocks(benchmark, block)):
-        shared = docs.sparkSession.sparkContext.broadcast((items, seed_counts(docs, items, seed)))
+        shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(texts: list, shared=shared) -> list:
             if not hasattr(run, "matcher"):
-                run.matcher = Matcher(*shared.value, seed, least, least_seeds)
+                run.matcher = Matcher(shared.value, None, seed, least)
             return [run.matcher.leaks(texts)]
 
         parts.append(f"__leaks_{i}")

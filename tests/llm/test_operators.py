@@ -406,6 +406,47 @@ def test_leaks(spark, awkward):
     assert decontaminate.mark(awkward.limit(0), bench).count() == 0 and decontaminate.mark(awkward, bench.limit(0)).where("size(leaks) > 0").count() == 0
 
 
+@pytest.mark.parametrize("copies", [0, 1, 3000])
+def test_edited_copies_keep_their_seeds(copies):
+    """Every fifth word is changed; exact copies make the changed n-grams no rarer, thousands of edited ones the others common."""
+    for size in (16, 20, 24, 30, 40, 60):
+        item = [f"i{k}" for k in range(size)]
+        edited = ["new" + w if k % 5 == 2 else w for k, w in enumerate(item)]
+        texts = [" ".join(edited).encode()] * max(1, copies) + [" ".join(item).encode()] * min(copies, 2)
+        counts = Counter()
+        for t in texts:
+            counts.update(ngrams(WordHashes().of(ascii_words(t)), 3).tolist())
+        for known in (counts, None):
+            found = decontaminate.Matcher([(7, " ".join(item).encode())], known).leaks(texts[:1] + texts[-1:])
+            score = brute_align(item, edited) / (2 * size)
+            assert score >= 0.5 and found[0][0]["score"] == round(score, 6) and found[1][0]["item_id"] == 7
+
+
+def test_leaks_equal_aligning_every_item_with_every_text(spark):
+    rng = random.Random(66)
+    items = [rng_words(rng, rng.randrange(6, 40), 60 if i % 2 else 10**6) for i in range(25)]
+    texts = []
+    for _ in range(120):
+        words = rng_words(rng, rng.randrange(0, 60), 60)
+        for item in rng.sample(items, 2):
+            for w in item:
+                kind = rng.random()
+                words += [] if kind < 0.06 else ["changed"] if kind < 0.2 else [w, *rng_words(rng, rng.randrange(1, 9))] if kind < 0.26 else [w]
+        texts.append(words)
+    hashes = lambda words: WordHashes().of([w.encode() for w in words]).copy()
+    expected = {}
+    for i, item in enumerate(items):
+        best, _ = decontaminate.align([hashes(item)] * len(texts), [hashes(t) for t in texts])
+        grams = {tuple(item[k : k + 3]) for k in range(len(item) - 2)}
+        for d, score in enumerate(best.tolist()):
+            if score >= len(item) and any(tuple(texts[d][k : k + 3]) in grams for k in range(len(texts[d]) - 2)):
+                expected[d, i] = round(score / (2 * len(item)), 6)
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    marked = decontaminate.mark(docs, bench, block=10).collect()
+    assert {(r["doc_id"], x["item_id"]): x["score"] for r in marked for x in r["leaks"]} == expected and len(expected) > 150
+
+
 def test_benchmark_passages_in_documents_are_found(spark, docs):
     items = duckdb.connect().execute(f"SELECT item_id, text FROM '{SMALL}/benchmark.parquet'").fetchall()
     exact = {(d, i) for d, t, _ in docs for i, b in items if t and b in t}
