@@ -13,8 +13,11 @@ more are removals too. Both kinds meet in one shuffle of signatures, streamed in
 passage takes no memory.
 
 Defined results: null, empty and short texts have no removals; of repeated rows (equal doc_id and text) one stands for all;
-rows with a null doc_id or one of 2^41 or more in size take no part; an empty table gives no rows. Other columns are
-ignored."""
+rows with a null doc_id take no part; an empty table gives no rows. Other columns are ignored.
+
+A node is a place in a document as one long. Where doc_ids are below 2^41 in size and texts below 8 MB it is doc_id * 2^22 +
+the place; else documents get numbers in order of their doc_id, long ones several in a row, so every doc_id and every word of
+a text has a node, in the same order."""
 
 from __future__ import annotations
 
@@ -27,12 +30,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import U64, WordHashes, as_bytes, materialize, mix, ngrams, read_table
+from ._common import U64, WordHashes, as_bytes, materialize, mix, ngrams, read_table, spread
 from ._links import find_runs, pack_set, resolve, sketches
 
 WORDS, PERCENT, BANDS, ROWS = 5, 80, 12, 3
 LEAST_WORDS, LEAST_PASSAGE, REACH = 20, 24, 4
-PLACES = 1 << 22  # words of a document that have a place
+PLACES = 1 << 22  # places under one number of a document
 UNIT = 1 << 32  # added to n in rows that are units
 _A = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | U64(1)
 
@@ -71,7 +74,48 @@ def min_bands(sets: list[np.ndarray]) -> np.ndarray:
     return out.T
 
 
+def numbers(docs: DataFrame) -> DataFrame | None:
+    """(number, __doc, base) of the documents' numbers: a node belongs to the document with its number (node >> 22), at place
+    node - base. None if doc_ids can be the numbers."""
+    low, high, longest = docs.agg(F.min("doc_id"), F.max("doc_id"), F.max(F.octet_length("text"))).first()
+    if low is None or (low >= -(1 << 41) and high < 1 << 41 and (longest or 0) < 2 * PLACES):
+        return None
+    longest = F.max(F.coalesce(F.octet_length("text"), F.lit(0))).cast("long")  # of two bytes a word at least, but for the last
+    sizes = docs.groupBy("doc_id").agg((F.floor((longest + 1) / (2 * PLACES)) + 1).alias("n"))
+    ordered = sizes.repartitionByRange(spread(docs), "doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in batches:
+            ends = total + np.cumsum(batch.column(1).to_numpy(), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends - batch.column(1).to_numpy())], names=["doc_id", "n", "part", "start"])
+            total = int(ends[-1]) if len(ends) else total
+
+    placed = materialize(ordered.mapInArrow(run, "doc_id long, n long, part int, start long"), "numbers")
+    parts = placed.groupBy("part").agg(F.sum("n").alias("in_part"))  # one row for each writing task
+    parts = parts.select("part", (F.sum("in_part").over(Window.orderBy("part")) - F.col("in_part")).alias("before"))
+    placed = placed.join(F.broadcast(parts), "part").withColumn("start", F.col("start") + F.col("before"))
+    found = placed.select(F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("number"), F.col("doc_id").alias("__doc"), F.shiftleft("start", 22).alias("base"))
+    return materialize(found, "numbers")
+
+
+def with_base(docs: DataFrame, ids: DataFrame | None) -> DataFrame:
+    """(base, text): base is the node of a text's first word."""
+    if ids is None:
+        return docs.select(F.shiftleft("doc_id", 22).alias("base"), "text")
+    return docs.join(ids.where("number = shiftright(base, 22)").select("__doc", "base"), F.col("doc_id") == F.col("__doc")).select("base", "text")
+
+
+def located(df: DataFrame, ids: DataFrame | None, node: str, doc: str, place: str) -> DataFrame:
+    """df with the document and place of a node in its stead."""
+    number = F.shiftright(node, 22)
+    if ids is None:
+        return df.withColumn(doc, number).withColumn(place, F.col(node).bitwiseAND(PLACES - 1)).drop(node)
+    return df.withColumn("number", number).join(ids, "number").withColumn(doc, F.col("__doc")).withColumn(place, F.col(node) - F.col("base")).drop("number", "__doc", "base", node)
+
+
 def signatures(docs: DataFrame, least_words: int) -> DataFrame:
+    """Of rows (base, text)."""
     names = ["sig", "node", "n", "copy_of", "sketch"]
     schema = T.StructType([T.StructField(c, T.LongType()) for c in names[:4]] + [T.StructField("sketch", T.BinaryType())])
 
@@ -81,13 +125,12 @@ def signatures(docs: DataFrame, least_words: int) -> DataFrame:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 sets, nodes, copies, units = [], [], [], []
-                for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)).to_pylist()):
-                    if doc is None or not text or abs(doc) >= 1 << 41:
+                for base, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)).to_pylist()):
+                    if not text:
                         continue
                     words, places = paragraphs(text, memo)
-                    words, base = words[:PLACES], doc * PLACES
                     for first, n in places:
-                        if n >= least_words and first + n <= PLACES:
+                        if n >= least_words:
                             w = words[first : first + n]
                             key = xxhash.xxh3_128_digest(w.tobytes())
                             if key in seen:
@@ -124,19 +167,19 @@ def signatures(docs: DataFrame, least_words: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def paragraph_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def paragraph_sets(docs: DataFrame, nodes: DataFrame, ids: DataFrame | None) -> DataFrame:
     """(node, elements) of paragraphs; a document's are fetched together."""
-    wanted = nodes.select(F.shiftright("node", 22).alias("__doc"), "node")
-    wanted = wanted.groupBy("__doc").agg(F.collect_list("node").alias("nodes"))  # at most a document's lines
-    fetched = docs.join(wanted, F.col("doc_id") == F.col("__doc")).select("text", "nodes")
+    wanted = located(nodes.select("node", F.col("node").alias("own")), ids, "own", "__of", "at")
+    wanted = wanted.groupBy("__of").agg(F.collect_list("node").alias("nodes"), F.min(F.col("node") - F.col("at")).alias("base"))  # at most a document's lines
+    fetched = docs.join(wanted, F.col("doc_id") == F.col("__of")).select("text", "nodes", "base")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            for text, want in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist()):
+            for text, want, base in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 words, places = paragraphs(text.as_py(), memo)
                 size = dict(p for p in places if p[1])
-                out = [(node, pack_set(np.unique(ngrams(words[at : at + size[at]], WORDS)))) for node in want if (at := node % PLACES) in size]
+                out = [(node, pack_set(np.unique(ngrams(words[at : at + size[at]], WORDS)))) for node in want if (at := node - base) in size]
                 if out:
                     nodes, sets = zip(*out)
                     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "elements"])
@@ -146,22 +189,24 @@ def paragraph_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def removals(docs: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, least_passage: int = LEAST_PASSAGE) -> DataFrame:
     """One row for each removal: doc_id, kind (paragraph or passage), first_word, n_words (null: to the end of the line), keep_doc_id, keep_first_word."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = materialize(find_runs(signatures(docs, least_words)), "runs")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+    ids = numbers(docs)
+    found = materialize(find_runs(signatures(with_base(docs, ids), least_words)), "runs")
     own = found.where("sig IS NULL")
     facts = own.where("sketch IS NOT NULL").groupBy("node").agg(F.max(F.struct("n", "sketch")).alias("x")).select("node", "x.n", "x.sketch")
     copies = own.where("copy_of IS NOT NULL").select(F.col("copy_of").alias("a"), F.col("node").alias("b"))
-    comps, _ = resolve(found.where(f"sig IS NOT NULL AND n < {UNIT}"), facts, lambda nodes: paragraph_sets(docs, nodes), copies, percent)
-    doc = lambda c: F.shiftright(c, 22)
-    word = lambda c: F.col(c).bitwiseAND(PLACES - 1)
-    lines = comps.where("comp < node").select(doc("node").alias("doc_id"), F.lit("paragraph").alias("kind"), word("node").alias("first_word"), F.lit(None).cast("long").alias("n_words"), doc("comp").alias("keep_doc_id"), word("comp").alias("keep_first_word"))
+    comps, _ = resolve(found.where(f"sig IS NOT NULL AND n < {UNIT}"), facts, lambda nodes: paragraph_sets(docs, nodes, ids), copies, percent)
+    kept = lambda df, node: located(df, ids, node, "keep_doc_id", "keep_first_word")
+    lines = kept(located(comps.where("comp < node"), ids, "node", "doc_id", "first_word"), "comp")
+    lines = lines.select("doc_id", F.lit("paragraph").alias("kind"), "first_word", F.lit(None).cast("long").alias("n_words"), "keep_doc_id", "keep_first_word")
 
-    units = found.where(f"sig IS NOT NULL AND n >= {UNIT}").select(doc("node").alias("doc_id"), word("node").alias("at"), (F.col("n") - UNIT).alias("size"), F.col("first").alias("keep")).distinct()
+    units = found.where(f"sig IS NOT NULL AND n >= {UNIT}").select("node", (F.col("n") - UNIT).alias("size"), F.col("first").alias("keep"))
+    units = located(units, ids, "node", "doc_id", "at").distinct()
     by_doc = Window.partitionBy("doc_id").orderBy("at")
     units = units.withColumn("new", (F.coalesce(F.lag(F.col("at") + F.col("size")).over(by_doc), F.lit(-1)) != F.col("at")).cast("int"))
     units = units.withColumn("passage", F.sum("new").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
     passages = units.groupBy("doc_id", "passage").agg(F.min("at").alias("first_word"), F.sum("size").alias("n_words"), F.min_by("keep", "at").alias("keep")).where(F.col("n_words") >= least_passage)
-    passages = passages.select("doc_id", F.lit("passage").alias("kind"), "first_word", "n_words", doc("keep").alias("keep_doc_id"), word("keep").alias("keep_first_word"))
+    passages = kept(passages, "keep").select("doc_id", F.lit("passage").alias("kind"), "first_word", "n_words", "keep_doc_id", "keep_first_word")
     return lines.unionByName(passages)
 
 

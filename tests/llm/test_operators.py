@@ -494,6 +494,31 @@ def test_repeated_paragraphs_and_passages(spark, awkward):
     assert substring_dedup.removals(awkward.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("ids", [[-(2**63), -(2**41) - 5, -3, 7, 2**41, 2**50 + 1, 2**63 - 1], list(range(7))])
+def test_any_doc_id_and_every_word_take_part(spark, ids):
+    """Removals don't depend on the size of doc_ids, and a text has no last place."""
+    rng = random.Random(12)
+    fresh = lambda n: rng_words(rng, n, 10**6)
+    passage, para = fresh(70), fresh(64)
+    long = "x\n" * (substring_dedup.PLACES + 10)
+    texts = [" ".join(fresh(30) + passage + fresh(30)), " ".join(para), " ".join(fresh(9) + passage + fresh(50)), " ".join(fresh(40)) + "\n" + " ".join(para[:30] + ["edit"] + para[31:])]
+    texts += [long + " ".join(para) + "\n" + " ".join(fresh(30) + passage + fresh(30)), " ".join(fresh(80)), " ".join(para)]
+    df = spark.createDataFrame([(None, texts[1]), *zip(ids, texts)], "doc_id long, text string")
+    gone = [r for r in as_rows(substring_dedup.removals(df)) if r["doc_id"] != ids[4] or r["first_word"] >= substring_dedup.PLACES]
+    lines = {(ids.index(r["doc_id"]), r["first_word"], ids.index(r["keep_doc_id"]), r["keep_first_word"]) for r in gone if r["kind"] == "paragraph"}
+    assert lines == {(3, 40, 1, 0), (4, substring_dedup.PLACES + 10, 1, 0), (6, 0, 1, 0)}
+    passages = {(ids.index(r["doc_id"]), ids.index(r["keep_doc_id"])) for r in gone if r["kind"] == "passage" and r["n_words"] > 40}
+    assert {(2, 0), (4, 0)} <= passages and {r["doc_id"] for r in gone} == {ids[i] for i in (2, 3, 4, 6)}
+
+
+def test_numbered_documents_have_the_same_removals(spark, docs):
+    df = spark.createDataFrame([(i, t) for i, t, _ in docs], "doc_id long, text string").repartition(3)
+    plain = sorted(map(str, as_rows(substring_dedup.removals(df))))
+    shift = 2**62
+    far = substring_dedup.removals(df.withColumn("doc_id", F.col("doc_id") + shift))
+    assert plain and sorted(map(str, as_rows(far.withColumn("doc_id", F.col("doc_id") - shift).withColumn("keep_doc_id", F.col("keep_doc_id") - shift)))) == plain
+
+
 def test_exact_copies_of_paragraphs_are_all_found(spark, docs):
     gone = {(r["doc_id"], r["first_word"]) for r in substring_dedup.query(spark, SMALL).where("kind = 'paragraph'").collect()}
     seen = set()
