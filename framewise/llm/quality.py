@@ -1,4 +1,4 @@
-"""Quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
+"""Quality classifier: a factorisation machine over hashed words and structure statistics of the text.
 
 score(x) = sigmoid(w0 + w.x + 1/2 sum_f [(sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2]): all pairwise interactions at a cost
 linear in the number of features. Scoring is one Arrow pass over the texts without a shuffle.
