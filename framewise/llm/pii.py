@@ -125,7 +125,6 @@ def loose_emails(text: bytes) -> Iterator[tuple[int, int]]:
 
 
 _NUMERIC = re.compile(rb"[0-9]")
-_WRITTEN = re.compile(rb"[\[({]at[\])}]| dot |[\[({]dot[\])}]", re.I)
 
 
 def base_spans(text: bytes) -> list[tuple[int, int, int]]:
@@ -142,9 +141,7 @@ def candidates(text: bytes) -> list[tuple[int, int, int, bool]]:
     """(kind, start, end, base): the base spans and what the looser patterns add."""
     out = [(k, a, b, True) for k, a, b in base_spans(text)]
     known = {(k, a, b) for k, a, b, _ in out}
-    loose = []
-    if _WRITTEN.search(text):
-        loose += [(0, a, b) for a, b in loose_emails(text)]
+    loose = [(0, a, b) for a, b in loose_emails(text)]
     if _NUMERIC.search(text):
         for m in LOOSE_NUMBER.finditer(text):
             d = len(_digits(m.group()))

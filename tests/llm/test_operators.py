@@ -245,6 +245,12 @@ def test_written_out_addresses_are_candidates():
     assert [text[a:b] for a, b in pii.loose_emails(text)] == [b"jane.doe [at] example [dot] com", b"joe at mail dot example dot org"]
 
 
+def test_candidates_do_not_depend_on_unrelated_text():
+    alone = b"write to jane.doe at example.com today"
+    span = (0, 9, 32, False)
+    assert alone[9:32] == b"jane.doe at example.com" and span in pii.candidates(alone) and span in pii.candidates(alone + b" or polka dot shoes")
+
+
 def test_expectation_maximisation_finds_the_reliable_labelers():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.3
