@@ -1,4 +1,4 @@
-"""Column functions: rounding, robust weights, noise, tone and sky geometry."""
+"""Column functions: rounding, robust weights, tone and sky geometry."""
 
 from __future__ import annotations
 
@@ -15,24 +15,11 @@ def micro(x: Column) -> Column:
     return F.floor(x * 1000000 + 0.5) / 1000000
 
 
-def finite(x: Column) -> Column:
-    """x, or null where it is NaN or infinite."""
-    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
-
-
-def huber_weight(r: Column, k: float) -> Column:
-    return F.when(F.abs(r) <= k, 1.0).otherwise(k / F.greatest(F.abs(r), F.lit(1e-12)))
-
-
 def tukey_weight(r: Column, k: Column) -> Column:
     u = r / k
     return F.when(F.abs(r) < k, (1 - u * u) * (1 - u * u)).otherwise(0.0)
 
 
-def noise_variance(x: Column, alpha: float, beta: float) -> Column:
-    return F.greatest(alpha * F.greatest(x, F.lit(0.0)) + beta, F.lit(1e-12))
-
-
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 

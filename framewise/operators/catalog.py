@@ -67,3 +67,13 @@ def without(df: DataFrame, listed: DataFrame, key: list[str]) -> DataFrame:
 
 def numbered_by_group(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+
+
+def bounded_digest(content: Column, part: int = 1 << 16) -> Column:
+    """The first 16 hex digits of SHA-256 over the length (8 bytes, little-endian), the first `part` bytes and, of contents longer than
+    two parts, the last: a bounded identity of contents of any size."""
+    size = F.octet_length(content)
+    digits = F.lpad(F.hex(size.cast("long")), 16, "0")
+    length = F.unhex(F.concat(*[F.substring(digits, at, 2) for at in range(15, 0, -2)]))
+    tail = F.when(size > 2 * part, F.substring(content, -part, part)).otherwise(F.lit(b""))
+    return F.substring(F.sha2(F.concat(length, F.substring(content, 1, part), tail), 256), 1, 16)

@@ -9,18 +9,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def value_counts(df: DataFrame, group: list[str], value: str) -> DataFrame:
+def value_counts(df: DataFrame, group: list[str], value: str, weight: str | None = None) -> DataFrame:
     """(group, value, c, below, n): c rows have the value, `below` have smaller ones, n have any. Other columns are dropped; the
-    group and value columns must have other names than these three."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("c"))
+    group and value columns must have other names than these three. A row counts `weight` times."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("c"))
     totals = counts.groupBy(*group).agg(F.sum("c").alias("n"))
     w = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     return counts.withColumn("below", F.sum("c").over(w) - F.col("c")).join(totals, group)
 
 
-def rank_select(df: DataFrame, group: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+def rank_select(df: DataFrame, group: list[str], value: str, ranks: dict[str, Column], weight: str | None = None) -> DataFrame:
     """For each name, the value of a 0-based rank, an expression of the group's size n."""
-    at = value_counts(df, group, value)
+    at = value_counts(df, group, value, weight)
     pick = [F.max(F.when((F.col("below") <= k) & (F.col("below") + F.col("c") > k), F.col(value))).alias(name) for name, k in ranks.items()]
     return at.groupBy(*group).agg(*pick)
 
@@ -41,10 +41,20 @@ def ceil_rank(p: float) -> Column:
     return F.ceil((F.col("n") - 1) * p)
 
 
+def median(df: DataFrame, group: list[str], value: str, name: str = "med", weight: str | None = None) -> DataFrame:
+    """(group, name, n): the median, the mean of the two middle values where n is even, from counts by value."""
+    at = value_counts(df, group, value, weight)
+    pick = lambda k: F.max(F.when((F.col("below") <= k) & (F.col("below") + F.col("c") > k), F.col(value)))
+    both = at.groupBy(*group).agg(pick(F.floor((F.col("n") - 1) / 2)).alias("__lo"), pick(F.floor(F.col("n") / 2)).alias("__hi"), F.first("n").alias("__n"))
+    return both.select(*group, ((F.col("__lo") + F.col("__hi")) / 2).alias(name), F.col("__n").alias("n"))
+
+
 def median_mad(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """(group, med, mad): the median, and the median distance from it."""
-    med = df.groupBy(*group).agg(F.median(value).alias("med"))
-    return df.join(med, group).groupBy(*group).agg(F.first("med").alias("med"), F.median(F.abs(F.col(value) - F.col("med"))).alias("mad"))
+    """(group, med, mad): the median, and the median distance from it. Few values a group are read again: each distinct one once."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("times"))
+    med = median(df, group, value).drop("n")
+    far = counts.join(med, group).select(*group, F.abs(F.col(value) - F.col("med")).alias("far"), "times")
+    return med.join(median(far, group, "far", "mad", weight="times").drop("n"), group)
 
 
 def lowest_share_mean(df: DataFrame, group: list[str], value: str, share: int = 10) -> DataFrame:

@@ -92,10 +92,12 @@ def leave_one_out(df: DataFrame, site: list[str], value: str, weight: str | None
     return df.join(sums, site).withColumn("loo", F.when(rest > 0, (F.col("__wv") - w * F.col(value)) / rest)).drop("__w", "__wv")
 
 
-def fill_holes(cells: DataFrame, value: str, width: int, height: int) -> DataFrame:
-    """(x, y, value, filled): empty cells beside known ones get their mean."""
-    shifts = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy])
-    near = cells.select("x", "y", value, F.explode(shifts).alias("d")).select((F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y"), F.col(value).alias("__v"))
-    near = near.where(f"x BETWEEN 0 AND {width - 1} AND y BETWEEN 0 AND {height - 1}").groupBy("x", "y").agg(F.avg("__v").alias("__m"))
-    both = cells.select("x", "y", value).join(near, ["x", "y"], "full")
-    return both.select("x", "y", F.coalesce(value, "__m").alias(value), F.col(value).isNull().alias("filled"))
+def fill_holes(cells: DataFrame, plane: list[str], total: str, width: int, height: int, reach: int = 1) -> DataFrame:
+    """(plane, x, y, total, n, ring) for the cells that have a value, a whole number, and for those within `reach` of one: the sum and
+    the number of the values in the nearest square ring that has any (ring 0: the cell's own). Sums of whole numbers have no order."""
+    shifts = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(max(abs(dx), abs(dy))).alias("r")) for dx in range(-reach, reach + 1) for dy in range(-reach, reach + 1)])
+    near = cells.select(*plane, "x", "y", F.col(total).alias("__v"), F.explode(shifts).alias("d"))
+    near = near.select(*plane, (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y"), F.col("d.r").alias("ring"), "__v")
+    near = near.where(f"x BETWEEN 0 AND {width - 1} AND y BETWEEN 0 AND {height - 1}")
+    rings = near.groupBy(*plane, "x", "y", "ring").agg(F.sum("__v").alias(total), F.count(F.lit(1)).alias("n"))
+    return rings.groupBy(*plane, "x", "y").agg(F.min(F.struct("ring", total, "n")).alias("m")).select(*plane, "x", "y", f"m.{total}", "m.n", "m.ring")

@@ -44,3 +44,12 @@ def tally(df: DataFrame, fields: list[str]) -> DataFrame:
     long = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])).alias("x")).select("x.*")
     counts = long.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("rk", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "value")))
+
+
+def spread_of_groups(placed: DataFrame, place: str, size: str, k: int) -> DataFrame:
+    """The rows at k places spread evenly over their group, of rows that know their 1-based place and the group's size."""
+    i, n = F.col(place) - 1, F.col(size)
+    gaps = F.greatest(F.least(n, F.lit(k)) - 1, F.lit(1))
+    # Place i is one of floor(j * (n - 1) / gaps): that of the least j that reaches it.
+    j = F.ceil(i * gaps / F.greatest(n - 1, F.lit(1)))
+    return placed.where((i == 0) | (F.floor(j * (n - 1) / gaps) == i))

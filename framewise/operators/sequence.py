@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import rank
+
 
 def running(df: DataFrame, group: list[str], step: str, order: list[str], sums: dict[str, Column]) -> DataFrame:
     """df with each named running sum over its group's rows up to its own, in (step, order); step is coarser than order."""
@@ -58,8 +60,8 @@ def projections(fit: DataFrame, group: list[str]) -> DataFrame:
 
 
 def relative_to_median(df: DataFrame, group: list[str], value: str, name: str = "rel") -> DataFrame:
-    """df with value / its group's median, and the group's size."""
-    med = df.groupBy(*group).agg(F.median(value).alias("__med"), F.count(F.lit(1)).alias("members"))
+    """df with value / its group's median, and the number of the group's values."""
+    med = rank.median(df, group, value, "__med").withColumnRenamed("n", "members")
     return df.join(med, group).withColumn(name, F.col(value) / F.col("__med")).drop("__med")
 
 

@@ -6,32 +6,42 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def within(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
-    """(a, b, d2) of points (id, x, y) at most `radius` apart: cells of that size, each point of `b` in the nine around it."""
+def within(a: DataFrame, b: DataFrame, radius: float, keep: list[str] | None = None) -> DataFrame:
+    """(a, b, d2, and the columns `keep` of a) of points (id, x, y) at most `radius` apart: cells of that size, each point of `b` in the nine around it."""
+    keep = keep or []
     cell = lambda c: F.floor(F.col(c) / radius).cast("long")
-    left = a.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("cx"), cell("y").alias("cy"))
+    left = a.select(F.col("id").alias("a"), *keep, F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("cx"), cell("y").alias("cy"))
     near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     right = b.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), cell("x").alias("cx"), cell("y").alias("cy"), near.alias("d"))
     right = right.select("b", "bx", "by", (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"))
     d2 = (F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by"))
-    return left.join(right, ["cx", "cy"]).select("a", "b", d2.alias("d2")).where(F.col("d2") <= radius * radius)
+    return left.join(right, ["cx", "cy"]).select(*keep, "a", "b", d2.alias("d2")).where(F.col("d2") <= radius * radius)
 
 
-def nearest(pairs: DataFrame, of: str = "a", to: str = "b") -> DataFrame:
-    """The pair of least distance of each `of`; equal distances go to the smaller `to`."""
-    return pairs.groupBy(of).agg(F.min(F.struct("d2", to)).alias("m")).select(of, F.col(f"m.{to}").alias(to), "m.d2")
+def nearest(pairs: DataFrame, of: str = "a", to: str = "b", by: list[str] | None = None) -> DataFrame:
+    """The pair of least distance of each (by, of); equal distances go to the smaller `to`."""
+    by = by or []
+    return pairs.groupBy(*by, of).agg(F.min(F.struct("d2", to)).alias("m")).select(*by, of, F.col(f"m.{to}").alias(to), "m.d2")
 
 
-def mutual(pairs: DataFrame) -> DataFrame:
-    """Pairs that are each other's nearest."""
-    return nearest(pairs).join(nearest(pairs, "b", "a").select("a", "b"), ["a", "b"])
+def mutual(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Pairs that are each other's nearest, for each value of `by`."""
+    by = by or []
+    return nearest(pairs, by=by).join(nearest(pairs, "b", "a", by).select(*by, "a", "b"), [*by, "a", "b"])
 
 
-def nearest_two(pairs: DataFrame) -> DataFrame:
-    """(a, b, d2, d2_next): the nearest, and the distance of the next one if there is one."""
-    w = Window.partitionBy("a").orderBy("d2", "b")
+def one_to_one(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The nearest `b` of each `a`; of several `a` with one `b` the smallest stays."""
+    by = by or []
+    return nearest(pairs, by=by).groupBy(*by, "b").agg(F.min(F.struct("a", "d2")).alias("m")).select(*by, "m.a", "b", "m.d2")
+
+
+def nearest_two(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, a, b, d2, d2_next): the nearest, and the distance of the next one if there is one."""
+    by = by or []
+    w = Window.partitionBy(*by, "a").orderBy("d2", "b")
     ranked = pairs.withColumn("rk", F.row_number().over(w)).where("rk <= 2")
-    return ranked.groupBy("a").agg(F.max(F.when(F.col("rk") == 1, F.col("b"))).alias("b"), F.min("d2").alias("d2"), F.max(F.when(F.col("rk") == 2, F.col("d2"))).alias("d2_next"))
+    return ranked.groupBy(*by, "a").agg(F.max(F.when(F.col("rk") == 1, F.col("b"))).alias("b"), F.min("d2").alias("d2"), F.max(F.when(F.col("rk") == 2, F.col("d2"))).alias("d2_next"))
 
 
 def overlaps(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
@@ -45,6 +55,19 @@ def overlaps(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
     return both.where(F.col("cell") == F.floor(F.greatest("a_lo", "b_lo") / size)).select("a", "b")
 
 
+def overlap_counts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """a (id, lo, hi) with n: how many closed integer intervals of b overlap it, without making the pairs. Those that begin by hi
+    less those that end before lo; both are running sums over the distinct edges, one row each, that a looks up."""
+    begun = b.groupBy(F.col("lo").alias("at")).agg(F.count(F.lit(1)).alias("b"), F.lit(0).cast("long").alias("e"))
+    ended = b.groupBy((F.col("hi") + 1).alias("at")).agg(F.lit(0).cast("long").alias("b"), F.count(F.lit(1)).alias("e"))
+    asked = a.select(F.explode(F.array("lo", "hi")).alias("at")).distinct().select("at", F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("e"))
+    edges = begun.unionByName(ended).unionByName(asked).groupBy("at").agg(F.sum("b").alias("b"), F.sum("e").alias("e"))
+    w = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    sums = edges.select("at", F.sum("b").over(w).alias("begun"), F.sum("e").over(w).alias("ended"))
+    low, high = sums.select(F.col("at").alias("lo"), "ended"), sums.select(F.col("at").alias("hi"), "begun")
+    return a.join(low, "lo").join(high, "hi").select("id", "lo", "hi", (F.col("begun") - F.col("ended")).alias("n"))
+
+
 def as_of(left: DataFrame, right: DataFrame, key: list[str], ts: str, value: str, step: str, name: str = "prev") -> DataFrame:
     """left with the latest earlier-or-equal `value` of right by key. Both sides are ordered together within (key, step); a step
     without an earlier row takes the last value of the steps before it."""

@@ -49,12 +49,6 @@ def relative_to_group(spark, d):
     return sequence.relative_to_median(seq(spark, d), ["grp"], "cents").select("event_id", micro(F.col("rel")).alias("rel"))
 
 
-@query(f"WITH {SEQ}, m AS (SELECT grp, median(cents) AS med, count(*) AS c FROM seq GROUP BY grp) SELECT grp, event_id, {M('cents / med')} AS rel, c >= 5 AND cents / med < 0.75 AS flag_soft FROM seq JOIN m USING (grp)")
-def survey_flags(spark, d):
-    r = sequence.relative_to_median(seq(spark, d), ["grp"], "cents")
-    return r.select("grp", "event_id", micro(F.col("rel")).alias("rel"), ((F.col("members") >= 5) & (F.col("rel") < 0.75)).alias("flag_soft"))
-
-
 @query(f"WITH {SEQ}, m AS (SELECT grp, median(cents) AS med FROM seq GROUP BY grp), a AS (SELECT grp, any_value(med) AS med, median(abs(cents - med)) AS mad FROM seq JOIN m USING (grp) GROUP BY grp) SELECT grp, {M('med / 100')} AS med, {M(f'mad / 100 * {MAD_SCALE}')} AS mad FROM a")
 def group_median_mad(spark, d):
     m = rank.median_mad(seq(spark, d), ["grp"], "cents")
@@ -65,7 +59,9 @@ def group_median_mad(spark, d):
 def quantile_rules(spark, d):
     s = seq(spark, d)
     picked = rank.rank_select(s, ["grp"], "cents", {"q_upper": rank.upper_median(), "q_floor": rank.floor_rank(0.9), "q_round": rank.round_rank(0.9), "q_ceil": rank.ceil_rank(0.9)})
-    interp = s.groupBy("grp").agg(F.floor(F.percentile("cents", 0.9) + 0.000001).cast("double").alias("q_interp"))
+    at = rank.rank_select(s, ["grp"], "cents", {"lo": rank.floor_rank(0.9), "hi": rank.ceil_rank(0.9)}).join(s.groupBy("grp").agg(F.count("cents").alias("n")), "grp")
+    part = (F.col("n") - 1) * 0.9 - F.floor((F.col("n") - 1) * 0.9)
+    interp = at.select("grp", F.floor(F.col("lo") + (F.col("hi") - F.col("lo")) * part + 0.000001).cast("double").alias("q_interp"))
     return picked.select("grp", *[(F.col(c) / 100).alias(c) for c in picked.columns[1:]]).join(interp, "grp")
 
 
@@ -114,9 +110,19 @@ def loglog_fit(spark, d):
     return f.select("grp", five("exponent"), five("amplitude"), five("r2"))
 
 
-@query(f"WITH {_FIT} SELECT grp, f AS fraction, ceil(last_n * (power(1 - f, 1 / b) - 1))::BIGINT AS extra FROM fit, (SELECT unnest([0.05::DOUBLE, 0.1, 0.2]) AS f) WHERE b < -0.05 AND r2 >= 0.8")
+# The noise of the running mean: its standard error.
+_ERROR = NUM + f""", e AS (SELECT grp, n, sum(cents) OVER w AS s, sum(cents * cents) OVER w AS ss FROM num WINDOW w AS (PARTITION BY grp ORDER BY n ROWS UNBOUNDED PRECEDING)),
+  p AS (SELECT grp, n, ln(n) AS x, ln(sqrt((ss - s / n * s) / n / n) / 100) AS y FROM e WHERE n IN ({_POINTS}) AND ss - s / n * s > 0),
+  fit AS (SELECT grp, regr_slope(y, x) AS b, regr_r2(y, x) AS r2, max(n) AS last_n FROM p GROUP BY grp HAVING count(*) >= 5 AND min(n) >= 4 AND max(n) >= 2 * min(n))"""
+
+
+@query(f"WITH {_ERROR} SELECT grp, f AS fraction, ceil(last_n * (power(1 - f, 1 / b) - 1))::BIGINT AS extra FROM fit, (SELECT unnest([0.05::DOUBLE, 0.1, 0.2]) AS f) WHERE b < -0.05 AND r2 >= 0.8")
 def improvement_projection(spark, d):
-    return sequence.projections(sequence.power_law(_noise(spark, d), ["grp"], "n", "noise"), ["grp"])
+    n = sequence.numbered(seq(spark, d), ["grp"], "day", ["ts", "event_id"])
+    e = sequence.running(n, ["grp"], "day", ["ts", "event_id"], {"s": F.col("cents"), "ss": F.col("cents") * F.col("cents")}).where(F.col("n").isin(sequence.checkpoints()))
+    far = F.col("ss") - F.col("s") / F.col("n") * F.col("s")
+    noise = e.where(far > 0).select("grp", "n", (F.sqrt(far / F.col("n") / F.col("n")) / 100).alias("noise"))
+    return sequence.projections(sequence.power_law(noise, ["grp"], "n", "noise"), ["grp"])
 
 
 @query(f"WITH {NUM}, t AS (SELECT grp, count(*) AS total FROM seq GROUP BY grp) SELECT grp, n FROM num JOIN t USING (grp) WHERE n & (n - 1) = 0 OR n = total OR n = total - total % 2")
@@ -185,7 +191,7 @@ def burst_tally(spark, d):
 @query(f"WITH {FRAMES}, m AS (SELECT grp, median(cents) AS med FROM frames GROUP BY grp) SELECT frame_id, {M('med / greatest(cents, 1)')} AS scale FROM frames JOIN m USING (grp)")
 def exposure_scale(spark, d):
     f = frames(spark, d)
-    m = f.groupBy("grp").agg(F.median("cents").alias("med"))
+    m = rank.median(f, ["grp"], "cents")
     return f.join(m, "grp").select("frame_id", micro(F.col("med") / F.greatest("cents", F.lit(1))).alias("scale"))
 
 
@@ -248,9 +254,10 @@ def catalog_summary(spark, d):
     return part("camera", F.col("camera")).unionByName(part("object", F.col("c_name")).orderBy(F.desc("n"), "name").limit(5)).unionByName(part("total", F.lit("all")))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderstatus = 'P')")
 def set_without(spark, d):
-    return catalog.without(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    done = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return catalog.without(table(spark, d, "customer").select("c_custkey"), done, ["c_custkey"])
 
 
 @query("""WITH s AS (SELECT l_orderkey, min(l_shipdate)::DATE - DATE '1970-01-01' AS lo, max(l_shipdate)::DATE - DATE '1970-01-01' AS hi FROM lineitem GROUP BY l_orderkey), o AS (SELECT o_orderkey, o_orderdate::DATE - DATE '1970-01-01' AS d FROM orders WHERE o_orderstatus = 'P')
@@ -259,7 +266,7 @@ def box_overlap_join(spark, d):
     day = lambda c: F.datediff(c, F.lit("1970-01-01"))
     s = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(day(F.min("l_shipdate")).alias("lo"), day(F.max("l_shipdate")).alias("hi"))
     o = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id"), day("o_orderdate").alias("lo"), (day("o_orderdate") + 3).alias("hi"))
-    return spatial.overlaps(o, s, 64).groupBy(F.col("a").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
+    return spatial.overlap_counts(o, s).where("n > 0").select(F.col("id").alias("o_orderkey"), "n")
 
 
 # --- documents, pages, conversations as catalogue rows ----------------------------------------------------------------
@@ -271,9 +278,13 @@ def dedupe_first(spark, d):
     return selection.first_of_equal(docs, "digest", "doc_id").select("doc_id", "same_as")
 
 
-@query("SELECT doc_id, sha256(text) AS digest FROM documents")
+# Of the length (8 bytes, little-endian), the first 64 KiB and, beyond 128 KiB, the last 64 KiB; texts here are ASCII or hashed as hex of their bytes.
+@query("""WITH h AS (SELECT doc_id, octet_length(encode(text)) AS n, hex(encode(text)) AS x FROM documents)
+  SELECT doc_id, sha256(unhex(string_agg(lpad(hex((n >> (8 * i)) & 255), 2, '0'), '' ORDER BY i) || x[1:131072] || CASE WHEN n > 131072 THEN x[-131072:] ELSE '' END))[1:16] AS digest
+  FROM h, (SELECT unnest(range(0, 8)) AS i) GROUP BY doc_id, n, x""")
 def bounded_digest(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("b"))
+    return docs.select("doc_id", catalog.bounded_digest(F.col("b")).alias("digest"))
 
 
 
@@ -356,7 +367,8 @@ def quantisation_step(spark, d):
 @query(f"WITH {SAMPLES} SELECT ch, x // 8 AS bx, y // 8 AS by, {M('median(q) / 50')} AS med, count(*) AS n FROM samples GROUP BY ALL HAVING count(*) >= 32")
 def block_medians(spark, d):
     b = lambda c: F.floor(F.col(c) / 8).cast("int").alias("b" + c)
-    return samples(spark, d).groupBy("ch", b("x"), b("y")).agg(micro(F.median("q") / 50).alias("med"), F.count(F.lit(1)).alias("n")).where("n >= 32")
+    m = rank.median(samples(spark, d).select("ch", b("x"), b("y"), "q"), ["ch", "bx", "by"], "q")
+    return m.where("n >= 32").select("ch", "bx", "by", micro(F.col("med") / 50).alias("med"), "n")
 
 
 @query(f"""WITH {SAMPLES}, f AS (SELECT x // 16 AS cx, y // 16 AS cy, frame_id, {M('sum(q) / count(*)')} AS s FROM samples GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY cx, cy ORDER BY s DESC, frame_id)::INTEGER AS rk FROM f) SELECT cx, cy, frame_id, rk FROM r WHERE rk <= 10""")
@@ -389,12 +401,15 @@ def accumulator_combine(spark, d):
     return raster.combine(parts, ["x", "y", "ch"]).select("x", "y", "ch", micro(F.col("sum_wv") / F.col("sum_w") / 50).alias("value"), "n")
 
 
-@query(f"""WITH {SAMPLES}, c AS (SELECT x, y, {M('sum(q) / count(*) / 50')} AS v FROM samples WHERE ch = 'R' GROUP BY x, y), s AS (SELECT x + dx AS x, y + dy AS y, v FROM c, (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy) WHERE dx <> 0 OR dy <> 0),
-  m AS (SELECT x, y, avg(v) AS m FROM s WHERE x BETWEEN 0 AND 63 AND y BETWEEN 0 AND 63 GROUP BY x, y)
-  SELECT x, y, floor(coalesce(v, m) * 10000 + 0.5) / 10000 AS v, v IS NULL AS filled FROM c FULL JOIN m USING (x, y)""")
+# Values are whole millionths, so sums of neighbours don't depend on their order.
+@query(f"""WITH {SAMPLES}, c AS (SELECT ch, x, y, floor(sum(q) * 1000000 / (count(*) * 50) + 0.5)::BIGINT AS v FROM samples GROUP BY ch, x, y),
+  s AS (SELECT ch, x + dx AS x, y + dy AS y, greatest(abs(dx), abs(dy)) AS ring, sum(v) AS v, count(*) AS n FROM c, (SELECT unnest(range(-5, 6)) AS dx), (SELECT unnest(range(-5, 6)) AS dy) GROUP BY ALL),
+  m AS (SELECT *, row_number() OVER (PARTITION BY ch, x, y ORDER BY ring) AS i FROM s WHERE x BETWEEN 0 AND 63 AND y BETWEEN 0 AND 63)
+  SELECT ch, x::INTEGER AS x, y::INTEGER AS y, floor(v / n + 0.5) / 1000000 AS v, ring::INTEGER AS ring FROM m WHERE i = 1""")
 def hole_fill(spark, d):
-    c = samples(spark, d).where("ch = 'R'").groupBy("x", "y").agg(micro(F.sum("q") / F.count(F.lit(1)) / 50).alias("v"))
-    return raster.fill_holes(c, "v", 64, 64).select("x", "y", (F.floor(F.col("v") * 10000 + 0.5) / 10000).alias("v"), "filled")
+    c = samples(spark, d).groupBy("ch", "x", "y").agg(F.floor(F.sum("q") * 1000000 / (F.count(F.lit(1)) * 50) + 0.5).alias("v"))
+    filled = raster.fill_holes(c, ["ch"], "v", 64, 64, reach=5)
+    return filled.select("ch", "x", "y", (F.floor(F.col("v") / F.col("n") + 0.5) / 1000000).alias("v"), "ring")
 
 
 @query(f"WITH {SAMPLES} SELECT count(*) FILTER (WHERE ch = 'R' AND q >= 50) AS clipped_r, count(*) FILTER (WHERE ch = 'A' AND q >= 50) AS clipped_a, count(*) FILTER (WHERE ch = 'N' AND q >= 50) AS clipped_n FROM samples")
@@ -525,27 +540,34 @@ def ssim_pairs(spark, d):
 
 # --- stars ----------------------------------------------------------------------------------------------------------------
 
-_NEAR = STARS + f", near AS (SELECT a.id AS a, b.id AS b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM stars a JOIN stars b ON a.frame = 0 AND b.frame = 1 WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {RADIUS * RADIUS})"
+# Every frame's stars against those of frame 0.
+_NEAR = STARS + f", near AS (SELECT a.frame AS frame, a.id AS a, b.id AS b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM stars a JOIN stars b ON a.frame <> 0 AND b.frame = 0 WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {RADIUS * RADIUS})"
+_RANKED = _NEAR + ", r AS (SELECT *, row_number() OVER (PARTITION BY frame, a ORDER BY d2, b) AS k, row_number() OVER (PARTITION BY frame, b ORDER BY d2, a) AS l, lead(d2) OVER (PARTITION BY frame, a ORDER BY d2, b) AS nx FROM near)"
 
 
 def _near(spark, d):
     s = stars(spark, d)
-    return spatial.within(s.where("frame = 0"), s.where("frame = 1"), RADIUS)
+    return spatial.within(s.where("frame <> 0"), s.where("frame = 0"), RADIUS, ["frame"])
 
 
-@query(f"WITH {_NEAR}, r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d2, b) AS k FROM near) SELECT a, b, {M('d2')} AS d2 FROM r WHERE k = 1")
+@query(f"WITH {_RANKED} SELECT frame, a, b, {M('d2')} AS d2 FROM r WHERE k = 1")
 def nearest_join(spark, d):
-    return spatial.nearest(_near(spark, d)).select("a", "b", micro(F.col("d2")).alias("d2"))
+    return spatial.nearest(_near(spark, d), by=["frame"]).select("frame", "a", "b", micro(F.col("d2")).alias("d2"))
 
 
-@query(f"WITH {_NEAR}, r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d2, b) AS k, row_number() OVER (PARTITION BY b ORDER BY d2, a) AS l FROM near) SELECT a, b, {M('d2')} AS d2 FROM r WHERE k = 1 AND l = 1")
+@query(f"WITH {_RANKED} SELECT frame, a, b, {M('d2')} AS d2 FROM r WHERE k = 1 AND l = 1")
 def mutual_nearest(spark, d):
-    return spatial.mutual(_near(spark, d)).select("a", "b", micro(F.col("d2")).alias("d2"))
+    return spatial.mutual(_near(spark, d), ["frame"]).select("frame", "a", "b", micro(F.col("d2")).alias("d2"))
 
 
-@query(f"WITH {_NEAR}, r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d2, b) AS k, lead(d2) OVER (PARTITION BY a ORDER BY d2, b) AS nx FROM near) SELECT a, b, {M('d2')} AS d2, {M('nx')} AS d2_next FROM r WHERE k = 1")
+@query(f"WITH {_RANKED} SELECT frame, min(a) AS a, b FROM r WHERE k = 1 GROUP BY frame, b")
+def one_to_one_pairs(spark, d):
+    return spatial.one_to_one(_near(spark, d), ["frame"]).select("frame", "a", "b")
+
+
+@query(f"WITH {_RANKED} SELECT frame, a, b, {M('d2')} AS d2, {M('nx')} AS d2_next FROM r WHERE k = 1")
 def two_nearest(spark, d):
-    return spatial.nearest_two(_near(spark, d)).select("a", "b", micro(F.col("d2")).alias("d2"), micro(F.col("d2_next")).alias("d2_next"))
+    return spatial.nearest_two(_near(spark, d), ["frame"]).select("frame", "a", "b", micro(F.col("d2")).alias("d2"), micro(F.col("d2_next")).alias("d2_next"))
 
 
 @query(f"WITH {STARS}, r AS (SELECT floor(x / 10)::BIGINT AS rx, floor(y / 10)::BIGINT AS ry, id, row_number() OVER (PARTITION BY floor(x / 10), floor(y / 10) ORDER BY flux DESC, id)::INTEGER AS rk FROM stars) SELECT rx, ry, id, rk FROM r WHERE rk <= 3")
@@ -556,17 +578,11 @@ def region_topk(spark, d):
 
 @query(f"WITH {STARS}, m AS (SELECT frame, median(flux) AS med, count(*) AS n FROM stars GROUP BY frame), z AS (SELECT med FROM m WHERE frame = 0) SELECT frame, n, CASE WHEN n >= 30 THEN {M('m.med / z.med')} END AS gain FROM m, z")
 def stellar_gain(spark, d):
-    m = stars(spark, d).groupBy("frame").agg(F.median("flux").alias("med"), F.count(F.lit(1)).alias("n"))
+    m = rank.median(stars(spark, d), ["frame"], "flux")
     z = m.where("frame = 0").select(F.col("med").alias("z"))  # one row
     return m.join(F.broadcast(z)).select("frame", "n", F.when(F.col("n") >= 30, micro(F.col("med") / F.col("z"))).alias("gain"))
 
 
-@query(f"SELECT n_nationkey, {M('0.8 * n_nationkey - 0.6 * n_regionkey + 3')} AS x, {M('0.6 * n_nationkey + 0.8 * n_regionkey - 2')} AS y FROM nation")
-def affine_ops(spark, d):
-    a, b = F.col("n_nationkey"), F.col("n_regionkey")
-    return table(spark, d, "nation").select("n_nationkey", micro(0.8 * a - 0.6 * b + 3).alias("x"), micro(0.6 * a + 0.8 * b - 2).alias("y"))
-
-
 @query(f"""WITH p AS (SELECT c_custkey, radians(c_custkey % 360 - 180) AS a, radians(c_nationkey * 3 - 36) AS e FROM customer), q AS (SELECT *, sin(radians(10)) * sin(e) + cos(radians(10)) * cos(e) * cos(a) AS w FROM p)
   SELECT c_custkey, CASE WHEN w > 1e-2 THEN {_round5('degrees(cos(e) * sin(a) / w)')} END AS x, CASE WHEN w > 1e-2 THEN {_round5('degrees((cos(radians(10)) * sin(e) - sin(radians(10)) * cos(e) * cos(a)) / w)')} END AS y, w > 1e-2 AS near FROM q""")
 def sky_projection(spark, d):
@@ -580,7 +596,7 @@ def sky_projection(spark, d):
 
 
 def queries() -> dict:
-    from . import measures, models  # noqa: F401  their queries register here
+    from . import geometry, judgement, measures, models  # noqa: F401  their queries register here
 
     return dict(_QUERIES)
 

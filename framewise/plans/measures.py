@@ -143,23 +143,24 @@ def channel_ceiling(spark, d):
     return rank.rank_select(samples(spark, d), ["ch"], "q", {"ceiling": F.least(F.floor(n * 0.98), n - 1), "p90": F.floor(n * 9 / 10)})
 
 
-_MUTUAL = _NEAR + ", r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d2, b) AS k, row_number() OVER (PARTITION BY b ORDER BY d2, a) AS l FROM near), mu AS (SELECT a, b, d2 FROM r WHERE k = 1 AND l = 1)"
+_MUTUAL = _NEAR + ", r AS (SELECT *, row_number() OVER (PARTITION BY frame, a ORDER BY d2, b) AS k, row_number() OVER (PARTITION BY frame, b ORDER BY d2, a) AS l FROM near), mu AS (SELECT frame, a, b, d2 FROM r WHERE k = 1 AND l = 1)"
 
 
-@query(f"WITH {_MUTUAL}, g AS (SELECT a, b, a % 5 = 0 AS withheld, {M('s.flux / greatest(t.flux, 0.000001)')} AS ratio FROM mu JOIN stars s ON s.id = a JOIN stars t ON t.id = b) SELECT withheld, count(*) AS n, {M('median(ratio)')} AS gain FROM g GROUP BY withheld")
+@query(f"WITH {_MUTUAL}, g AS (SELECT mu.frame, a % 5 = 0 AS withheld, {M('s.flux / greatest(t.flux, 0.000001)')} AS ratio FROM mu JOIN stars s ON s.id = a JOIN stars t ON t.id = b) SELECT frame, withheld, count(*) AS n, {M('median(ratio)')} AS gain FROM g GROUP BY frame, withheld")
 def gain_rows(spark, d):
     s = stars(spark, d)
     side = lambda c: s.select(F.col("id").alias(c), F.col("flux").alias(f"flux_{c}"))
-    g = spatial.mutual(_near(spark, d)).join(side("a"), "a").join(side("b"), "b")
-    g = g.select((F.col("a") % 5 == 0).alias("withheld"), micro(F.col("flux_a") / F.greatest("flux_b", F.lit(0.000001))).alias("ratio"))
-    return g.groupBy("withheld").agg(F.count(F.lit(1)).alias("n"), micro(F.median("ratio")).alias("gain"))
+    g = spatial.mutual(_near(spark, d), ["frame"]).join(side("a"), "a").join(side("b"), "b")
+    g = g.select("frame", (F.col("a") % 5 == 0).alias("withheld"), micro(F.col("flux_a") / F.greatest("flux_b", F.lit(0.000001))).alias("ratio"))
+    return rank.median(g, ["frame", "withheld"], "ratio").select("frame", "withheld", "n", micro(F.col("med")).alias("gain"))
 
 
-@query(f"WITH {_MUTUAL}, c AS (SELECT floor(x / 10)::BIGINT AS cx, {M('sqrt(d2)')} AS r FROM mu JOIN stars ON id = a) SELECT cx, count(*) AS n, {M('median(r)')} AS p50, max(r) AS worst FROM c GROUP BY cx")
+@query(f"WITH {_MUTUAL}, c AS (SELECT mu.frame, floor(x / 10)::BIGINT AS cx, {M('sqrt(d2)')} AS r FROM mu JOIN stars ON id = a) SELECT frame, cx, count(*) AS n, {M('median(r)')} AS p50, max(r) AS worst FROM c GROUP BY frame, cx")
 def applied_alignment(spark, d):
     s = stars(spark, d).select(F.col("id").alias("a"), F.floor(F.col("x") / 10).alias("cx"))
-    c = spatial.mutual(_near(spark, d)).join(s, "a").withColumn("r", micro(F.sqrt("d2")))
-    return c.groupBy("cx").agg(F.count(F.lit(1)).alias("n"), micro(F.median("r")).alias("p50"), F.max("r").alias("worst"))
+    c = spatial.mutual(_near(spark, d), ["frame"]).join(s, "a").withColumn("r", micro(F.sqrt("d2")))
+    m = rank.median(c, ["frame", "cx"], "r", "p50").join(c.groupBy("frame", "cx").agg(F.max("r").alias("worst")), ["frame", "cx"])
+    return m.select("frame", "cx", "n", micro(F.col("p50")).alias("p50"), "worst")
 
 
 @query(f"WITH {STARS}, k AS (SELECT frame, id, flux, row_number() OVER (PARTITION BY frame ORDER BY flux DESC, id) AS i FROM stars) SELECT frame, id, {M('flux')} AS flux FROM k WHERE i <= 20")

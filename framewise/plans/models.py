@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.robust import MAD_SCALE, micro
-from ..operators import catalog, raster, robust_fit, selection, sequence
-from ..sources.tables import samples, seq, stars, table
-from .catalogue import NUM, SAMPLES, SEQ, STARS, TILES, M, _sites, query
+from ..operators import raster, robust_fit, selection, sequence
+from ..sources.tables import frames, samples, seq, stars, table
+from .catalogue import _NEAR, FRAMES, NUM, SAMPLES, SEQ, STARS, TILES, M, _near, _sites, query
 
 _FOUR = lambda x: f"floor(({x}) * 10000 + 0.5) / 10000"
 _four = lambda c: F.floor(c * 10000 + 0.5) / 10000
@@ -134,14 +134,13 @@ def luminance_replace(spark, d):
     return p.select("x", "y", *[micro(F.col(c) * F.col("g") / F.col("lum")).alias(c) for c in "rgb"])
 
 
-@query(f"""WITH {STARS}, p AS (SELECT a.id AS a, b.id AS b, row_number() OVER (ORDER BY a.id, b.id) - 1 AS i, count(*) OVER () AS n FROM stars a JOIN stars b ON a.frame = 0 AND b.frame = 1 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 16)
-  SELECT a, b FROM p WHERE i IN (SELECT k * (n - 1) // (least(n, 16) - 1) FROM (SELECT max(n) AS n FROM p), (SELECT unnest(range(0, 16)) AS k))""")
+@query(f"""WITH {_NEAR}, p AS (SELECT frame, a, b, row_number() OVER (PARTITION BY frame ORDER BY a, b) - 1 AS i, count(*) OVER (PARTITION BY frame) AS n FROM near),
+  t AS (SELECT frame, k * (n - 1) // (least(n, 16) - 1) AS i FROM (SELECT frame, max(n) AS n FROM p GROUP BY frame), (SELECT unnest(range(0, 16)) AS k) WHERE n > 1 UNION SELECT frame, 0 FROM p)
+  SELECT frame, a, b FROM p JOIN t USING (frame, i)""")
 def pair_subsample(spark, d):
-    from ..operators import spatial
-
-    s = stars(spark, d)
-    near = spatial.within(s.where("frame = 0"), s.where("frame = 1"), 4.0).select("a", "b", F.floor(F.col("a") / 64).alias("step"))
-    return selection.spread_rows(near, "step", ["a", "b"], 16).select("a", "b")
+    near = _near(spark, d).select("frame", "a", "b", F.floor(F.col("a") / 64).alias("step"))
+    placed = sequence.numbered(near, ["frame"], "step", ["a", "b"], "i").join(near.groupBy("frame").agg(F.count(F.lit(1)).alias("n")), "frame")
+    return selection.spread_of_groups(placed, "i", "n", 16).select("frame", "a", "b")
 
 
 @query("SELECT p_partkey, coalesce(p_size, 0) > 5 AND p_retailprice > 905 AND NOT isnan(p_retailprice) AS keep FROM part")
@@ -163,11 +162,13 @@ def duplicate_content(spark, d):
     return h.where("n > 1")
 
 
-@query("SELECT o_orderpriority AS grp, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS frames FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS i FROM orders) WHERE i <= 20 GROUP BY o_orderpriority")
+@query(f"""WITH {FRAMES}, g AS (SELECT grp, count(*) AS members, row_number() OVER (ORDER BY count(*) DESC, grp) AS place FROM frames GROUP BY grp)
+  SELECT grp, members, place, frame_id, row_number() OVER (PARTITION BY grp ORDER BY ts, frame_id) AS pos FROM frames JOIN g USING (grp)""")
 def frames_by_filter(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("grp"), "o_orderkey")
-    top = catalog.numbered_by_group(o, ["grp"], ["o_orderkey"], "i").where("i <= 20")
-    return top.groupBy("grp").agg(F.array_join(F.array_sort(F.collect_list("o_orderkey")).cast("array<string>"), ",").alias("frames"))
+    f = frames(spark, d)
+    g = f.groupBy("grp").agg(F.count(F.lit(1)).alias("members"))
+    g = g.withColumn("place", F.row_number().over(Window.orderBy(F.desc("members"), "grp")))  # one row for each group
+    return sequence.numbered(f, ["grp"], "day", ["ts", "frame_id"], "pos").join(g, "grp").select("grp", "members", "place", "frame_id", "pos")
 
 
 @query(f"WITH {STARS} SELECT frame, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, count(*) AS n FROM stars GROUP BY frame")
