@@ -7,8 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from framewise.llm import decontaminate, lines, ngram_join, packing, quality
 from framewise.llm._common import materialize, read_table
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
