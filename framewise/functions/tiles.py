@@ -130,6 +130,52 @@ def detrended(plane: Column, width: int) -> Column:
     return F.aggregate(F.transform(plane, lambda v, i: F.struct(v.alias("v"), i.alias("i"))), zero, add, end)
 
 
+def _clamped(plane: Column, width: int, height: int, x: Column, y: Column) -> Column:
+    inside = lambda v, n: F.least(F.greatest(v, F.lit(0)), F.lit(n - 1))
+    return _at(plane, inside(y, height) * width + inside(x, width))
+
+
+def bilinear(plane: Column, width: int, height: int, x: Column, y: Column) -> Column:
+    """The value between four neighbours; outside, the border's."""
+    i, j = F.floor(x), F.floor(y)
+    p = lambda dx, dy: _clamped(plane, width, height, i + dx, j + dy)
+    a = p(0, 0) + (p(1, 0) - p(0, 0)) * (x - i)
+    b = p(0, 1) + (p(1, 1) - p(0, 1)) * (x - i)
+    return a + (b - a) * (y - j)
+
+
+def cubic_weights(t: Column) -> list[Column]:
+    """Of the four neighbours along an axis, for an interpolating cubic."""
+    t2, t3 = t * t, t * t * t
+    return [0.5 * (2 * t2 - t3 - t), 0.5 * (3 * t3 - 5 * t2 + 2), 0.5 * (4 * t2 - 3 * t3 + t), 0.5 * (t3 - t2)]
+
+
+def bicubic(plane: Column, width: int, height: int, x: Column, y: Column) -> Column:
+    """The value between sixteen neighbours."""
+    i, j = F.floor(x), F.floor(y)
+    wx, wy = cubic_weights(x - i), cubic_weights(y - j)
+    rows = [sum((w * _clamped(plane, width, height, i + k - 1, j + m - 1) for k, w in enumerate(wx[1:], 1)), wx[0] * _clamped(plane, width, height, i - 1, j + m - 1)) for m in range(4)]
+    return sum((w * r for w, r in zip(wy[1:], rows[1:])), wy[0] * rows[0])
+
+
+def dilated(mask: Column, width: int, height: int) -> Column:
+    """A mask of 0 and 1, with every neighbour of a 1 (diagonal ones too)."""
+    near = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+    return F.transform(mask, lambda v, i: F.greatest(*[_clamped(mask, width, height, i % width + dx, F.floor(i / width) + dy) for dx, dy in near]))
+
+
+def extended_to_edge(mask: Column, width: int, height: int) -> Column:
+    """A mask of 0 and 1, where border cells take over a 1 of the inner cell next to them."""
+    def one(v: Column, i: Column) -> Column:
+        x, y = i % width, F.floor(i / width)
+        ix, iy = F.when(x == 0, 1).when(x == width - 1, width - 2).otherwise(x), F.when(y == 0, 1).when(y == height - 1, height - 2).otherwise(y)
+        at = lambda a, b: _at(mask, b * width + a)
+        edge = (x == 0) | (y == 0) | (x == width - 1) | (y == height - 1)
+        return F.when(edge, F.greatest(v, at(ix, iy), at(ix, y), at(x, iy))).otherwise(v)
+
+    return F.transform(mask, one)
+
+
 def median(values: Column) -> Column:
     """Of an array without nulls; the mean of the middle two where their number is even."""
     pick = lambda s: (F.element_at(s, (F.floor((F.size(s) - 1) / 2) + 1).cast("int")) + F.element_at(s, (F.floor(F.size(s) / 2) + 1).cast("int"))) / 2

@@ -596,7 +596,7 @@ def sky_projection(spark, d):
 
 
 def queries() -> dict:
-    from . import geometry, judgement, measures, models  # noqa: F401  their queries register here
+    from . import geometry, judgement, kernels, measures, models  # noqa: F401  their queries register here
 
     return dict(_QUERIES)
 
