@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +21,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a folder in the session's warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = tempfile.mkdtemp(prefix="framewise-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_framewise"
     return base.rstrip("/")
 
 
@@ -33,13 +32,23 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage is cut, its size is known to the planner,
+def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """df written as Parquet in the shared folder and read back, and where: lineage is cut, its size is known to the planner,
     and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    return written(df, tag)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def replace_columns(df: DataFrame, new: list[str]) -> list[str]:
@@ -125,6 +134,100 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256)
+_LOWER[65:91] += 32
+_BYTE = mix(_LOWER.astype(np.uint64) + U64(0x51ED270B))  # a random value for each byte, alike for both cases of A-Z
+_STEP = U64(0xD1342543DE82EF93)
+_BLOCK = 1 << 19
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, U64(base % (1 << 64)))
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _STEP and of its inverse modulo 2^64."""
+    return _powers(int(_STEP), _BLOCK), _powers(pow(int(_STEP), -1, 1 << 64), _BLOCK)
+
+
+def _hash_spans(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans [first, last): sums of byte values times powers of their place, from running sums."""
+    out, at = np.empty(len(first), np.uint64), 0
+    while at < len(first):
+        low = int(first[at])
+        to = max(at + 1, int(np.searchsorted(last, low + _BLOCK, side="right")))
+        power, inverse = _tables()
+        if (size := int(last[to - 1]) - low) > _BLOCK:  # a single span longer than a block
+            power, inverse = _powers(int(_STEP), size), np.ones(1, np.uint64)
+        total = np.zeros(size + 1, np.uint64)
+        np.cumsum(_BYTE[data[low : low + size]] * power[:size], out=total[1:])
+        out[at:to] = (total[last[at:to] - low] - total[first[at:to] - low]) * inverse[first[at:to] - low]
+        at = to
+    return mix(out + mix((last - first).astype(np.uint64)))
+
+
+def words_in(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, byte after the last) of the words between ASCII white space; a word ends at an edge as well."""
+    word = ~_SPACE[data]
+    flag = np.zeros(len(data) + 1, np.int8)
+    flag[1:-1] = word[1:] != word[:-1]
+    flag[0] = flag[-1] = 1
+    inner = edges[(edges > 0) & (edges < len(data))]
+    begin, end = flag[:-1].astype(bool), flag[1:].astype(bool)
+    begin[inner] = True
+    end[inner - 1] = True
+    return np.flatnonzero(begin & word), np.flatnonzero(end & word) + 1
+
+
+def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets of the texts in them) of a column of texts; nulls are empty."""
+    column = column.cast(pa.large_binary())
+    if column.null_count:
+        column = column.fill_null(b"")
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
+def hash_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all the texts' words, A-Z lower-cased; words of each text). Nulls have no words."""
+    if not len(column):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    data, offsets = bytes_of(column)
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(column), np.int64)
+    first, last = words_in(data, offsets)
+    return _hash_spans(data, first, last), np.diff(np.searchsorted(first, offsets))
+
+
+def hash_words(text: bytes | None) -> np.ndarray:
+    """Of one text."""
+    return hash_texts(pa.array([text], pa.binary()))[0]
+
+
+def split_texts(column: pa.Array) -> list[np.ndarray]:
+    """The word hashes of each text."""
+    words, n = hash_texts(column)
+    ends = np.cumsum(n)
+    return [words[a:b] for a, b in zip((ends - n).tolist(), ends.tolist())]
+
+
+def pieces(batch: pa.RecordBatch, text: int, rows: int = 4096, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with few rows and about `most` bytes of text, or one row."""
+    column = batch.column(text).cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    at = 0
+    while at < batch.num_rows:
+        to = min(at + rows, max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def ngrams(words: np.ndarray, n: int) -> np.ndarray:
     """64-bit hashes of the n-grams of a sequence of word hashes; of the whole sequence as one if it is shorter."""
     if not len(words):

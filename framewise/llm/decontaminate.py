@@ -18,11 +18,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import P1, P2, WordHashes, ascii_words, map_texts, ngrams, read_table
+from ._common import P1, P2, hash_words, map_texts, ngrams, read_table, split_texts
 
 SEED, LEAST, BLOCK = 3, 0.5, 20_000
 MOST = 1_000_000  # rows or window words that are worked on at once
@@ -86,8 +87,8 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int, bytes]], counts: dict[int, int] | None = None, seed: int = SEED, least: float = LEAST):
         """counts: how often n-grams occur in the texts, if known; those that don't occur need no place in the lookup."""
-        self.seed, self.least, self.memo = seed, least, WordHashes()
-        self.items = [(i, self.memo.of(w).copy()) for i, w in ((i, ascii_words(t)) for i, t in items) if len(w) >= seed]
+        self.seed, self.least = seed, least
+        self.items = [(i, w) for i, w in ((i, hash_words(t)) for i, t in items) if len(w) >= seed]
         self.sizes = np.array([len(w) for _, w in self.items], np.int64)
         self.slack = (2 * self.sizes * (1 - least)).astype(np.int64) + 1  # words that an alignment reaching `least` can skip
         grams = [ngrams(w, seed) for _, w in self.items] or [np.zeros(0, np.uint64)]
@@ -150,8 +151,7 @@ class Matcher:
     def leaks(self, texts: list[bytes | None]) -> list[list[dict]]:
         out: list[dict[int, dict]] = [{} for _ in texts]
         todo = []
-        for i, text in enumerate(texts):
-            words = self.memo.of(ascii_words(text))
+        for i, words in enumerate(split_texts(pa.array(texts, pa.binary()))):
             todo += [(i, item, a, words[a:b]) for item, a, b in self.windows(words)]
         todo.sort(key=lambda x: len(x[3]))
         at = 0

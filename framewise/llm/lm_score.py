@@ -8,7 +8,8 @@ millionth, so that sums don't depend on their order.
 Relationally: n-grams (order, hash) are exploded from chunks of documents and summed within a chunk; the count table is
 partitioned by hash, and each chunk's n-grams join it there; the counts return to the chunk, where its words are scored and
 summed by document. Rows are packed: one holds the n-grams of a chunk that fall in one hash range, as sorted 64-bit values less the range's first, so
-a common n-gram is one value for each chunk, however hot it is. Unigrams and bigrams are counted first; a trigram is sent only
+a common n-gram is one value for each chunk, however hot it is. Unigrams and bigrams are counted first, and with them the empty
+n-gram, once for each word, whose count is N; a trigram is sent only
 if the bigrams that it begins and ends with reach `min_count`, as it can't be more frequent than they are. A chunk is a hash class of documents; `chunk_chars` and
 `range_grams` set how many classes and hash ranges there are from the corpus's size, so that either fits a task at any size.
 
@@ -25,29 +26,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import P1, U64, WordHashes, as_bytes, ascii_words, mix, pack_ascending, read_table, unpack_ascending
+from ._common import P1, U64, hash_texts, mix, pack_ascending, read_table, unpack_ascending
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
 CHUNK_CHARS, RANGE_GRAMS = 12_000_000, 4_000_000
+EMPTY = mix(np.array([0xE3779B97F4A7C15], np.uint64))[0]  # stands for the n-gram of no words, which occurs once for each word
 GRAMS = T.StructType([T.StructField("level", T.LongType()), T.StructField("bucket", T.LongType()), T.StructField("chunk", T.LongType()), T.StructField("grams", T.BinaryType()), T.StructField("counts", T.BinaryType())])
 
 
-def grams_of(words: np.ndarray, order: int) -> list[np.ndarray]:
-    """Hashes of the n-grams that end at each word, for n = 1 to order; those of order n begin at word n - 1."""
-    out, h = [], words
-    for n in range(1, order + 1):
-        if n > 1:
-            h = h[:-1] * P1 + words[n - 1 :] if len(words) >= n else words[:0]
-        out.append(mix(h + U64(n)))
-    return out
+class Words:
+    """The words of a chunk's documents: their hashes, place in the document, and n-grams that end at each."""
+
+    def __init__(self, texts: pa.ChunkedArray, order: int):
+        parts = [hash_texts(c) for c in texts.chunks]
+        words, self.n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        self.first = np.cumsum(self.n) - self.n
+        self.place = np.arange(len(words)) - np.repeat(self.first, self.n)
+        self.grams, h = [], words
+        for k in range(1, order + 1):
+            if k > 1:  # where place < k - 1 it holds words of two documents, and is not read
+                h = np.concatenate((h[:1], h[:-1] * P1 + words[1:]))
+            self.grams.append(mix(h + U64(k)))
+
+    def of(self, k: int, among: np.ndarray | None = None) -> np.ndarray:
+        """The n-grams of order k, or those that end at the words among."""
+        return self.grams[k - 1][self.place >= k - 1 if among is None else among]
 
 
 def _count(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, ascending, and how often each occurs."""
     grams = np.sort(grams)
     start = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1]))) if len(grams) else np.zeros(0, np.int64)
     return grams[start], np.diff(np.concatenate((start, [len(grams)])))
 
 
+def _back(grams: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """For each value, what is known of it; known follows the distinct values in ascending order."""
+    by = np.argsort(grams)
+    new = grams[by][1:] != grams[by][:-1]
+    out = np.empty(len(grams), known.dtype)
+    out[by] = known[np.concatenate(([0], np.cumsum(new)))] if len(grams) else known[:0]
+    return out
+
+
 def _pack_counts(counts: np.ndarray) -> bytes:
     """Counts in one byte each; those of 255 and more follow in eight."""
     return len(counts).to_bytes(8, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u8").tobytes()
@@ -80,59 +101,55 @@ def _of_chunks(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table
 
 def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, chunk_chars: int = CHUNK_CHARS, range_grams: int = RANGE_GRAMS) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, log_score (sum), mean_log_score, n_unseen (words that backed off)."""
-    size = docs.agg(F.sum(F.length("text")), F.count(F.lit(1)), F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()
-    chars, n_words = (size[0] or 0) + 16 * size[1], size[2] or 0
+    size = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    chars = (size[0] or 0) + 16 * size[1]
     n_chunks, n_ranges = max(1, -(-chars // chunk_chars)), max(1, -(-chars * order // 6 // range_grams))
     tables = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    source = source.repartition(max(tables, min(n_chunks // 2, 20_000)), "chunk").sortWithinPartitions("chunk")
+    source = source.repartition(max(tables, min(n_chunks, 20_000)), "chunk").sortWithinPartitions("chunk")
     step = (1 << 64) // n_ranges + 1
 
-    def words_of(texts: pa.ChunkedArray) -> tuple[list[list[np.ndarray]], np.ndarray]:
-        """(n-grams by order, of all the chunk's documents; words of each)."""
-        memo = WordHashes()
-        words = [memo.of(ascii_words(t.as_py())) for c in texts.chunks for t in as_bytes(c)]
-        return [np.concatenate(g) for g in zip(*[grams_of(w, order) for w in words])], np.array([len(w) for w in words], np.int64)
-
-    def sent(level: int, chunk: int, flat: np.ndarray) -> pa.Table:
+    def sent(level: int, chunk: int, grams: np.ndarray, counts: np.ndarray) -> pa.Table:
         """A chunk's n-grams of a level, in rows by hash range."""
-        grams, counts = _count(flat)
         edges = np.searchsorted(grams, np.array([i * step for i in range(n_ranges)], np.uint64))
         rows = [(level, i, chunk, pack_ascending(grams[a:b] - U64(i * step)), _pack_counts(counts[a:b])) for i, (a, b) in enumerate(zip(edges, [*edges[1:], len(grams)])) if b > a]
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, _ARROW)], names=GRAMS.names)
 
-    def counts_by_word(flat: list[np.ndarray], n: np.ndarray, replies: pa.Table, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(c, place, wanted): c[k] is the count of the n-gram of order k that ends at each word, 0 where there is none or it can't reach
-        min_count; place is the word's place in its document; wanted: words whose n-gram of order levels + 1 may reach min_count."""
+    both = min(2, order)
+
+    def first_levels(words: Words) -> tuple[np.ndarray, int]:
+        """The n-grams of the first levels, and where the empty n-gram stands among their distinct values."""
+        flat = np.concatenate([words.of(k) for k in range(1, both + 1)])
+        return flat, int(np.searchsorted(_count(flat)[0], EMPTY))
+
+    def counts_by_word(words: Words, replies: pa.Table, levels: int) -> tuple[np.ndarray, np.ndarray]:
+        """(c, wanted): c[k] is the count of the n-gram of order k that ends at each word, 0 where there is none or it can't reach
+        min_count; wanted: words whose n-gram of order levels + 1 may reach min_count."""
         known: dict[int, list] = {}
         for level, bucket, counts in zip(*(replies.column(c).to_pylist() for c in ("level", "bucket", "counts"))):
             known.setdefault(level, []).append((bucket, counts))
         known = {k: np.concatenate([_unpack_counts(x) for _, x in sorted(v)]) for k, v in known.items()}
-        first = np.cumsum(n) - n
-        place = np.arange(int(n.sum())) - np.repeat(first, n)
-        c = np.zeros((order + 1, len(place)), np.int64)
-        c[0] = n_words
-        both = min(2, order)
-        grams, _ = _count(np.concatenate(flat[:both]))
-        for k in range(both):
-            c[k + 1][place >= k] = known.get(both, c[0][:0])[np.searchsorted(grams, flat[k])]
-        wanted = np.zeros(len(place), bool)
+        c = np.zeros((order + 1, len(words.place)), np.int64)
+        flat, at = first_levels(words)
+        c[0] = known[both][at]
+        found, at = _back(flat, np.delete(known[both], at)), 0
+        for k in range(1, both + 1):
+            there = words.place >= k - 1
+            c[k][there] = found[at : (at := at + int(there.sum()))]
+        wanted = np.zeros(len(words.place), bool)
         for k in range(both + 1, levels + 2):  # an n-gram is at most as frequent as what it begins and ends with
             often = c[k - 1] >= min_count
-            wanted = (place >= k - 1) & often & np.concatenate(([False], often[:-1]))
+            wanted = (words.place >= k - 1) & often & np.concatenate(([False], often[:-1]))[: len(often)]
             if k <= levels:
-                own = np.zeros(len(place), np.uint64)
-                own[place >= k - 1] = flat[k - 1]
-                grams, _ = _count(own[wanted])
-                c[k][wanted] = known.get(k, c[0][:0])[np.searchsorted(grams, own[wanted])]
-        return c, place, wanted
-
-    both = min(2, order)
+                c[k][wanted] = _back(words.of(k, wanted), known.get(k, c[0][:0]))
+        return c, wanted
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _of_chunks(batches, "chunk"):
-            flat, _ = words_of(table.column("text"))
-            yield from sent(both, table.column("chunk")[0].as_py(), np.concatenate(flat[:both])).to_batches()
+            words = Words(table.column("text"), both)
+            flat, at = first_levels(words)
+            grams, counts = _count(flat)
+            yield from sent(both, table.column("chunk")[0].as_py(), np.insert(grams, at, EMPTY), np.insert(counts, at, int(words.n.sum()))).to_batches()
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _of_chunks(batches, "bucket"):
@@ -156,9 +173,9 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
 
     def next_level(level: int):
         def pick(docs_of: pa.Table, replies: pa.Table) -> pa.Table:
-            flat, n = words_of(docs_of.column("text"))
-            _, place, wanted = counts_by_word(flat, n, replies, level - 1)
-            return sent(level, docs_of.column("chunk")[0].as_py(), flat[level - 1][wanted[place >= level - 1]])
+            words = Words(docs_of.column("text"), level)
+            _, wanted = counts_by_word(words, replies, level - 1)
+            return sent(level, docs_of.column("chunk")[0].as_py(), *_count(words.of(level, wanted)))
 
         return pick
 
@@ -170,13 +187,13 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
     out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("log_score", T.DoubleType()), T.StructField("mean_log_score", T.DoubleType()), T.StructField("n_unseen", T.LongType())])
 
     def score(docs_of: pa.Table, replies: pa.Table) -> pa.Table:
-        flat, n = words_of(docs_of.column("text"))
-        c, place, _ = counts_by_word(flat, n, replies, order)
-        first = np.cumsum(n) - n
+        words = Words(docs_of.column("text"), order)
+        c, _ = counts_by_word(words, replies, order)
+        place, first, n = words.place, words.first, words.n
         value, unseen = np.zeros(len(place)), np.zeros(len(place), np.int64)
         left = np.ones(len(place), bool)
         for k in range(order, 0, -1):  # the context of an n-gram ends one word earlier
-            before = c[0] if k == 1 else np.concatenate(([0], c[k - 1][:-1]))
+            before = c[0] if k == 1 else np.concatenate(([0], c[k - 1][:-1]))[: len(place)]
             ok = left & (place >= k - 1) & (c[k] >= (min_count if k > 1 else 1))
             cost = np.minimum(order, place + 1) - k
             value[ok] = alpha ** cost[ok] * (c[k][ok] / before[ok])

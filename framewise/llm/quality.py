@@ -15,11 +15,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import WordHashes, ascii_words, map_texts, ngrams, read_table
+from ._common import map_texts, ngrams, read_table, split_texts
 
 N_STATS = 16
 
@@ -66,20 +67,18 @@ _ODD = np.array([ord(c) for c in "#$%&*+/<=>@\\^_`{|}~"])
 _ENDS = np.array([ord(c) for c in ".!?"])
 
 
-def features(texts: list[bytes | None], buckets: int, memo: WordHashes) -> np.ndarray:
+def features(texts: list[bytes | None], buckets: int) -> np.ndarray:
     """Rows of N_STATS statistics and `buckets` hashed words (log counts, unit length)."""
     out = np.zeros((len(texts), N_STATS + buckets), np.float32)
-    for i, text in enumerate(texts):
+    for i, (text, h) in enumerate(zip(texts, split_texts(pa.array(texts, pa.binary())))):
         text = text or b""
         count = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
-        words = ascii_words(text)
-        n, size = max(1, len(words)), max(1, len(text))
+        n, size = max(1, len(h)), max(1, len(text))
         letters = max(1, int(count[_UPPER].sum() + count[_LOWER].sum()))
-        h = memo.of(words)
         pairs = ngrams(h, 2) if len(h) > 1 else h
         lines = [x for x in text.split(b"\n") if x.strip()]
         out[i, :N_STATS] = (
-            np.log1p(size), np.log1p(len(words)), np.log1p(len(lines)), size / n, np.log1p(n / max(1, len(lines))),
+            np.log1p(size), np.log1p(len(h)), np.log1p(len(lines)), size / n, np.log1p(n / max(1, len(lines))),
             count[_UPPER].sum() / letters, count[_DIGIT].sum() / size, count[_PUNCT].sum() / n, count[_ODD].sum() / n, count[_ENDS].sum() / n,
             count[128:].sum() / size, len(np.unique(h)) / n, len(np.unique(pairs)) / n, float((h[1:] == h[:-1]).mean()) if len(h) > 1 else 0.0,
             len(set(lines)) / max(1, len(lines)), np.sqrt(np.bincount((h % np.uint64(1024)).astype(np.int64)).max() / n) if len(h) else 0.0,
@@ -133,9 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Machine:
     buckets = p.buckets
 
     def sparse(texts: list) -> list:
-        if not hasattr(sparse, "memo"):
-            sparse.memo = WordHashes()
-        x = features(texts, buckets, sparse.memo)
+        x = features(texts, buckets)
         at = [np.flatnonzero(r) for r in x]
         return [[k.astype(np.int32).tobytes() for k in at], [r[k].tobytes() for r, k in zip(x, at)]]
 
@@ -153,9 +150,7 @@ def score(docs: DataFrame, machine: Machine, p: Params = Params(), keep: list[st
     buckets, threshold = p.buckets, p.threshold
 
     def run(texts: list) -> list:
-        if not hasattr(run, "memo"):
-            run.memo = WordHashes()
-        s = machine.score(features(texts, buckets, run.memo)).astype(np.float64)
+        s = machine.score(features(texts, buckets)).astype(np.float64)
         return [s.tolist(), (s >= threshold).astype(np.int32).tolist()]
 
     return map_texts(docs, run, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], keep=keep)
