@@ -8,7 +8,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,28 +101,6 @@ def to_arrow(kind: T.DataType) -> pa.DataType:
     }[kind.simpleString()]
 
 
-class WordHashes(dict):
-    """Word (bytes) -> the 8 bytes of its 64-bit hash. Bounded: it is emptied when it holds `most` words."""
-
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word).to_bytes(8, "little")
-        return found
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), U64)
-
-
-def ascii_words(text: bytes | None) -> list[bytes]:
-    """Words between ASCII white space, A-Z lower-cased (bytes.lower and bytes.split know ASCII only)."""
-    return text.lower().split() if text else []
-
-
 P1, P2, P3 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
 

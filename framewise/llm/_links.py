@@ -6,17 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import materialize, pack_ascending, spread, unpack_ascending
+from ._common import materialize, mix, pack_ascending, remove, spread, unpack_ascending, written
 
 CHAIN = 2  # earlier members of its run that a member is compared with, besides the first
 WHOLE = CHAIN + 2  # in a run of so many members at most, that compares every two
-MOST_BROADCAST = 500_000
+COLLECTED = 2_000_000  # signatures that a task collects before it sends them, and about as many as fall in a hash range
+LONG = 32  # members of a run within a collection that go to the signature's range
 BLOCK = 4096  # members of a run that are compared within one task
+MOST_BITS = 1 << 29  # of a bitmap that is broadcast: 64 MB
 CLASSES, WRAP = 256, 16  # of the sketch: how many elements of a set fall in each class, modulo WRAP
 
 
@@ -40,57 +43,131 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.minimum(d, WRAP - d).sum(axis=1, dtype=np.int64)
 
 
-def find_runs(rows: DataFrame) -> DataFrame:
-    """From rows (sig, node, n, copy_of, sketch): members of runs of equal sig, past the first, with the first and the members just before.
-
-    Rows with n < 0 are no signatures but facts about a node (-n - 1 is its size); they pass through with sig null. One shuffle
-    by sig; each task reads its sorted rows as a stream, so a run needs no memory however long it is."""
+def pack_values(values: np.ndarray) -> bytes:
+    """Integers in any order: the least, and the others less it in as many bytes each as the largest needs."""
+    low = values.min() if len(values) else np.int64(0)
+    rest = values.view(np.uint64) - low.view(np.uint64)
+    width = max(1, (int(rest.max(initial=0)).bit_length() + 7) // 8)
+    return low.tobytes() + bytes([width]) + rest.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack_values(blob: bytes) -> np.ndarray:
+    rows = np.frombuffer(blob, np.uint8, offset=9).reshape(-1, blob[8])
+    out = np.zeros((len(rows), 8), np.uint8)
+    out[:, : blob[8]] = rows
+    return (out.view(np.uint64).ravel() + np.frombuffer(blob, np.uint64, 1)).view(np.int64)
+
+
+SENT = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("sigs", T.BinaryType()), T.StructField("nodes", T.BinaryType()), T.StructField("sizes", T.BinaryType())])
+SENT = SENT.add("node", T.LongType()).add("n", T.LongType()).add("copy_of", T.LongType()).add("sketch", T.BinaryType())
+
+
+class Sender:
+    """Collects a task's signatures (64-bit hashes, of which the upper 48 bits count), nodes and sizes, and gives them as packed rows
+    by hash range. A run of more than LONG members of one collection goes to a task of its own, and only its first member to the range,
+    so a range receives at most LONG members of a signature from each collection, however common the signature is."""
+
+    def __init__(self, n_ranges: int):
+        self.n_ranges, self.held, self.n = n_ranges, [], 0
+
+    def add(self, sig: np.ndarray, node: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((sig, node, n))
+        self.n += len(sig)
+        if self.n >= COLLECTED:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.n:
+            return
+        sig, node, n = (np.concatenate(x) for x in zip(*self.held))
+        self.held, self.n = [], 0
+        sig = sig >> np.uint64(16)
+        by = np.argsort(sig)
+        sig, node, n = sig[by], node[by].astype(np.int64), n[by].astype(np.int64)
+        start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        size = np.diff(np.append(start, len(sig)))
+        rows = []
+        if (size > LONG).any():
+            long = np.repeat(size > LONG, size)
+            first = np.minimum.reduceat(node, start)
+            rest = long & (node != np.repeat(first, size))
+            own = long.nonzero()[0]
+            for part in np.array_split(own, range(COLLECTED, len(own), COLLECTED)) if len(own) else []:
+                key = -1 - int(xxhash.xxh3_64_intdigest(node[part].tobytes() + sig[part].tobytes()) >> 1)
+                rows.append((key, sig[part], node[part], n[part]))
+            sig, node, n = sig[~rest], node[~rest], n[~rest]
+        step = (1 << 48) // self.n_ranges + 1
+        edges = [*np.searchsorted(sig, np.arange(self.n_ranges, dtype=np.uint64) * np.uint64(step)), len(sig)]
+        rows += [(i, sig[a:b], node[a:b], n[a:b]) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
+        for at in range(0, len(rows), 1000):
+            k, s, v, m = zip(*rows[at : at + 1000])
+            packed = [pa.array(k, pa.int64()), pa.array([x[:1].tobytes() + pack_ascending(x - x[0]) for x in s], pa.binary()), pa.array([pack_values(x) for x in v], pa.binary()), pa.array([pack_values(x) for x in m], pa.binary())]
+            yield pa.RecordBatch.from_arrays(packed + [pa.nulls(len(k), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())], names=SENT.names)
+
+    @staticmethod
+    def facts(node: list, n: list, copy_of: list, sketch: list) -> pa.RecordBatch:
+        """Facts about nodes, which go along: size, the node that it is a copy of, sketch."""
+        key = mix(np.array([0 if x is None else x for x in node], np.int64).view(np.uint64)).view(np.int64)
+        none = [pa.nulls(len(node), pa.binary())] * 3
+        return pa.RecordBatch.from_arrays([pa.array(key), *none, pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(copy_of, pa.int64()), pa.array(sketch, pa.binary())], names=SENT.names)
+
+
+def ranges(n_signatures: int) -> int:
+    return max(1, -(-n_signatures // COLLECTED))
+
+
+def find_runs(rows: DataFrame, n_ranges: int) -> DataFrame:
+    """From a Sender's rows: members of runs of equal sig, past the first, with the first and the members just before; and the facts,
+    with sig null. One shuffle of packed rows; a task works on one hash range at a time."""
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("sig", "node", "n", "copy_of")] + [T.StructField("sketch", T.BinaryType())])
     schema = schema.add("m", T.LongType()).add("first", T.LongType()).add("first_n", T.LongType())
     for i in range(CHAIN):
         schema = schema.add(f"prev{i}", T.LongType()).add(f"prev{i}_n", T.LongType())
-    ordered = rows.repartition(spread(rows), "sig").sortWithinPartitions("sig", "node")
+    ordered = rows.repartition(max(spread(rows), min(n_ranges, 20_000)), "bucket").sortWithinPartitions("bucket")
+
+    def members(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        sig = np.concatenate([unpack_ascending(x[0][8:]) + np.frombuffer(x[0], np.uint64, 1) for x in held]).view(np.int64)
+        node, n = (np.concatenate([unpack_values(x[i]) for x in held]) for i in (1, 2))
+        by = np.argsort(sig)
+        sig = sig[by]
+        same = sig[1:] == sig[:-1]
+        some = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        sig, node, n = sig[some], node[by[some]], n[by[some]]
+        by = np.lexsort((node, sig))
+        sig, node, n = sig[by], node[by], n[by]
+        fresh = np.ones(len(sig), bool)
+        fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])  # a repeated row is one member
+        sig, node, n = sig[fresh], node[fresh], n[fresh]
+        if not len(sig):
+            return
+        start = np.concatenate(([True], sig[1:] != sig[:-1]))
+        first = np.flatnonzero(start)[np.cumsum(start) - 1]
+        place = np.arange(len(sig)) - first
+        for new in np.array_split(np.flatnonzero(place), range(100_000, int((place > 0).sum()), 100_000)):
+            columns = [pa.array(sig[new]), pa.array(node[new]), pa.array(n[new]), pa.nulls(len(new), pa.int64()), pa.nulls(len(new), pa.binary()), pa.array(place[new] + 1), pa.array(node[first[new]]), pa.array(n[first[new]])]
+            for i in range(CHAIN):
+                k = new - 1 - i
+                no = k <= first[new]  # that is the first itself
+                k = np.where(no, 0, k)
+                columns += [pa.array(node[k], mask=no), pa.array(n[k], mask=no)]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = None  # of the last run so far: its sig, first node and size, the members seen, and the last CHAIN nodes and sizes
+        held, bucket = [], None
         for batch in batches:
-            n_all = batch.column(2).to_numpy()
-            facts = np.flatnonzero(n_all < 0)
-            if len(facts):
-                f = batch.take(pa.array(facts))
-                none = pa.nulls(len(facts), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, f.column(1), pa.array(-n_all[facts] - 1), f.column(3), f.column(4)] + [none] * (3 + 2 * CHAIN), names=schema.names)
-            keep = np.flatnonzero(n_all >= 0)
-            if not len(keep):
-                continue
-            sig, node, n = (batch.column(i).fill_null(0).to_numpy()[keep] for i in range(3))
-            if tail is not None:  # as if the last run's first and latest members stood before this batch
-                sig, node, n = (np.concatenate((a, b)) for a, b in zip(tail["rows"], (sig, node, n)))
-            fresh = np.ones(len(sig), bool)
-            fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])  # a repeated row is one member
-            old = len(tail["rows"][0]) if tail is not None else 0
-            fresh[:old] = True
-            sig, node, n = sig[fresh], node[fresh], n[fresh]
-            start = np.concatenate(([True], sig[1:] != sig[:-1]))
-            at = np.flatnonzero(start)
-            run_of = np.cumsum(start) - 1
-            first = at[run_of]
-            place = np.arange(len(sig)) - first
-            m = place + 1
-            if tail is not None:
-                m[run_of == 0] += tail["m"] - old
-            new = np.flatnonzero((place > 0) & (np.arange(len(sig)) >= old))
-            if len(new):
-                columns = [pa.array(sig[new]), pa.array(node[new]), pa.array(n[new]), pa.nulls(len(new), pa.int64()), pa.nulls(len(new), pa.binary()), pa.array(m[new]), pa.array(node[first[new]]), pa.array(n[first[new]])]
-                for i in range(CHAIN):
-                    k = new - 1 - i
-                    no = k <= first[new]  # that is the first itself
-                    k = np.where(no, 0, k)
-                    columns += [pa.array(node[k], mask=no), pa.array(n[k], mask=no)]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-            last = np.arange(at[-1], len(sig))
-            stay = last if len(last) <= CHAIN + 1 else np.concatenate((last[:1], last[-CHAIN:]))
-            tail = {"rows": (sig[stay], node[stay], n[stay]), "m": int(m[-1])}
+            facts = batch.filter(pc.is_null(batch.column(1)))
+            if facts.num_rows:
+                none = pa.nulls(facts.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([none, *facts.columns[4:]] + [none] * (3 + 2 * CHAIN), names=schema.names)
+            packed = batch.filter(pc.is_valid(batch.column(1)))
+            for key, *blobs in zip(packed.column(0).to_pylist(), *(packed.column(i) for i in (1, 2, 3))):
+                if held and key != bucket:
+                    yield from members(held)
+                    held = []
+                bucket = key
+                held.append([x.as_py() for x in blobs])
+        if held:
+            yield from members(held)
 
     return ordered.mapInArrow(run, schema)
 
@@ -132,9 +209,8 @@ def near_sketches(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame
 
 
 def pack_set(elements: np.ndarray) -> bytes:
-    """A sorted set for jaccard_links: the upper 48 bits of each 64-bit hash, as differences. Two elements of a pair of sets of a
-    thousand fall together once in 10^8 pairs."""
-    return pack_ascending(elements >> np.uint64(16))
+    """A sorted set for jaccard_links, as differences."""
+    return pack_ascending(elements)
 
 
 def jaccard_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -170,10 +246,11 @@ def other_pairs(runs: DataFrame, facts: DataFrame, comps: DataFrame, percent: in
     of = lambda node, comp: comps.select(F.col("node").alias(node), F.col("comp").alias(comp))
     stars = real.select("first", "node").distinct().join(of("node", "own"), "node", "left").join(of("first", "its"), "first", "left")
     apart = materialize(stars.where("coalesce(own, node) <> coalesce(its, first)").select("first", "node"), "apart")
-    mixed = materialize(real.join(sized(apart), ["first", "node"], "left_semi").select("sig").distinct(), "mixed")
-    found = materialize(real.join(sized(mixed), "sig", "left_semi").select("sig", "node", "first", "m"), "members")
-    long = found.groupBy("sig").agg(F.max("m").alias("m")).where(F.col("m") > WHOLE)
-    rows = found.select("sig", "node").unionByName(found.where("m = 2").select("sig", F.col("first").alias("node")))
+    mixed = materialize(semi(real, apart, ["first", "node"]).select("sig").distinct(), "mixed")
+    found = semi(real, mixed, ["sig"])
+    found = materialize(found.select("sig", "node").unionByName(found.select("sig", F.col("first").alias("node"))).distinct(), "members")
+    long = found.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > WHOLE)
+    rows = found
     rows = rows.join(long, "sig").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(facts.select("node", "n", "sketch"), "node")
     rows = rows.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -219,9 +296,52 @@ def other_pairs(runs: DataFrame, facts: DataFrame, comps: DataFrame, percent: in
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """A written table of a few numbers a row: broadcast if it has MOST_BROADCAST rows at most, else joined by a shuffle."""
-    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+def numbers(docs: DataFrame, size: Column) -> DataFrame:
+    """(doc_id, digest, start): numbers from 0 for each distinct (doc_id, digest), ascending with doc_id; each takes as many as size
+    says, the largest of its rows. docs: (doc_id, digest, ...); rows with a null doc_id get none."""
+    sizes = docs.where("doc_id IS NOT NULL").groupBy("doc_id", "digest").agg(F.max(size).cast("long").alias("n"))
+    ordered = sizes.repartitionByRange(spread(docs), "doc_id", "digest").sortWithinPartitions("doc_id", "digest").withColumn("part", F.spark_partition_id())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in batches:
+            n = batch.column(2).to_numpy()
+            ends = total + np.cumsum(n, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends - n)], names=["doc_id", "digest", "n", "part", "start"])
+            total = int(ends[-1]) if len(ends) else total
+
+    placed = materialize(ordered.mapInArrow(run, "doc_id long, digest long, n long, part int, start long"), "numbers")
+    parts = placed.groupBy("part").agg(F.sum("n").alias("in_part"))  # one row for each writing task
+    parts = parts.select("part", (F.sum("in_part").over(Window.orderBy("part")) - F.col("in_part")).alias("before"))
+    return placed.join(F.broadcast(parts), "part").select("doc_id", "digest", (F.col("start") + F.col("before")).alias("start"), "n")
+
+
+def facts_of(docs: DataFrame) -> tuple[int, bool, int, int, int]:
+    """(bytes of text, whether a doc_id stands on different texts, least and greatest doc_id, bytes of the longest text)."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    by = docs.select("doc_id", F.xxhash64("text").alias("h"), size.alias("size")).groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.sum("size").alias("all"), F.max("size").alias("most"))
+    found = by.agg(F.sum("all"), F.max((F.col("a") != F.col("b")) & F.col("doc_id").isNotNull()), F.min("doc_id"), F.max("doc_id"), F.max("most")).first()
+    return found[0] or 0, bool(found[1]), found[2] or 0, found[3] or 0, found[4] or 0
+
+
+def among(df: DataFrame, key: Column, keys: DataFrame, own: Column) -> DataFrame:
+    """The rows of df whose key may be among those of a written table; all that are, and few others. A bitmap of at most MOST_BITS
+    bits, in rows of 4 KB, is broadcast, whatever the number of keys; the scan of df then drops rows without a shuffle."""
+    bits = 1 << 15
+    while bits < min(16 * keys.count(), MOST_BITS):
+        bits *= 2
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(bits))
+    maps = keys.select(place(own).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("__map")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bits"))
+    found = df.withColumn("__p", place(key)).join(F.broadcast(maps), F.bitmap_bucket_number("__p") == F.col("__map"))
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(bitmap_bit_position(__p) div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    bit = F.expr("cast(shiftleft(1, cast(bitmap_bit_position(__p) % 8 as int)) as int)")
+    return found.where(byte.bitwiseAND(bit) != 0).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def semi(df: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
+    """The rows of df with a partner in a written table: first by its bitmap, then exactly."""
+    both = F.xxhash64(*by)
+    return among(df, both, keys, both).join(keys.select(*by), by, "left_semi")
 
 
 def components(links: DataFrame, tag: str = "components", most_rounds: int = 60) -> DataFrame:
@@ -229,7 +349,9 @@ def components(links: DataFrame, tag: str = "components", most_rounds: int = 60)
 
     Large-star and small-star steps in turn, until no edge changes. Minima are summed up on the map side, so a node with very
     many links is one row for each task; each round is written to the shared folder."""
-    edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), tag)
+    edges, path = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), tag)
+    # Minima are exchanged anew (u + 0), so that both sides of a join are shuffles and adaptive execution can split a hot u.
+    lowest = lambda x, low: x.groupBy("u").agg(low.alias("low")).select((F.col("u") + F.lit(0)).alias("u"), "low")
     before = None
     for _ in range(most_rounds):
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -237,11 +359,12 @@ def components(links: DataFrame, tag: str = "components", most_rounds: int = 60)
             break
         before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("low"))
+        large = both.where("v > u").join(lowest(both, F.least(F.min("v"), F.col("u"))), "u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
+        low = lowest(large, F.min("v"))
         small = large.join(low, "u").select(F.col("v").alias("x"), "low").where("x <> low").unionByName(low.select(F.col("u").alias("x"), "low"))
-        edges = materialize(small.select(F.greatest("x", "low").alias("u"), F.least("x", "low").alias("v")).distinct(), tag)
+        last = path
+        edges, path = written(small.select(F.greatest("x", "low").alias("u"), F.least("x", "low").alias("v")).distinct(), tag)
+        remove(links.sparkSession, last)
     else:
         raise RuntimeError("components: the links didn't settle")
     comps = edges.groupBy("u").agg(F.min("v").alias("comp"))
@@ -255,7 +378,7 @@ def resolve(runs: DataFrame, facts: DataFrame, sets_of, copies: DataFrame | None
     nodes = lambda p: p.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
     def exact(pairs: DataFrame) -> DataFrame:
-        return materialize(jaccard_links(pairs, sets_of(sized(materialize(nodes(pairs), "nodes"))), percent), "links")
+        return materialize(jaccard_links(pairs, sets_of(materialize(nodes(pairs), "nodes")), percent), "links")
 
     pairs = materialize(near_sketches(first_pairs(runs, percent), facts, percent), "pairs")
     links = exact(pairs.where("NOT same")).unionByName(pairs.where("same").select("a", "b", F.col("n").alias("common"), F.col("n").alias("either")))

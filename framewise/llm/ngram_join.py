@@ -7,14 +7,15 @@ domain is split by hash into n1 >= k + 1 parts; at most k parts hold a differenc
 aren't empty agrees with any partner in one of them that isn't empty: that part's elements, hashed, are a shared signature.
 Sets with fewer such parts also sign their empty parts, and so meet each other. No link is lost, whatever the data.
 
-Signatures meet in one shuffle. In each run of equal signatures every member is compared with the first and those just
+Signatures meet in one shuffle, packed by hash range. In each run of equal signatures every member is compared with the first and those just
 before it; what that links is summed up to components, and members of different components are then compared in blocks.
 Sizes and 256-class sketches (lower bounds of the difference) discard pairs before exact sets are fetched. Texts met twice in
 a task are signed once.
 
 Defined results: null, empty and blank texts have n_shingles 0 and are linked with nothing; a text of fewer than 5 words is
 one shingle; repeated rows each give a row; rows with a null doc_id give a row without a component; an empty table gives
-none. Columns besides doc_id and text are ignored."""
+none. Where a doc_id stands on different texts, each text is a node of its own (numbered in order of doc_id, which shuffles the
+texts once more) and those of one doc_id are in one component. Columns besides doc_id and text are ignored."""
 
 from __future__ import annotations
 
@@ -28,10 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import U64, WordHashes, as_bytes, ascii_words, map_texts, materialize, mix, ngrams, read_table
-from ._links import find_runs, pack_set, resolve, sketches
+from ._common import U64, as_bytes, materialize, mix, ngrams, pieces, read_table, split_texts
+from ._links import SENT, Sender, among, facts_of, find_runs, numbers, pack_set, ranges, resolve, sketches
 
 WORDS, PERCENT = 5, 80
+CHARS = 8  # bytes of text to a signature, about
 
 
 class PartEnum:
@@ -52,86 +54,91 @@ class PartEnum:
         return out
 
     def sign(self, elements: np.ndarray) -> np.ndarray:
-        out = []
+        out, h = [], mix(elements ^ U64(0x5851F42D4C957F2D))
+        low, high = (h & U64(0xFFFFFFFF)).astype(np.float64), (h >> U64(32)).astype(np.float64)
         for j, k in self.bands(len(elements)):
             if k == 0:
                 parts, n1 = np.zeros(len(elements), np.int64), 1
             else:
                 n1 = k + 2 + (k + 12) // 12
                 parts = ((mix(elements + U64(2 * j + 1)) >> U64(32)) * U64(n1) >> U64(32)).astype(np.int64)
-            h = mix(elements ^ U64(0x5851F42D4C957F2D))
-            low = np.bincount(parts, (h & U64(0xFFFFFFFF)).astype(np.float64), n1).astype(np.uint64)
-            high = np.bincount(parts, (h >> U64(32)).astype(np.float64), n1).astype(np.uint64)
             filled = np.bincount(parts, minlength=n1) > 0
-            signs = mix(low + mix(high + U64(j << 32) + np.arange(n1, dtype=np.uint64)))
+            signs = mix(np.bincount(parts, low, n1).astype(np.uint64) + mix(np.bincount(parts, high, n1).astype(np.uint64) + U64(j << 32) + np.arange(n1, dtype=np.uint64)))
             out.append(signs[filled] if filled.sum() > k else signs)
         return np.concatenate(out)
 
 
-def shingles(text: bytes | None, memo: WordHashes, n: int = WORDS) -> np.ndarray:
-    words = ascii_words(text)
-    return np.unique(ngrams(memo.of(words), n)) if words else np.zeros(0, np.uint64)
+def shingles(words: np.ndarray, n: int = WORDS) -> np.ndarray:
+    """The set of a sequence of word hashes."""
+    return np.unique(ngrams(words, n))
 
 
-def signatures(docs: DataFrame, percent: int, words: int) -> DataFrame:
-    """Rows for find_runs: a document's signatures, and one row of facts (its size, its sketch, the document it is a copy of)."""
-    names = ["sig", "node", "n", "copy_of", "sketch"]
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in names[:4]] + [T.StructField("sketch", T.BinaryType())])
+def signatures(docs: DataFrame, percent: int, words: int, n_ranges: int) -> DataFrame:
+    """Rows for find_runs of rows (node, text): signatures, and for each row its size, its sketch and the node that it is a copy of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, scheme, seen = WordHashes(), PartEnum(percent), {}
+        sender, scheme, seen = Sender(n_ranges), PartEnum(percent), {}
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                sigs, nodes, sizes, facts = [], [], [], []
-                for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)).to_pylist()):
-                    e = shingles(text, memo, words)
-                    copy_of, key = None, xxhash.xxh3_128_digest(text or b"")
-                    if doc is not None and len(e):
+            for batch in pieces(whole, 1):
+                sets = [shingles(w, words) for w in split_texts(batch.column(1))]
+                nodes, copies = batch.column(0).to_pylist(), []
+                sigs, of = [], []
+                for node, e, text in zip(nodes, sets, as_bytes(batch.column(1))):
+                    copy_of = None
+                    if node is not None and len(e):
+                        key = xxhash.xxh3_128_digest(text.as_buffer())
                         copy_of = seen.get(key)
                         if copy_of is None:
                             if len(seen) >= 200_000:
                                 seen.clear()
-                            seen[key] = doc
-                            s = scheme.sign(e)
-                            sigs.append(s), nodes.append(np.full(len(s), doc)), sizes.append(np.full(len(s), len(e)))
-                    facts.append((0 if doc is None else doc, doc, -len(e) - 1, copy_of, sketches(e, np.array([len(e)]))[0]))
-                own, nulls = [list(x) for x in zip(*facts)], sum(map(len, sigs))
-                spread_out = mix(np.array(own[0], np.int64).view(np.uint64)).view(np.int64)
-                columns = [
-                    pa.array(np.concatenate([*(s.view(np.int64) for s in sigs), spread_out])),
-                    pa.concat_arrays([pa.array(np.concatenate(nodes) if nodes else [], pa.int64()), pa.array(own[1], pa.int64())]),
-                    pa.array(np.concatenate([*sizes, own[2]]).astype(np.int64)),
-                    pa.concat_arrays([pa.nulls(nulls, pa.int64()), pa.array(own[3], pa.int64())]),
-                    pa.concat_arrays([pa.nulls(nulls, pa.binary()), pa.array(own[4], pa.binary())]),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+                            seen[key] = node
+                            sigs.append(scheme.sign(e)), of.append((node, len(sigs[-1]), len(e)))
+                    copies.append(copy_of)
+                sizes = np.array([len(e) for e in sets], np.int64)
+                yield Sender.facts(nodes, sizes.tolist(), copies, sketches(np.concatenate(sets), sizes))
+                if sigs:
+                    node, times, n = np.array(of, np.int64).T
+                    yield from sender.add(np.concatenate(sigs), np.repeat(node, times), np.repeat(n, times))
+        yield from sender.flush()
+
+    return docs.select("node", "text").mapInArrow(run, SENT)
 
 
 def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
-    """(documents, links): doc_id, n_shingles, component_id for each row of docs, and the links (a, b, common, either) found on the way
-    (all links between different texts of short runs, and enough of the others to connect what is connected)."""
+    """(documents, links): doc_id, n_shingles, component_id for each row of docs, and the links (a, b, common, either) between nodes found
+    on the way (all links between different texts of short runs, and enough of the others to connect what is connected)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = materialize(find_runs(signatures(docs, percent, words)), "runs")
+    size, conflict, *_ = facts_of(docs)
+    placed, ids = docs.withColumnRenamed("doc_id", "node"), None
+    if conflict:
+        docs = docs.withColumn("digest", F.xxhash64("text"))
+        ids = materialize(numbers(docs, F.lit(1)), "ids")
+        placed = docs.join(ids, ["doc_id", "digest"], "left").select(F.col("start").alias("node"), "text")
+    found = materialize(find_runs(signatures(placed, percent, words, ranges(size // CHARS)), ranges(size // CHARS)), "runs")
     own = found.where("sig IS NULL")
     facts = own.where("node IS NOT NULL").groupBy("node").agg(F.max(F.struct("n", "sketch")).alias("x")).select("node", "x.n", "x.sketch")
-    copies = own.where("copy_of IS NOT NULL").select(F.col("copy_of").alias("a"), F.col("node").alias("b"))
+    certain = own.where("copy_of IS NOT NULL").select(F.col("copy_of").alias("a"), F.col("node").alias("b"))
+    if ids is not None:
+        rest = ids.join(ids.groupBy("doc_id").agg(F.min("start").alias("low")), "doc_id").where("low < start")
+        certain = certain.unionByName(rest.select(F.col("low").alias("a"), F.col("start").alias("b")))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        fetched = docs.join(nodes.withColumnRenamed("node", "__node"), F.col("doc_id") == F.col("__node"), "left_semi")
-
-        def run(texts: list) -> list:
-            if not hasattr(run, "memo"):
-                run.memo = WordHashes()
-            return [[pack_set(shingles(t, run.memo, words)) for t in texts]]
-
-        return map_texts(fetched, run, [T.StructField("elements", T.BinaryType())], keep=["doc_id"]).withColumnRenamed("doc_id", "node")
-
-    comps, links = resolve(found, facts, sets_of, copies, percent)
-    out = own.select(F.col("node").alias("doc_id"), F.col("n").alias("n_shingles")).join(comps.withColumnRenamed("node", "__node"), F.col("doc_id") == F.col("__node"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id")), links
+        fetched = among(placed, F.col("node"), nodes, F.col("node"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in pieces(whole, 1):
+                    sets = [pack_set(shingles(w, words)) for w in split_texts(batch.column(1))]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "elements"])
+
+        return fetched.where("node IS NOT NULL").mapInArrow(run, "node long, elements binary").dropDuplicates(["node"])
+
+    comps, links = resolve(found, facts, sets_of, certain, percent)
+    out = own.select("node", "n").join(comps.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("node", F.col("n").alias("n_shingles"), F.coalesce("comp", "node").alias("comp"))
+    if ids is None:
+        return out.select(F.col("node").alias("doc_id"), "n_shingles", F.col("comp").alias("component_id")), links
+    of = lambda node, doc: ids.select(F.col("start").alias(node), F.col("doc_id").alias(doc))
+    return out.join(of("node", "doc_id"), "node", "left").join(of("comp", "component_id"), "comp", "left").select("doc_id", "n_shingles", "component_id"), links
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:

@@ -15,9 +15,9 @@ passage takes no memory.
 Defined results: null, empty and short texts have no removals; of repeated rows (equal doc_id and text) one stands for all;
 rows with a null doc_id take no part; an empty table gives no rows. Other columns are ignored.
 
-A node is a place in a document as one long. Where doc_ids are below 2^41 in size and texts below 8 MB it is doc_id * 2^22 +
-the place; else documents get numbers in order of their doc_id, long ones several in a row, so every doc_id and every word of
-a text has a node, in the same order."""
+A node is a place in a document as one long. Where doc_ids are below 2^41 in size, none stands on different texts and texts are
+below 8 MB it is doc_id * 2^22 + the place; else (doc_id, text) get numbers in order of doc_id, long ones several in a row, so every
+doc_id, every text and every word has a node, in the same order."""
 
 from __future__ import annotations
 
@@ -30,13 +30,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import U64, WordHashes, as_bytes, materialize, mix, ngrams, read_table, spread
-from ._links import find_runs, pack_set, resolve, sketches
+from ._common import U64, as_bytes, bytes_of, hash_texts, materialize, mix, ngrams, pieces, read_table, words_in
+from ._links import SENT, Sender, among, facts_of, find_runs, numbers, pack_set, ranges, resolve, sketches
 
 WORDS, PERCENT, BANDS, ROWS = 5, 80, 12, 3
 LEAST_WORDS, LEAST_PASSAGE, REACH = 20, 24, 4
 PLACES = 1 << 22  # places under one number of a document
-UNIT = 1 << 32  # added to n in rows that are units
+CHARS = 12  # bytes of text to a signature, about
 _A = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | U64(1)
 
 
@@ -51,14 +51,16 @@ def cuts(words: np.ndarray, reach: int = REACH) -> np.ndarray:
     return np.flatnonzero((g < before) & (g <= after))
 
 
-def paragraphs(text: bytes, memo: WordHashes) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Word hashes of a text, and (first word, words) of each of its lines."""
-    lines = [line.split() for line in text.lower().split(b"\n")]
-    words, places, at = memo.of([w for line in lines for w in line]), [], 0
-    for line in lines:
-        places.append((at, len(line)))
-        at += len(line)
-    return words, places
+def paragraphs(column: pa.Array) -> Iterator[tuple[np.ndarray, list[tuple[int, int]]]]:
+    """Of each text: the word hashes, and (first word, words) of each of its lines that has words."""
+    words, n = hash_texts(column)
+    data, offsets = bytes_of(column) if len(words) else (np.zeros(0, np.uint8), np.zeros(len(n) + 1, np.int64))
+    line = np.searchsorted(np.flatnonzero(data == 10), words_in(data, offsets)[0]) if len(words) else np.zeros(0, np.int64)
+    ends = np.cumsum(n)
+    for a, b in zip((ends - n).tolist(), ends.tolist()):
+        own = line[a:b]
+        start = np.flatnonzero(np.concatenate(([b > a], own[1:] != own[:-1])))
+        yield words[a:b], list(zip(start.tolist(), np.diff(np.append(start, b - a)).tolist()))
 
 
 def min_bands(sets: list[np.ndarray]) -> np.ndarray:
@@ -74,36 +76,17 @@ def min_bands(sets: list[np.ndarray]) -> np.ndarray:
     return out.T
 
 
-def numbers(docs: DataFrame) -> DataFrame | None:
-    """(number, __doc, base) of the documents' numbers: a node belongs to the document with its number (node >> 22), at place
-    node - base. None if doc_ids can be the numbers."""
-    low, high, longest = docs.agg(F.min("doc_id"), F.max("doc_id"), F.max(F.octet_length("text"))).first()
-    if low is None or (low >= -(1 << 41) and high < 1 << 41 and (longest or 0) < 2 * PLACES):
-        return None
-    longest = F.max(F.coalesce(F.octet_length("text"), F.lit(0))).cast("long")  # of two bytes a word at least, but for the last
-    sizes = docs.groupBy("doc_id").agg((F.floor((longest + 1) / (2 * PLACES)) + 1).alias("n"))
-    ordered = sizes.repartitionByRange(spread(docs), "doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
-        for batch in batches:
-            ends = total + np.cumsum(batch.column(1).to_numpy(), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends - batch.column(1).to_numpy())], names=["doc_id", "n", "part", "start"])
-            total = int(ends[-1]) if len(ends) else total
-
-    placed = materialize(ordered.mapInArrow(run, "doc_id long, n long, part int, start long"), "numbers")
-    parts = placed.groupBy("part").agg(F.sum("n").alias("in_part"))  # one row for each writing task
-    parts = parts.select("part", (F.sum("in_part").over(Window.orderBy("part")) - F.col("in_part")).alias("before"))
-    placed = placed.join(F.broadcast(parts), "part").withColumn("start", F.col("start") + F.col("before"))
-    found = placed.select(F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("number"), F.col("doc_id").alias("__doc"), F.shiftleft("start", 22).alias("base"))
-    return materialize(found, "numbers")
-
-
-def with_base(docs: DataFrame, ids: DataFrame | None) -> DataFrame:
-    """(base, text): base is the node of a text's first word."""
-    if ids is None:
-        return docs.select(F.shiftleft("doc_id", 22).alias("base"), "text")
-    return docs.join(ids.where("number = shiftright(base, 22)").select("__doc", "base"), F.col("doc_id") == F.col("__doc")).select("base", "text")
+def nodes_of(docs: DataFrame, low: int, high: int, longest: int, conflict: bool) -> tuple[DataFrame, DataFrame | None]:
+    """((base, text), ids): base is the node of a text's first word; ids (number, __doc, base): a node belongs to the document with its
+    number (node >> 22), at place node - base. ids is None if doc_ids can be the numbers."""
+    if not conflict and low >= -(1 << 41) and high < 1 << 41 and longest < 2 * PLACES:
+        return docs.select(F.shiftleft("doc_id", 22).alias("base"), "text"), None
+    docs = docs.withColumn("digest", F.xxhash64("text"))
+    length = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")  # of two bytes a word at least, but for the last
+    placed = materialize(numbers(docs, F.floor((length + 1) / (2 * PLACES)) + 1), "ids")
+    ids = placed.select(F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("number"), F.col("doc_id").alias("__doc"), F.shiftleft("start", 22).alias("base"))
+    texts = docs.join(placed, ["doc_id", "digest"]).select(F.shiftleft("start", 22).alias("base"), "text")
+    return texts, materialize(ids, "ids")
 
 
 def located(df: DataFrame, ids: DataFrame | None, node: str, doc: str, place: str) -> DataFrame:
@@ -114,21 +97,15 @@ def located(df: DataFrame, ids: DataFrame | None, node: str, doc: str, place: st
     return df.withColumn("number", number).join(ids, "number").withColumn(doc, F.col("__doc")).withColumn(place, F.col(node) - F.col("base")).drop("number", "__doc", "base", node)
 
 
-def signatures(docs: DataFrame, least_words: int) -> DataFrame:
-    """Of rows (base, text)."""
-    names = ["sig", "node", "n", "copy_of", "sketch"]
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in names[:4]] + [T.StructField("sketch", T.BinaryType())])
+def signatures(texts: DataFrame, least_words: int, n_ranges: int) -> DataFrame:
+    """Of rows (base, text). Units have their size as a negative number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, seen = WordHashes(), {}
+        sender, seen = Sender(n_ranges), {}
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for batch in pieces(whole, 1):
                 sets, nodes, copies, units = [], [], [], []
-                for base, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)).to_pylist()):
-                    if not text:
-                        continue
-                    words, places = paragraphs(text, memo)
+                for base, (words, places) in zip(batch.column(0).to_pylist(), paragraphs(batch.column(1))):
                     for first, n in places:
                         if n >= least_words:
                             w = words[first : first + n]
@@ -145,44 +122,38 @@ def signatures(docs: DataFrame, least_words: int) -> DataFrame:
                     raw = words.tobytes()
                     for a, b in zip(edge[:-1], edge[1:]):
                         if b - a > REACH:
-                            units.append((xxhash.xxh3_64_intdigest(raw[8 * a : 8 * b]), base + a, UNIT + b - a))
-                sig, node, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                            units.append((xxhash.xxh3_64_intdigest(raw[8 * a : 8 * b]), base + a, a - b))
                 if units:
                     u = list(zip(*units))
-                    sig.append(np.array(u[0], np.uint64).view(np.int64)), node.append(np.array(u[1], np.int64)), n.append(np.array(u[2], np.int64))
-                tail = np.zeros(0, np.int64), [], []
-                own = np.array(nodes, np.int64)
+                    yield from sender.add(np.array(u[0], np.uint64), np.array(u[1], np.int64), np.array(u[2], np.int64))
+                sizes = np.array([len(x) for x in sets], np.int64)
                 if sets:
-                    sizes = np.array([len(s) for s in sets])
-                    sig.append(min_bands(sets).ravel().view(np.int64)), node.append(np.repeat(own, BANDS)), n.append(np.repeat(sizes, BANDS))
-                    tail = -sizes - 1, [None] * len(sets), sketches(np.concatenate(sets), sizes)
-                facts = np.concatenate((own, np.array([c[0] for c in copies], np.int64)))
-                sig.append(mix(facts.view(np.uint64)).view(np.int64)), node.append(facts), n.append(np.concatenate((tail[0], np.full(len(copies), -1))))
-                k = sum(map(len, sig)) - len(facts)
-                columns = [pa.array(np.concatenate(x).astype(np.int64)) for x in (sig, node, n)]
-                columns.append(pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(tail[1] + [c[1] for c in copies], pa.int64())]))
-                columns.append(pa.concat_arrays([pa.nulls(k, pa.binary()), pa.array(tail[2] + [None] * len(copies), pa.binary())]))
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                    yield from sender.add(min_bands(sets).ravel(), np.repeat(np.array(nodes, np.int64), BANDS), np.repeat(sizes, BANDS))
+                if sets or copies:
+                    own, of = [list(x) for x in zip(*copies)] if copies else ([], [])
+                    drawn = sketches(np.concatenate(sets), sizes) if sets else []
+                    yield Sender.facts(nodes + own, sizes.tolist() + [0] * len(own), [None] * len(nodes) + of, drawn + [None] * len(own))
+        yield from sender.flush()
 
-    return docs.mapInArrow(run, schema)
+    return texts.mapInArrow(run, SENT)
 
 
-def paragraph_sets(docs: DataFrame, nodes: DataFrame, ids: DataFrame | None) -> DataFrame:
+def paragraph_sets(texts: DataFrame, nodes: DataFrame, ids: DataFrame | None) -> DataFrame:
     """(node, elements) of paragraphs; a document's are fetched together."""
     wanted = located(nodes.select("node", F.col("node").alias("own")), ids, "own", "__of", "at")
-    wanted = wanted.groupBy("__of").agg(F.collect_list("node").alias("nodes"), F.min(F.col("node") - F.col("at")).alias("base"))  # at most a document's lines
-    fetched = docs.join(wanted, F.col("doc_id") == F.col("__of")).select("text", "nodes", "base")
+    wanted = materialize(wanted.groupBy((F.col("node") - F.col("at")).alias("__base")).agg(F.collect_list("node").alias("nodes")), "wanted")  # at most a document's lines
+    fetched = among(texts, F.col("base"), wanted, F.col("__base")).join(wanted, F.col("base") == F.col("__base")).select("text", "nodes", "base")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
-        for batch in batches:
-            for text, want, base in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                words, places = paragraphs(text.as_py(), memo)
-                size = dict(p for p in places if p[1])
-                out = [(node, pack_set(np.unique(ngrams(words[at : at + size[at]], WORDS)))) for node in want if (at := node - base) in size]
+        for whole in batches:
+            for batch in pieces(whole, 0):
+                out = []
+                for (words, places), want, base in zip(paragraphs(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                    size = dict(places)
+                    out += [(node, pack_set(np.unique(ngrams(words[at : at + size[at]], WORDS)))) for node in want if (at := node - base) in size]
                 if out:
-                    nodes, sets = zip(*out)
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "elements"])
+                    own, sets = zip(*out)
+                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(sets, pa.binary())], names=["node", "elements"])
 
     return fetched.mapInArrow(run, "node long, elements binary").dropDuplicates(["node"])
 
@@ -190,22 +161,28 @@ def paragraph_sets(docs: DataFrame, nodes: DataFrame, ids: DataFrame | None) ->
 def removals(docs: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, least_passage: int = LEAST_PASSAGE) -> DataFrame:
     """One row for each removal: doc_id, kind (paragraph or passage), first_word, n_words (null: to the end of the line), keep_doc_id, keep_first_word."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    ids = numbers(docs)
-    found = materialize(find_runs(signatures(with_base(docs, ids), least_words)), "runs")
+    size, conflict, low, high, longest = facts_of(docs)
+    texts, ids = nodes_of(docs, low, high, longest, conflict)
+    n_ranges = ranges(size // CHARS)
+    found = materialize(find_runs(signatures(texts, least_words, n_ranges), n_ranges), "runs")
     own = found.where("sig IS NULL")
     facts = own.where("sketch IS NOT NULL").groupBy("node").agg(F.max(F.struct("n", "sketch")).alias("x")).select("node", "x.n", "x.sketch")
     copies = own.where("copy_of IS NOT NULL").select(F.col("copy_of").alias("a"), F.col("node").alias("b"))
-    comps, _ = resolve(found.where(f"sig IS NOT NULL AND n < {UNIT}"), facts, lambda nodes: paragraph_sets(docs, nodes, ids), copies, percent)
+    comps, _ = resolve(found.where("sig IS NOT NULL AND n >= 0"), facts, lambda nodes: paragraph_sets(texts, nodes, ids), copies, percent)
     kept = lambda df, node: located(df, ids, node, "keep_doc_id", "keep_first_word")
     lines = kept(located(comps.where("comp < node"), ids, "node", "doc_id", "first_word"), "comp")
     lines = lines.select("doc_id", F.lit("paragraph").alias("kind"), "first_word", F.lit(None).cast("long").alias("n_words"), "keep_doc_id", "keep_first_word")
 
-    units = found.where(f"sig IS NOT NULL AND n >= {UNIT}").select("node", (F.col("n") - UNIT).alias("size"), F.col("first").alias("keep"))
-    units = located(units, ids, "node", "doc_id", "at").distinct()
-    by_doc = Window.partitionBy("doc_id").orderBy("at")
+    units = found.where("sig IS NOT NULL AND n < 0").select("sig", "node", (-F.col("n")).alias("size"), F.col("first").alias("keep"))
+    # The first of a run within a collection may itself stand behind the first of all.
+    firsts = units.groupBy("sig", F.col("node").alias("keep")).agg(F.min("keep").alias("before"))
+    units = units.groupBy("sig", "node", "size").agg(F.min("keep").alias("keep")).join(firsts, ["sig", "keep"], "left")
+    units = units.select("node", "size", F.coalesce("before", "keep").alias("keep"))
+    units = located(units.withColumn("own", F.col("node")), ids, "own", "__unit_doc", "at").select(F.col("__unit_doc").alias("doc_id"), (F.col("node") - F.col("at")).alias("text_of"), "at", "size", "keep").distinct()
+    by_doc = Window.partitionBy("text_of").orderBy("at")
     units = units.withColumn("new", (F.coalesce(F.lag(F.col("at") + F.col("size")).over(by_doc), F.lit(-1)) != F.col("at")).cast("int"))
     units = units.withColumn("passage", F.sum("new").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    passages = units.groupBy("doc_id", "passage").agg(F.min("at").alias("first_word"), F.sum("size").alias("n_words"), F.min_by("keep", "at").alias("keep")).where(F.col("n_words") >= least_passage)
+    passages = units.groupBy("doc_id", "text_of", "passage").agg(F.min("at").alias("first_word"), F.sum("size").alias("n_words"), F.min("keep").alias("keep")).where(F.col("n_words") >= least_passage)
     passages = kept(passages, "keep").select("doc_id", F.lit("passage").alias("kind"), "first_word", "n_words", "keep_doc_id", "keep_first_word")
     return lines.unionByName(passages)
 

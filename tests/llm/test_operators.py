@@ -9,13 +9,19 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from framewise.llm import binary, decontaminate, lines, lm_score, ngram_join, packing, pii, quality, registry, substring_dedup, tokens, topk
-from framewise.llm._common import WordHashes, ascii_words, ngrams
+from framewise.llm import _links, binary, decontaminate, lines, lm_score, ngram_join, packing, pii, quality, registry, substring_dedup, tokens, topk
+from framewise.llm._common import hash_texts, hash_words, ngrams
+
+
+def ascii_words(text: bytes | None) -> list[bytes]:
+    return text.lower().split() if text else []
+
 
 SMALL = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, leaks string, lines_kept string, sig string, node string, start string, `__text` string"
@@ -421,7 +427,7 @@ def test_edited_copies_keep_their_seeds(copies):
         texts = [" ".join(edited).encode()] * max(1, copies) + [" ".join(item).encode()] * min(copies, 2)
         counts = Counter()
         for t in texts:
-            counts.update(ngrams(WordHashes().of(ascii_words(t)), 3).tolist())
+            counts.update(ngrams(hash_words(t), 3).tolist())
         for known in (counts, None):
             found = decontaminate.Matcher([(7, " ".join(item).encode())], known).leaks(texts[:1] + texts[-1:])
             score = brute_align(item, edited) / (2 * size)
@@ -439,7 +445,7 @@ def test_leaks_equal_aligning_every_item_with_every_text(spark):
                 kind = rng.random()
                 words += [] if kind < 0.06 else ["changed"] if kind < 0.2 else [w, *rng_words(rng, rng.randrange(1, 9))] if kind < 0.26 else [w]
         texts.append(words)
-    hashes = lambda words: WordHashes().of([w.encode() for w in words]).copy()
+    hashes = lambda words: hash_words(" ".join(words).encode())
     expected = {}
     for i, item in enumerate(items):
         best, _ = decontaminate.align([hashes(item)] * len(texts), [hashes(t) for t in texts])
@@ -548,7 +554,56 @@ def test_bands_meet_at_the_threshold():
     assert met >= 198
 
 
-def test_word_hashes_are_bounded():
-    memo = WordHashes(most=10)
-    memo.of([str(i).encode() for i in range(100)])
-    assert len(memo) <= 10 and len(ngrams(memo.of([b"a", b"b"]), 5)) == 1
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.none() | st.lists(st.sampled_from([b" ", b"\n", b"\t", b"\x0b", b"\x0c", b"\r", b"a", b"B", b"\xc3\xa9", b"\xc2\xa0", b"\x1c"]), max_size=14).map(b"".join), max_size=6))
+def test_words_of_texts_are_those_of_split(texts):
+    hashes, n = hash_texts(pa.array(texts, pa.binary()))
+    words = [ascii_words(t) for t in texts]
+    assert n.tolist() == [len(w) for w in words]
+    assert hashes.tolist() == [hash_words(x).tolist()[0] for w in words for x in w]
+
+
+def test_word_hashes_differ_and_long_words_have_one():
+    words = [f"{a}{b}".encode() for a in range(300) for b in ("x", "xx", "y", "\u00e9")]
+    assert len(set(hash_words(b" ".join(words)).tolist())) == len(set(words))
+    long = hash_words(b"z" * 1_500_000 + b" ab " * 200_000 + b"z" * 1_500_000)
+    assert len(long) == 200_002 and long[0] == long[-1] and set(long[1:-1].tolist()) == set(hash_words(b"AB").tolist())
+    assert len(ngrams(hash_words(b"a b"), 5)) == 1
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(-(2**63), 2**63 - 1), min_size=1, max_size=40))
+def test_packed_values_round_trip(values):
+    assert _links.unpack_values(_links.pack_values(np.array(values, np.int64))).tolist() == values
+
+
+def test_runs_of_any_length(spark, monkeypatch):
+    """A run that many collections share has one first member in the end, whatever a collection holds of it."""
+    rng = random.Random(3)
+    sigs = [(rng.randrange(1 << 63) << 1, k) for k in (1, 2, 5, 40, 90)]
+    rows = [(s, node, 7) for s, k in sigs for node in rng.sample(range(10**6), k)] * 2
+    rng.shuffle(rows)
+    batches = []
+    for part in (rows[::2], rows[1::2]):
+        sender = _links.Sender(3)
+        batches += [b for x in sender.add(*(np.array(c, t) for c, t in zip(zip(*part), (np.uint64, np.int64, np.int64)))) for b in [x]] + list(sender.flush())
+    sent = spark.createDataFrame([tuple(r.values()) for b in batches for r in b.to_pylist()], _links.SENT)
+    got = _links.find_runs(sent, 3).select("sig", "node", "first").collect()
+    for s, k in sigs:
+        own = {n for x, n, _ in rows if x == s}
+        edges = [(r["node"], r["first"]) for r in got if r["sig"] == s >> 16]
+        root = {n: n for n in own}
+        for _ in range(3):
+            for a, b in edges:
+                root[a] = min(root[a], root[b])
+        assert set(root.values()) == {min(own)}
+
+
+def test_one_doc_id_on_two_texts_loses_no_link(spark):
+    rng = random.Random(21)
+    a, b = (" ".join(rng_words(rng, 70, 10**6)) for _ in "ab")
+    df = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b), (4, " ".join(rng_words(rng, 70, 10**6))), (None, a), (5, None)], "doc_id long, text string")
+    got = sorted(map(tuple, ngram_join.join(df)[0].collect()), key=str)
+    assert got == sorted([(1, 66, 1), (1, 66, 1), (2, 66, 1), (3, 66, 1), (4, 66, 4), (None, 66, None), (5, 0, 5)], key=str)
+    gone = {(r["doc_id"], r["keep_doc_id"]) for r in as_rows(substring_dedup.removals(df)) if r["kind"] == "paragraph"}
+    assert gone == {(2, 1), (3, 1)}

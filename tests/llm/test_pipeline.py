@@ -6,7 +6,7 @@ from test_operators import SMALL, brute_components, shingle_set
 
 import corpus_pipeline
 from framewise.llm import decontaminate, quality
-from framewise.llm._common import ascii_words
+from framewise.llm._common import hash_words
 
 
 def test_stages_in_order():
@@ -30,9 +30,8 @@ def test_pipeline(spark):
 
     items = [(r["item_id"], r["text"].encode()) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     counts = Counter()
-    memo = decontaminate.WordHashes()
     for t in rows.values():
-        w = memo.of(ascii_words(t.encode()))
+        w = hash_words(t.encode())
         if len(w) >= 3:
             counts.update(decontaminate.ngrams(w, 3).tolist())
     matcher = decontaminate.Matcher(items, counts)
