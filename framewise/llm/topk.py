@@ -7,12 +7,15 @@ the distance from below; halving segments tightens it. A task takes a block of v
 is scored exactly to start each query's threshold, the others pass the coarse bounds, then finer ones, and only survivors
 are scored. The k best of each block are merged by query.
 
-Queries are a stated set and meet all vectors in blocks, each a packed row; the blocks of vectors are sent once for each block
-of queries. Components are kept as 32-bit integers, and products are taken in double floats, exact below 2^53.
+Queries are a stated set and meet all vectors in blocks, each a packed row. A block of vectors goes once to each block of queries,
+under one of several salts; a block of queries goes to every salt, so no key receives all vectors. Components are kept as 32-bit
+integers if a block allows it, else as doubles, which hold floor(256 * x) exactly; scores are taken in doubles while they stay
+below 2^53, else in integers of any size.
 
-Defined results: vectors that are null, or hold a null, NaN or infinite component, or whose length isn't that of most
-vectors in their block, or whose id is null take no part; an empty table gives no rows; equal scores are ranked by id;
-repeated ids are vectors of their own (all but rows with the query's own id are candidates). Other columns are ignored."""
+Defined results: vectors that are null or empty, or hold a null, NaN or infinite component, or whose id is null take no part;
+vectors of each length meet those of the same length; an empty table gives no rows; equal scores are ranked by id; repeated ids
+are vectors of their own (all but rows with the query's own id are candidates); a score that no long holds becomes the nearest
+one that does, after the ranking. Other columns are ignored."""
 
 from __future__ import annotations
 
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import materialize, read_table
+from ._common import materialize, read_table, spread
 
 K, EVERY, VECTORS, QUERIES, LEVELS = 5, 50, 4096, 1024, (1, 4, 16)
 PACKED = T.StructType([T.StructField("size", T.IntegerType()), T.StructField("ids", T.BinaryType()), T.StructField("data", T.BinaryType())])
@@ -40,10 +43,19 @@ def to_integers(column: pa.Array) -> tuple[np.ndarray, dict[int, np.ndarray]]:
         x = flat.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, size)
         fine = np.isfinite(x).all(axis=1)
         ok[rows[fine]] = True
-        out[size] = (rows[fine], np.floor(256 * x[fine]).astype(np.int32))
+        out[size] = (rows[fine], np.floor(256 * x[fine]))
     return ok, out
 
 
+def pack(data: np.ndarray) -> bytes:
+    """Whole numbers held in doubles, as 32-bit integers if all fit."""
+    return b"i" + data.astype("<i4").tobytes() if (abs(data) < 1 << 31).all() else b"f" + data.astype("<f8").tobytes()
+
+
+def unpack(blob: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(blob, "<i4" if blob[:1] == b"i" else "<f8", offset=1).reshape(-1, size).astype(np.float64)
+
+
 def blocks(vectors: DataFrame, rows: int) -> DataFrame:
     """Vectors packed into rows of at most `rows` of them, all of one length."""
 
@@ -52,7 +64,7 @@ def blocks(vectors: DataFrame, rows: int) -> DataFrame:
 
         def put(size: int, parts: list) -> pa.RecordBatch:
             ids, data = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            return pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([data.astype("<i4").tobytes()], pa.binary())], names=PACKED.names)
+            return pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([pack(data)], pa.binary())], names=PACKED.names)
 
         for batch in batches:
             ids = np.array(batch.column(0).to_pylist(), dtype=object)
@@ -87,31 +99,40 @@ class Bounds:
 
 
 def search(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, vector id, score) of the k best vectors of the block for each query; ties go to smaller ids."""
+    """(query id, vector id, score) of the k best vectors of the block for each query, of whole numbers held in doubles; ties go to smaller ids."""
     order = np.argsort(v_ids, kind="stable")
-    v_ids, v = v_ids[order], v[order].astype(np.float64)
-    q = q.astype(np.float64)
+    v_ids, v = v_ids[order], v[order]
+    most = float(abs(q).max(initial=0)) * float(abs(v).max(initial=0)) * q.shape[1]
+    exact, slack = most < 2.0**53, 0.5 + (0 if most < 2.0**53 else 1e-9 * most)
+    whole = None if exact else [[int(x) for x in row] for row in v]
     bq, bv = Bounds(q).levels, Bounds(v).levels
     probe = min(len(v), 16 * k + 1)
     start = np.argsort(-(v * v).sum(axis=1), kind="stable")[:probe]  # long vectors are likely to score high
-    exact = q @ v[start].T
-    exact[q_ids[:, None] == v_ids[start][None, :]] = -np.inf
-    floor = np.partition(exact, len(start) - k, axis=1)[:, len(start) - k] if len(start) >= k else np.full(len(q), -np.inf)
+    known = q @ v[start].T
+    known[q_ids[:, None] == v_ids[start][None, :]] = -np.inf
+    floor = np.partition(known, len(start) - k, axis=1)[:, len(start) - k] - (slack - 0.5) if len(start) >= k else np.full(len(q), -np.inf)
     out_q, out_v, out_s = [], [], []
-    alive = bq[0] @ bv[0].T + 0.5 >= floor[:, None] if bq else np.ones((len(q), len(v)), bool)
+    alive = bq[0] @ bv[0].T + slack >= floor[:, None] if bq else np.ones((len(q), len(v)), bool)
     alive &= q_ids[:, None] != v_ids[None, :]
     for i in range(len(q)):
         at = np.flatnonzero(alive[i])
         for a, b in zip(bq[1:], bv[1:]):
             if len(at) > 4 * k:
-                at = at[b[at] @ a[i] + 0.5 >= floor[i]]
-        score = v[at] @ q[i]
-        if len(at) > k:
-            best = np.partition(score, len(at) - k)[len(at) - k]
-            keep = score >= best
-            at, score = at[keep], score[keep]
-        first = np.lexsort((v_ids[at], -score))[:k]
-        out_q.append(np.full(len(first), q_ids[i])), out_v.append(v_ids[at[first]]), out_s.append(score[first].astype(np.int64))
+                at = at[b[at] @ a[i] + slack >= floor[i]]
+        if exact:
+            score = v[at] @ q[i]
+            if len(at) > k:
+                best = np.partition(score, len(at) - k)[len(at) - k]
+                keep = score >= best
+                at, score = at[keep], score[keep]
+            first = np.lexsort((v_ids[at], -score))[:k]
+            score = score[first].astype(np.int64)
+        else:
+            own = [int(x) for x in q[i]]
+            score = [sum(x * y for x, y in zip(own, whole[j])) for j in at]
+            first = np.array(sorted(range(len(at)), key=lambda j: (-score[j], v_ids[at[j]]))[:k], np.int64)
+            score = np.array([min(max(score[j], -(1 << 63)), (1 << 63) - 1) for j in first], np.int64)
+        out_q.append(np.full(len(first), q_ids[i])), out_v.append(v_ids[at[first]]), out_s.append(score)
     none = np.zeros(0, np.int64)
     return tuple(np.concatenate(x) if x else none for x in (out_q, out_v, out_s))
 
@@ -124,9 +145,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, vector_rows: int =
     n = q.count()
     if not n:
         return q.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    q = q.withColumn("block", F.pmod(F.xxhash64("q.ids"), F.lit(n)))
-    sent = blocks(cast(vectors), vector_rows).select(F.struct("*").alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block"))
-    met = sent.join(q, (sent["block"] == q["block"]) & (sent["v.size"] == q["q.size"]))
+    salts = max(1, min(spread(vectors), -(-vectors.count() // vector_rows)))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    q = q.select("q", F.pmod(F.xxhash64("q.ids"), F.lit(n)).alias("block"), each(salts).alias("salt"))
+    sent = blocks(cast(vectors), vector_rows).select(F.struct("*").alias("v"), each(n).alias("block"))
+    sent = sent.withColumn("salt", F.pmod(F.xxhash64("v.ids"), F.lit(salts)))
+    met = sent.join(q, (sent["block"] == q["block"]) & (sent["salt"] == q["salt"]) & (sent["v.size"] == q["q.size"]))
     met = met.select(F.col("q.size").alias("size"), F.col("q.ids").alias("qi"), F.col("q.data").alias("qd"), F.col("v.ids").alias("vi"), F.col("v.data").alias("vd"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +158,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, vector_rows: int =
             for size, qi, qd, vi, vd in zip(*(batch.column(i) for i in range(5))):
                 size = size.as_py()
                 ids = lambda x: np.frombuffer(x.as_py(), "<i8")
-                data = lambda x: np.frombuffer(x.as_py(), "<i4").reshape(-1, size)
+                data = lambda x: unpack(x.as_py(), size)
                 found = search(ids(qi), data(qd), ids(vi), data(vd), k)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
 
