@@ -7,7 +7,8 @@ upper bound of its score (words that the item has count 2, others -1, best stret
 windows of a slice of documents at once. A document is contaminated by an item if the best score reaches `least` of that of
 a full copy, and the alignment has `seed` equal words in a row. One pass over the documents without a shuffle.
 
-Items are taken in blocks of at most `block` items, each block computed in the same pass, so what the tasks are sent is bounded.
+Items are taken in blocks of at most `block` items and about BLOCK_BYTES of text, each block computed in the same pass, so what the
+driver holds and the tasks are sent is bounded.
 
 Defined results: null and empty texts hold nothing; items that are null, have a null id or fewer words than a seed are not
 searched; equal items are reported each; repeated documents are reported each; empty tables give no rows. Other columns stay;
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 
 from ._common import P1, P2, hash_words, map_texts, ngrams, read_table, split_texts
 
-SEED, LEAST, BLOCK = 3, 0.5, 20_000
+SEED, LEAST, BLOCK, BLOCK_BYTES = 3, 0.5, 20_000, 8 << 20
 MOST = 1_000_000  # rows or window words that are worked on at once
 LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType())]))
 
@@ -47,29 +48,33 @@ class Lookup:
         return at[ok], k[ok]
 
 
-def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Best local score (match 2, mismatch -1, gap -1) of each item in its window, and the window place after its end.
+def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best local score (match 2, mismatch -1, gap -1) of each item in its window, the window place where that alignment begins and the
+    one after its end; of equal scores the alignment that begins first.
 
-    Row by row over all pairs at once; a running maximum along the row covers gaps in the item exactly, as their cost is linear."""
+    Row by row over all pairs at once; a running maximum along the row covers gaps in the item exactly, as their cost is linear.
+    A cell holds its score times 2^32 plus a number that falls with the place where its alignment begins."""
     n, rows, cols = len(items), max(map(len, items)), max(map(len, windows))
     a, b = np.zeros((n, rows), np.uint64), np.zeros((n, cols), np.uint64)
     in_a, in_b = np.zeros((n, rows), bool), np.zeros((n, cols), bool)
     for i, (x, y) in enumerate(zip(items, windows)):
         a[i, : len(x)], b[i, : len(y)], in_a[i, : len(x)], in_b[i, : len(y)] = x, y, True, True
-    slope = np.arange(1, cols + 1, dtype=np.int32)
-    h, best, end = np.zeros((n, cols + 1), np.int32), np.zeros(n, np.int32), np.zeros(n, np.int64)
+    one = np.int64(1 << 32)
+    fresh = (1 << 31) - np.arange(cols + 1, dtype=np.int64)  # score 0: an alignment may begin at the next word
+    slope = np.arange(1, cols + 1, dtype=np.int64) * one
+    h, best, end = np.tile(fresh, (n, 1)), np.zeros(n, np.int64), np.zeros(n, np.int64)
     for r in range(rows):
         same = (b == a[:, r : r + 1]) & in_b
-        t = np.maximum(h[:, :-1] + np.where(same, 2, -1), h[:, 1:] - 1)
-        np.maximum(t, 0, out=t)
+        t = np.maximum(h[:, :-1] + np.where(same, 2 * one, -one), h[:, 1:] - one)
         t = np.maximum.accumulate(t + slope, axis=1) - slope
-        t[~in_a[:, r]] = 0
+        t = np.where((t < one) | ~in_a[:, r : r + 1], fresh[1:], t)
         h[:, 1:] = t
         at = t.argmax(axis=1)
         top = t[np.arange(n), at]
-        end = np.where(top > best, at + 1, end)
-        best = np.maximum(best, top)
-    return best, end
+        better = (top >= one) & (top > best)
+        end, best = np.where(better, at + 1, end), np.where(better, top, best)
+    score = best >> np.int64(32)
+    return score, np.where(score > 0, (1 << 31) - (best & np.int64((1 << 32) - 1)), 0), end
 
 
 def _slices(sizes: np.ndarray) -> Iterator[slice]:
@@ -161,25 +166,24 @@ class Matcher:
                 few //= 2
             some = todo[at : at + few]
             at += few
-            best, end = align([self.items[x[1]][1] for x in some], [x[3] for x in some])
-            for (i, item, a, window), score, last in zip(some, best.tolist(), end.tolist()):
+            for (i, item, a, _), score, first, last in zip(some, *(x.tolist() for x in align([self.items[x[1]][1] for x in some], [x[3] for x in some]))):
                 key, words = self.items[item]
                 score /= 2 * len(words)
                 if score >= self.least and (key not in out[i] or score > out[i][key]["score"]):
-                    first = max(0, last - len(words))
                     out[i][key] = {"item_id": key, "score": round(score, 6), "first_word": a + first, "n_words": last - first}
         return [[x[k] for k in sorted(x)] for x in out]
 
 
-def _blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple[int, bytes]]]:
-    """The items, a block at a time."""
+def _blocks(benchmark: DataFrame, block: int, most: int = BLOCK_BYTES) -> Iterator[list[tuple[int, bytes]]]:
+    """The items, a block at a time: at most `block` of them, and no more once their texts have `most` bytes."""
     rows = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").orderBy("item_id", "text")
-    held = []
+    held, size = [], 0
     for r in rows.toLocalIterator():
         held.append((r[0], r[1].encode()))
-        if len(held) == block:
+        size += len(held[-1][1])
+        if len(held) == block or size >= most:
             yield held
-            held = []
+            held, size = [], 0
     if held:
         yield held
 
