@@ -4,7 +4,7 @@ score(x) = sigmoid(w0 + w.x + 1/2 sum_f [(sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2
 linear in the number of features. Scoring is one Arrow pass over the texts without a shuffle.
 
 The machine is fitted on at most `train_rows` labelled rows (a documented bound; those with the smallest hash of their
-id), which are the only rows that reach the driver. Labels, lang, source and doc_id are never inputs.
+id, repeated rows among them), which are the only rows that reach the driver. Labels, lang, source and doc_id are never inputs.
 
 Defined results: a null text scores as an empty one; repeated rows score alike; an empty table gives no rows; rows whose
 label is null, other than 0 or 1, or contradictory are not learnt from; without any usable label every score is 0.5.
@@ -137,8 +137,9 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Machine:
         return [[k.astype(np.int32).tobytes() for k in at], [r[k].tobytes() for r, k in zip(x, at)]]
 
     fields = [T.StructField("__k", T.BinaryType()), T.StructField("__v", T.BinaryType())]
-    got = map_texts(rows, sparse, fields, text="__t", keep=["__id", "__y"]).collect()
-    got = sorted(got, key=lambda r: (r["__id"], bytes(r["__k"]), bytes(r["__v"])))[: p.train_rows]
+    # An id that many rows of docs repeat doesn't widen the bound.
+    got = map_texts(rows, sparse, fields, text="__t", keep=["__id", "__y"]).orderBy(F.xxhash64("__id"), "__id", "__k", "__v").limit(p.train_rows).collect()
+    got = sorted(got, key=lambda r: (r["__id"], bytes(r["__k"]), bytes(r["__v"])))
     x = np.zeros((len(got), N_STATS + buckets), np.float32)
     for i, r in enumerate(got):
         x[i, np.frombuffer(r["__k"], np.int32)] = np.frombuffer(r["__v"], np.float32)
