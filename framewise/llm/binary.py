@@ -5,8 +5,8 @@ hold a segment: the ids of whole documents (2 bytes each if the vocabulary allow
 Elias-Fano form and their doc_ids. A boundary costs about 2 + log2(ids / documents) bits; select() finds one without
 reading the others, from samples of 32 bits each. A segment is closed at `segment_ids` ids, so no row grows with the input.
 
-Defined results: null text is an empty document, whose only id is the end id; rows with equal doc_id follow one another;
-null doc_ids come first; an empty table gives no segments and no rows. Other columns aren't written."""
+Defined results: null text is an empty document, whose only id is the end id; rows with equal doc_id follow one another, ordered
+by a hash of their text (so that many of them are many range partitions); null doc_ids come first; an empty table gives no segments and no rows. Other columns aren't written."""
 
 from __future__ import annotations
 
@@ -86,7 +86,8 @@ def segments(docs: DataFrame, path: str | None = None, end: int = END, segment_i
     """Segments in ascending doc_id order: by part, then by before (the part's ids in earlier segments)."""
     path = path or tokenizer_path()
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("__text"))
-    ordered = ordered.repartitionByRange(spread(docs), "doc_id").sortWithinPartitions("doc_id")
+    ordered = ordered.withColumn("__tie", F.xxhash64("__text"))
+    ordered = ordered.repartitionByRange(spread(docs), "doc_id", "__tie").sortWithinPartitions("doc_id", "__tie").drop("__tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, tail, part, before = ids_of(path), end.to_bytes(4, "little"), TaskContext.get().partitionId(), 0
