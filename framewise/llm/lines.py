@@ -1,7 +1,7 @@
 """Line dedup by site-relative frequency, in DataFrame operations only.
 
-A line (trimmed of spaces, tabs and carriage returns) is boilerplate on a host if it stands on at least `min_pages` of
-its pages and on more than `percent` % of them. A page counts once for a line however often it repeats it; every
+A line (trimmed of spaces, tabs and carriage returns) is boilerplate on a host if it stands on more than `percent` % of its pages,
+and is repeated at all: on `min_pages` pages, 2 unless set otherwise. A page counts once for a line however often it repeats it; every
 occurrence of a boilerplate line is dropped from that host's pages. Lines are counted as (host, 64-bit hash) pairs, summed
 on the map side first, so a hot host or line is one row for each task. A host has at most (mean lines per page * 100 /
 percent) boilerplate lines, so they go in one array per host; the planner broadcasts that table only if its files are
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ._common import materialize, read_table, replace_columns
 
-PERCENT, MIN_PAGES = 10, 5
+PERCENT, MIN_PAGES = 10, 2
 
 
 def _lines(text: Column) -> Column:
