@@ -7,8 +7,8 @@ walking the layers back gives how many pieces of each length it takes. This is d
 shuffle; only a partition's last sequences can be short. A sequence is padded to `size`, except when its pieces end at a
 power of two.
 
-Defined results: null text is an empty document, whose only id is the end id; repeated rows are documents of their own; an
-empty table gives no rows. Result columns replace input columns of the same name."""
+Defined results: null text is an empty document, whose only id is the end id; repeated rows and rows with a null doc_id
+are documents of their own; an empty table gives no rows. Result columns replace input columns of the same name."""
 
 from __future__ import annotations
 

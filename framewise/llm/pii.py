@@ -14,8 +14,10 @@
 
 Candidates, a few bytes each, are written once, so texts are read by one pass only.
 
-Defined results: null and empty texts have no spans; repeated rows give a row each; an empty table gives none. Columns besides
-doc_id and text are ignored."""
+Looser forms are bounded: a number has 7 to 24 characters, the name of a written-out address 64 at most. Base spans have no bound.
+
+Defined results: null and empty texts have no spans; repeated rows and null doc_ids give a row each; an empty table gives none. Columns
+besides doc_id and text are ignored."""
 
 from __future__ import annotations
 
