@@ -10,7 +10,7 @@ partitioned by hash, and each chunk's n-grams join it there; the counts return t
 summed by document. Rows are packed: one holds the n-grams of a chunk that fall in one hash range, as sorted 64-bit values less the range's first, so
 a common n-gram is one value for each chunk, however hot it is. Unigrams and bigrams are counted first, and with them the empty
 n-gram, once for each word, whose count is N; a trigram is sent only
-if the bigrams that it begins and ends with reach `min_count`, as it can't be more frequent than they are. A chunk is a hash class of documents; `chunk_chars` and
+if the bigrams that it begins and ends with reach `min_count`, as it can't be more frequent than they are. A chunk is a hash class of documents, sent as compressed tables; `chunk_chars` and
 `range_grams` set how many classes and hash ranges there are from the corpus's size, so that either fits a task at any size.
 
 Defined results: null and empty texts have 0 words and score 0; repeated rows are counted and scored each; an empty table gives
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.ipc  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +31,7 @@ from ._common import P1, U64, hash_texts, mix, pack_ascending, read_table, unpac
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
 CHUNK_CHARS, RANGE_GRAMS = 12_000_000, 4_000_000
+PACKED_BYTES = 48 << 20  # of rows that a task holds before it packs them by chunk
 EMPTY = mix(np.array([0xE3779B97F4A7C15], np.uint64))[0]  # stands for the n-gram of no words, which occurs once for each word
 GRAMS = T.StructType([T.StructField("level", T.LongType()), T.StructField("bucket", T.LongType()), T.StructField("chunk", T.LongType()), T.StructField("grams", T.BinaryType()), T.StructField("counts", T.BinaryType())])
 
@@ -37,20 +39,18 @@ GRAMS = T.StructType([T.StructField("level", T.LongType()), T.StructField("bucke
 class Words:
     """The words of a chunk's documents: their hashes, place in the document, and n-grams that end at each."""
 
-    def __init__(self, texts: pa.ChunkedArray, order: int):
-        parts = [hash_texts(c) for c in texts.chunks]
-        words, self.n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    def __init__(self, texts: list[pa.Array]):
+        parts = [hash_texts(c) for c in texts]
+        self.words, self.n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         self.first = np.cumsum(self.n) - self.n
-        self.place = np.arange(len(words)) - np.repeat(self.first, self.n)
-        self.grams, h = [], words
-        for k in range(1, order + 1):
-            if k > 1:  # where place < k - 1 it holds words of two documents, and is not read
-                h = np.concatenate((h[:1], h[:-1] * P1 + words[1:]))
-            self.grams.append(mix(h + U64(k)))
+        self.place = np.arange(len(self.words)) - np.repeat(self.first, self.n)
 
     def of(self, k: int, among: np.ndarray | None = None) -> np.ndarray:
         """The n-grams of order k, or those that end at the words among."""
-        return self.grams[k - 1][self.place >= k - 1 if among is None else among]
+        h = self.words
+        for _ in range(k - 1):  # where place < k - 1 it holds words of two documents, and is not read
+            h = np.concatenate((h[:1], h[:-1] * P1 + self.words[1:]))
+        return mix(h[self.place >= k - 1 if among is None else among] + U64(k))
 
 
 def _count(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,9 +63,10 @@ def _count(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _back(grams: np.ndarray, known: np.ndarray) -> np.ndarray:
     """For each value, what is known of it; known follows the distinct values in ascending order."""
     by = np.argsort(grams)
-    new = grams[by][1:] != grams[by][:-1]
+    grams = grams[by]
     out = np.empty(len(grams), known.dtype)
-    out[by] = known[np.concatenate(([0], np.cumsum(new)))] if len(grams) else known[:0]
+    if len(grams):
+        out[by] = known[np.concatenate(([0], np.cumsum(grams[1:] != grams[:-1])))]
     return out
 
 
@@ -99,6 +100,41 @@ def _of_chunks(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table
         yield pa.Table.from_batches(held)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, doc_id, text) as compressed tables (doc_id, text), one for each chunk that a stretch of the input has rows of."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+
+    def rows(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        chunk = table.column("chunk").to_numpy()
+        by = np.argsort(chunk, kind="stable")
+        table, chunk = table.select(["doc_id", "text"]).take(pa.array(by)), chunk[by]
+        edges = np.concatenate(([0], np.flatnonzero(chunk[1:] != chunk[:-1]) + 1, [len(chunk)]))
+        for some in np.array_split(np.arange(len(edges) - 1), range(200, len(edges) - 1, 200)):
+            blobs = []
+            for i in some:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, table.schema, options=options) as out:
+                    out.write_table(table.slice(edges[i], edges[i + 1] - edges[i]))
+                blobs.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(chunk[edges[some]]), pa.array(blobs, pa.binary())], names=["chunk", "docs"])
+
+    held, size = [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2048):
+            held.append(batch.slice(at, 2048))
+            size += held[-1].nbytes
+            if size >= PACKED_BYTES:
+                yield from rows(held)
+                held, size = [], 0
+    if size:
+        yield from rows(held)
+
+
+def _docs(packed: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for c in packed.column("docs").chunks for x in c])
+
+
 def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, chunk_chars: int = CHUNK_CHARS, range_grams: int = RANGE_GRAMS) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, log_score (sum), mean_log_score, n_unseen (words that backed off)."""
     size = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
@@ -106,7 +142,7 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
     n_chunks, n_ranges = max(1, -(-chars // chunk_chars)), max(1, -(-chars * order // 6 // range_grams))
     tables = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    source = source.repartition(max(tables, min(n_chunks, 20_000)), "chunk").sortWithinPartitions("chunk")
+    source = source.mapInArrow(_packed, "chunk long, docs binary").repartition(max(tables, min(n_chunks, 20_000)), "chunk").sortWithinPartitions("chunk")
     step = (1 << 64) // n_ranges + 1
 
     def sent(level: int, chunk: int, grams: np.ndarray, counts: np.ndarray) -> pa.Table:
@@ -146,7 +182,7 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _of_chunks(batches, "chunk"):
-            words = Words(table.column("text"), both)
+            words = Words(_docs(table).column("text").chunks)
             flat, at = first_levels(words)
             grams, counts = _count(flat)
             yield from sent(both, table.column("chunk")[0].as_py(), np.insert(grams, at, EMPTY), np.insert(counts, at, int(words.n.sum()))).to_batches()
@@ -173,7 +209,7 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
 
     def next_level(level: int):
         def pick(docs_of: pa.Table, replies: pa.Table) -> pa.Table:
-            words = Words(docs_of.column("text"), level)
+            words = Words(_docs(docs_of).column("text").chunks)
             _, wanted = counts_by_word(words, replies, level - 1)
             return sent(level, docs_of.column("chunk")[0].as_py(), *_count(words.of(level, wanted)))
 
@@ -187,7 +223,8 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
     out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("log_score", T.DoubleType()), T.StructField("mean_log_score", T.DoubleType()), T.StructField("n_unseen", T.LongType())])
 
     def score(docs_of: pa.Table, replies: pa.Table) -> pa.Table:
-        words = Words(docs_of.column("text"), order)
+        docs = _docs(docs_of)
+        words = Words(docs.column("text").chunks)
         c, _ = counts_by_word(words, replies, order)
         place, first, n = words.place, words.first, words.n
         value, unseen = np.zeros(len(place)), np.zeros(len(place), np.int64)
@@ -203,7 +240,7 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
         total, backed = (np.concatenate(([0], np.cumsum(x)))[[first, first + n]] for x in (micro, unseen))
         total, backed = total[1] - total[0], backed[1] - backed[0]
         mean = np.floor(total / np.maximum(n, 1) + 0.5) / 1e6
-        return pa.table([docs_of.column("doc_id"), pa.array(n), pa.array(total / 1e6), pa.array(mean), pa.array(backed)], names=names)
+        return pa.table([docs.column("doc_id"), pa.array(n), pa.array(total / 1e6), pa.array(mean), pa.array(backed)], names=names)
 
     return chunks.cogroup(answers.groupBy("chunk")).applyInArrow(score, out)
 
