@@ -20,21 +20,36 @@ COLLECTED = 2_000_000  # signatures that a task collects before it sends them, a
 LONG = 32  # members of a run within a collection that go to the signature's range
 BLOCK = 4096  # members of a run that are compared within one task
 MOST_BITS = 1 << 29  # of a bitmap that is broadcast: 64 MB
-CLASSES, WRAP = 256, 16  # of the sketch: how many elements of a set fall in each class, modulo WRAP
+LEAST_CLASSES, MOST_CLASSES, WRAP = 256, 1 << 16, 16  # of the sketch: how many elements of a set fall in each class, modulo WRAP
 
 
 def sketches(elements: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """Of sets laid end to end: elements in each of CLASSES classes, modulo WRAP, two to a byte; then a 128-bit hash of the set."""
-    which = np.repeat(np.arange(len(sizes)), sizes) * CLASSES + (elements & np.uint64(CLASSES - 1)).astype(np.int64)
-    counts = (np.bincount(which, minlength=len(sizes) * CLASSES) % WRAP).astype(np.uint8).reshape(-1, CLASSES)
-    end = np.cumsum(sizes)
-    keys = (xxhash.xxh3_128_digest(elements[a:b].tobytes()) for a, b in zip(end - sizes, end))
-    return [x.tobytes() + key for x, key in zip(counts[:, ::2] << 4 | counts[:, 1::2], keys)]
-
-
-def _unpack(blobs: list[bytes]) -> np.ndarray:
-    both = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, CLASSES // 2 + 16)[:, : CLASSES // 2]
-    return np.concatenate((both >> 4, both & 15), axis=1)
+    """Of sets laid end to end: elements in each class of a hash, modulo WRAP, two to a byte, in as many classes as the set has elements
+    (a power of two, LEAST_CLASSES at least); then a 128-bit hash of the set."""
+    out, end = [], np.cumsum(sizes)
+    for a, b in zip((end - sizes).tolist(), end.tolist()):
+        e, classes = elements[a:b], max(LEAST_CLASSES, min(1 << max(b - a - 1, 0).bit_length(), MOST_CLASSES))
+        counts = (np.bincount((e & np.uint64(classes - 1)).astype(np.int64), minlength=classes) % WRAP).astype(np.uint8)
+        out.append((counts[::2] << 4 | counts[1::2]).tobytes() + xxhash.xxh3_128_digest(e.tobytes()))
+    return out
+
+
+def _unpack(blobs: list[bytes], classes: int) -> np.ndarray:
+    """Rows of `classes` counts, of sketches of one length that has so many classes at least."""
+    half = np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), -1)[:, :-16]
+    counts = np.stack((half >> 4, half & 15), axis=2).reshape(len(blobs), -1)
+    return counts if counts.shape[1] == classes else counts.reshape(len(blobs), -1, classes).sum(axis=1, dtype=np.int64).astype(np.uint8) & np.uint8(WRAP - 1)
+
+
+def _unpack_all(blobs: list[bytes]) -> np.ndarray:
+    """Rows of as many counts as the shortest of the sketches has."""
+    length = np.array(list(map(len, blobs)))
+    classes = 2 * (int(length.min()) - 16)
+    out = np.empty((len(blobs), classes), np.uint8)
+    for n in np.unique(length):
+        at = np.flatnonzero(length == n)
+        out[at] = _unpack([blobs[i] for i in at], classes)
+    return out
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -201,7 +216,14 @@ def near_sketches(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame
                 continue
             s, t = (batch.column(i).to_pylist() for i in (4, 5))
             n, o = (batch.column(i).to_numpy() for i in (2, 3))
-            ok = pa.array(_apart(_unpack(s), _unpack(t)) <= _most_apart(n, o, percent))
+            apart = np.empty(batch.num_rows, np.int64)
+            shape = np.array([len(x) << 20 | len(y) for x, y in zip(s, t)], np.int64)
+            for key in np.unique(shape):
+                at = np.flatnonzero(shape == key)
+                classes = 2 * (min(int(key) >> 20, int(key) & (1 << 20) - 1) - 16)
+                for some in np.array_split(at, range(2048, len(at), 2048)):
+                    apart[some] = _apart(_unpack([s[i] for i in some], classes), _unpack([t[i] for i in some], classes))
+            ok = pa.array(apart <= _most_apart(n, o, percent))
             same = pa.array([x == y for x, y in zip(s, t)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), same, batch.column(2)], names=["a", "b", "same", "n"]).filter(ok)
 
@@ -249,7 +271,8 @@ def other_pairs(runs: DataFrame, facts: DataFrame, comps: DataFrame, percent: in
     mixed = materialize(semi(real, apart, ["first", "node"]).select("sig").distinct(), "mixed")
     found = semi(real, mixed, ["sig"])
     found = materialize(found.select("sig", "node").unionByName(found.select("sig", F.col("first").alias("node"))).distinct(), "members")
-    long = found.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > WHOLE)
+    # sig + 0: an exchange of its own, so that adaptive execution can split a common signature.
+    long = found.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > WHOLE).select((F.col("sig") + F.lit(0)).alias("sig"), "m")
     rows = found
     rows = rows.join(long, "sig").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(facts.select("node", "n", "sketch"), "node")
     rows = rows.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -274,7 +297,7 @@ def other_pairs(runs: DataFrame, facts: DataFrame, comps: DataFrame, percent: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(t: pa.Table) -> pa.RecordBatch:
             own, node, comp, n = (t.column(c).to_numpy() for c in ("own", "node", "comp", "n"))
-            sk = _unpack(t.column("sketch").to_pylist())
+            sk = _unpack_all(t.column("sketch").to_pylist())
             a, b = compare(own, node, comp, n, sk, t.column("i")[0].as_py(), t.column("j")[0].as_py())
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
 
@@ -373,17 +396,27 @@ def components(links: DataFrame, tag: str = "components", most_rounds: int = 60)
 
 
 def resolve(runs: DataFrame, facts: DataFrame, sets_of, copies: DataFrame | None, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(components, links) of all pairs of one run whose sets have the similarity. facts: (node, n, sketch);
+    """(components, links) of what the pairs of one run whose sets have the similarity connect; the links are enough to do so. facts: (node, n, sketch);
     sets_of(nodes) gives (node, elements) of a table of nodes; copies: links (a, b) already certain."""
     nodes = lambda p: p.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
     def exact(pairs: DataFrame) -> DataFrame:
         return materialize(jaccard_links(pairs, sets_of(materialize(nodes(pairs), "nodes")), percent), "links")
 
+    # A pair whose members are connected already needs no exact check: each node's pair with its smallest partner goes first.
     pairs = materialize(near_sketches(first_pairs(runs, percent), facts, percent), "pairs")
-    links = exact(pairs.where("NOT same")).unionByName(pairs.where("same").select("a", "b", F.col("n").alias("common"), F.col("n").alias("either")))
-    certain = links.select("a", "b") if copies is None else links.select("a", "b").unionByName(copies)
-    comps = materialize(components(certain), "comps")
+    links = pairs.where("same").select("a", "b", F.col("n").alias("common"), F.col("n").alias("either"))
+    links = links.unionByName(exact(materialize(pairs.where("NOT same").groupBy("b").agg(F.min("a").alias("a")), "picked")))
+    sure = lambda: links.select("a", "b") if copies is None else links.select("a", "b").unionByName(copies)
+    comps = materialize(components(sure()), "comps")
+    side = lambda x: comps.select(F.col("node").alias(x), F.col("comp").alias(f"c_{x}"))
+    rest = pairs.where("NOT same").join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(c_a, a) <> coalesce(c_b, b)")
+    rest = materialize(rest.select("a", "b"), "rest")
+    if not rest.isEmpty():
+        found = exact(rest)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            comps = materialize(components(sure()), "comps")
     more = other_pairs(runs, facts, comps, percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     more = materialize(more, "pairs")
     if more.isEmpty():
@@ -391,4 +424,5 @@ def resolve(runs: DataFrame, facts: DataFrame, sets_of, copies: DataFrame | None
     found = exact(more)
     if found.isEmpty():
         return comps, links
-    return materialize(components(certain.unionByName(found.select("a", "b"))), "comps"), links.unionByName(found)
+    links = links.unionByName(found)
+    return materialize(components(sure()), "comps"), links

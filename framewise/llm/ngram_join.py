@@ -9,7 +9,8 @@ Sets with fewer such parts also sign their empty parts, and so meet each other.
 
 Signatures meet in one shuffle, packed by hash range. In each run of equal signatures every member is compared with the first and those just
 before it; what that links is summed up to components, and members of different components are then compared in blocks.
-Sizes and 256-class sketches (lower bounds of the difference) discard pairs before exact sets are fetched. Texts met twice in
+Sizes and sketches (lower bounds of the difference) discard pairs before exact sets are fetched, and pairs that are
+connected already need no exact check. Texts met twice in
 a task are signed once.
 
 Defined results: null, empty and blank texts have n_shingles 0 and are linked with nothing; a text of fewer than 5 words is
@@ -105,8 +106,8 @@ def signatures(docs: DataFrame, percent: int, words: int, n_ranges: int) -> Data
 
 
 def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
-    """(documents, links): doc_id, n_shingles, component_id for each row of docs, and the links (a, b, common, either) between nodes found
-    on the way (all links between different texts of short runs, and enough of the others to connect what is connected)."""
+    """(documents, links): doc_id, n_shingles, component_id for each row of docs, and links (a, b, common, either) between nodes, enough to
+    connect what is connected."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size, conflict, *_ = facts_of(docs)
     placed, ids = docs.withColumnRenamed("doc_id", "node"), None

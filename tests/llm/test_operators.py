@@ -1,6 +1,7 @@
 """The ten operators against brute-force versions, on awkward rows and on the small tables."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -180,9 +181,42 @@ def test_binary_round_trip(spark, awkward, library, tmp_path):
     assert binary.read(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_null_and_repeated_ids_have_one_order(spark, library, tmp_path):
+    rows = [(None, "a b"), (4, "x"), (4, "y z w"), (None, "c"), (4, "x"), (1, None), (-7, "q r")]
+    got = []
+    for k, parts in enumerate((1, 3)):
+        binary.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), str(tmp_path / str(k)), segment_ids=4)
+        got.append([tuple(r) for r in binary.read(spark, str(tmp_path / str(k))).orderBy("start").collect()])
+    assert got[0] == got[1] and [r[0] for r in got[0]] == [None, None, -7, 1, 4, 4, 4]
+    assert [r[1] for r in got[0]] == [sum(r[2] for r in got[0][:i]) for i in range(len(rows))]
+
+
 # --- top-k ------------------------------------------------------------------------------------------------------------
 
 
+def test_top_k_of_large_and_repeated_vectors(spark):
+    """Components beyond 32 bits, scores beyond 2^53 and 2^63, repeated ids, vectors of several lengths."""
+    rng = random.Random(5)
+    rows = [(i % 70, [rng.choice([1e8, -3e7, 2.5e15, 0.3, 7.0]) * rng.random() for _ in range(3 + (i % 9 == 0))]) for i in range(90)]
+    rows.append((5, [float("inf"), 1.0, 2.0]))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows[:-1]]
+    expected = []
+    for i, v in whole:
+        if i % 10 == 0:
+            for j, w in whole:
+                if j != i and len(v) == len(w):
+                    expected.append((i, sum(x * y for x, y in zip(v, w)), j))
+    clip = lambda x: min(max(x, -(2**63)), 2**63 - 1)
+    best = {}
+    for i, s, j in sorted(expected, key=lambda r: (r[0], -r[1], r[2])):
+        best.setdefault(i, []).append((clip(s), j))
+    got = {}
+    for r in topk.top_k(df, df.where("vec_id % 10 = 0"), k=4, vector_rows=7, query_rows=3).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["score"])
+    assert set(got) == set(best) and all(x == [s for s, _ in best[i][: len(x)]] and len(x) == min(4, len(best[i])) for i, x in got.items())
+
+
 def test_top_k_on_awkward_vectors(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(0, 0.2, 16)]) for i in range(120)]
@@ -287,6 +321,18 @@ def test_quality(spark, awkward):
     assert quality.score(awkward.limit(0), machine).count() == 0
 
 
+def test_unclear_labels_are_not_learnt_from(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit_machine", lambda x, y, p: seen.append(y.tolist()))
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5][:6]
+    df = spark.createDataFrame([(i, f"text {i}") for i in ids] + [(ids[0], f"again {k}") for k in range(40)] + [(None, "z")], "doc_id long, text string")
+    labels = spark.createDataFrame([(ids[0], 1), (ids[1], 0), (ids[1], 0), (ids[2], 1), (ids[2], 0), (ids[3], None), (ids[4], 7), (None, 1)], "doc_id long, quality int")
+    quality.fit(df, labels)
+    assert sorted(seen[0]) == [0.0] + [1.0] * 41
+    quality.fit(df, labels, quality.Params(train_rows=10))
+    assert len(seen[1]) == 10  # rows, not ids, are bounded
+
+
 def test_interactions_in_linear_time_equal_all_pairs():
     rng = np.random.default_rng(2)
     x, w, v = rng.normal(size=(5, 12)), rng.normal(size=12), rng.normal(size=(12, 3))
@@ -396,7 +442,7 @@ def test_alignment_equals_cell_by_cell():
     rng = np.random.default_rng(6)
     items = [rng.integers(0, 6, rng.integers(1, 20)).astype(np.uint64) for _ in range(40)]
     windows = [rng.integers(0, 6, rng.integers(1, 30)).astype(np.uint64) for _ in range(40)]
-    best, _ = decontaminate.align(items, windows)
+    best, *_ = decontaminate.align(items, windows)
     assert best.tolist() == [brute_align(a.tolist(), b.tolist()) for a, b in zip(items, windows)]
 
 
@@ -448,7 +494,7 @@ def test_leaks_equal_aligning_every_item_with_every_text(spark):
     hashes = lambda words: hash_words(" ".join(words).encode())
     expected = {}
     for i, item in enumerate(items):
-        best, _ = decontaminate.align([hashes(item)] * len(texts), [hashes(t) for t in texts])
+        best, *_ = decontaminate.align([hashes(item)] * len(texts), [hashes(t) for t in texts])
         grams = {tuple(item[k : k + 3]) for k in range(len(item) - 2)}
         for d, score in enumerate(best.tolist()):
             if score >= len(item) and any(tuple(texts[d][k : k + 3]) in grams for k in range(len(texts[d]) - 2)):
@@ -459,6 +505,26 @@ def test_leaks_equal_aligning_every_item_with_every_text(spark):
     assert {(r["doc_id"], x["item_id"]): x["score"] for r in marked for x in r["leaks"]} == expected and len(expected) > 150
 
 
+def test_equal_items_are_reported_each(spark):
+    bench = spark.createDataFrame([(1, "a b c d e"), (2, "A b  c d e"), (2, "a b c d e")], "item_id long, text string")
+    df = spark.createDataFrame([(5, "x a b c d e y"), (None, "a b c d e")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, [x["item_id"] for x in r["leaks"]]) for r in decontaminate.mark(df, bench).collect()) == [(0, [1, 2]), (5, [1, 2])]
+
+
+def test_alignments_are_reported_where_they_stand():
+    item = [f"w{k}" for k in range(10)]
+    place = lambda words: {(x["first_word"], x["n_words"]) for x in decontaminate.Matcher([(1, " ".join(item).encode())]).leaks([" ".join(words).encode()])[0]}
+    assert place(["a", "b", *item[:5], "x", "y", *item[5:], "c"]) == {(2, 12)}
+    assert place(["a", "b", *item[3:8], "c", "d"]) == {(2, 5)}
+    assert place(item) == {(0, 10)}
+
+
+def test_items_come_in_blocks_of_bounded_size(spark):
+    bench = spark.createDataFrame([(i, "word " * 200) for i in range(20)], "item_id long, text string")
+    sizes = [len(b) for b in decontaminate._blocks(bench, 8, 3000)]
+    assert sum(sizes) == 20 and max(sizes) == 3
+
+
 def test_benchmark_passages_in_documents_are_found(spark, docs):
     items = duckdb.connect().execute(f"SELECT item_id, text FROM '{SMALL}/benchmark.parquet'").fetchall()
     exact = {(d, i) for d, t, _ in docs for i, b in items if t and b in t}
@@ -486,6 +552,12 @@ def test_lm_scores(spark, awkward):
     assert lm_score.scores(awkward.limit(0)).count() == 0
 
 
+def test_lm_scores_of_null_and_repeated_ids(spark):
+    rows = [(None, "a b c a b c"), (None, "a b c a b c"), (7, "a b c"), (7, "d"), (None, None)]
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_unseen"]) for r in lm_score.scores(spark.createDataFrame(rows, "doc_id long, text string"), chunk_chars=40).collect())
+    assert got == [(0, 0, 0), (0, 6, 0), (0, 6, 0), (7, 1, 0), (7, 3, 0)]
+
+
 # --- substring dedup --------------------------------------------------------------------------------------------------
 
 
@@ -571,6 +643,20 @@ def test_word_hashes_differ_and_long_words_have_one():
     assert len(ngrams(hash_words(b"a b"), 5)) == 1
 
 
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(17)
+    for size in (1, 5, 200, 256, 257, 900, 3000):
+        sets = [np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64)) for _ in range(3)]
+        sets.append(np.unique(np.concatenate((sets[0][: size * 9 // 10], rng.integers(0, 1 << 63, size // 2 + 1, dtype=np.uint64)))))
+        blobs = _links.sketches(np.concatenate(sets), np.array(list(map(len, sets))))
+        rows = _links._unpack_all(blobs)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                far = len(np.setxor1d(a, b))
+                assert _links._apart(rows[i : i + 1], rows[j : j + 1])[0] <= far and (blobs[i] == blobs[j]) == (far == 0)
+    assert _links.sketches(np.zeros(0, np.uint64), np.array([0]))[0]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(-(2**63), 2**63 - 1), min_size=1, max_size=40))
 def test_packed_values_round_trip(values):
