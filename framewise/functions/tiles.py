@@ -4,14 +4,32 @@ Functions take a column of doubles and the plane's width; heights follow from th
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _once(f):
+    """f(plane, ...) with the plane's expression computed once, however often f reads it."""
+    @functools.wraps(f)
+    def bound(value: Column | str, *args, **kwargs) -> Column:
+        value = F.col(value) if isinstance(value, str) else value
+        return bind(value, lambda p: f(p, *args, **kwargs))
+
+    return bound
+
+
+def bind(value: Column, then) -> Column:
+    """then(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _at(plane: Column, i: Column) -> Column:
     return F.element_at(plane, (i + 1).cast("int"))
 
 
+@_once
 def mean(plane: Column) -> Column:
     return total(plane) / F.size(plane)
 
@@ -24,6 +42,7 @@ def mean_square(plane: Column) -> Column:
     return F.aggregate(plane, F.lit(0.0), lambda s, v: s + v * v) / F.size(plane)
 
 
+@_once
 def blur3(plane: Column, width: int) -> Column:
     """1-2-1 along both axes; a border value stands for its missing neighbour."""
     last = F.size(plane) - width
@@ -33,11 +52,6 @@ def blur3(plane: Column, width: int) -> Column:
     return bind(across, down)
 
 
-def bind(value: Column, then) -> Column:
-    """then(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 def blur_n(plane: Column, width: int, times: int) -> Column:
     for _ in range(times):
         plane = bind(plane, lambda p: blur3(p, width))
@@ -48,6 +62,7 @@ def minus(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x - y)
 
 
+@_once
 def downsample2(plane: Column, width: int) -> Column:
     """Means of 2 by 2 values; an odd last row or column is left out."""
     half = width // 2
@@ -65,6 +80,7 @@ def _inner(plane: Column, width: int) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size(plane) - 1), lambda i: (i >= width) & (i < F.size(plane) - width) & (i % width > 0) & (i % width < width - 1))
 
 
+@_once
 def tensor(plane: Column, width: int) -> Column:
     """Struct (a, b, c): means of gx gx, gx gy and gy gy of central differences (not halved) over the inner values."""
     gx, gy = (lambda i: _at(plane, i + 1) - _at(plane, i - 1)), (lambda i: _at(plane, i + width) - _at(plane, i - width))
@@ -74,6 +90,17 @@ def tensor(plane: Column, width: int) -> Column:
     return F.aggregate(_inner(plane, width), zero, add, lambda s: F.struct((s["a"] / n).alias("a"), (s["b"] / n).alias("b"), (s["c"] / n).alias("c")))
 
 
+@_once
+def energy(plane: Column, width: int) -> Column:
+    """Each value's squared gradient by central differences (not halved), null at the border."""
+    def one(v: Column, i: Column) -> Column:
+        gx, gy = _at(plane, i + 1) - _at(plane, i - 1), _at(plane, i + width) - _at(plane, i - width)
+        return F.when((i >= width) & (i < F.size(plane) - width) & (i % width > 0) & (i % width < width - 1), gx * gx + gy * gy)
+
+    return F.transform(plane, one)
+
+
+@_once
 def tenengrad(plane: Column, width: int) -> Column:
     """Mean squared gradient."""
     gx, gy = (lambda i: _at(plane, i + 1) - _at(plane, i - 1)), (lambda i: _at(plane, i + width) - _at(plane, i - width))
@@ -97,11 +124,13 @@ def multiscale_laplacian(plane: Column, width: int, height: int, levels: int = 3
     return bind(plane, level)
 
 
+@_once
 def local_contrast(plane: Column, width: int) -> Column:
     """Root mean square of what two blurs take away."""
     return F.sqrt(mean_square(minus(plane, blur_n(plane, width, 2))))
 
 
+@_once
 def estimated_blur(plane: Column, width: int) -> Column:
     """The blur radius that fits how much gradient energy two more blurs take away."""
     def solve(e0: Column, e1: Column) -> Column:
@@ -112,6 +141,32 @@ def estimated_blur(plane: Column, width: int) -> Column:
     return bind(pair, lambda s: solve(s["e0"], s["e1"]))
 
 
+@_once
+def excess(plane: Column, width: int, reach: int = 2) -> Column:
+    """Each value less the mean of the middle two of the four neighbours `reach` away; null where one is missing."""
+    def one(v: Column, i: Column) -> Column:
+        x, last = i % width, F.size(plane) - reach * width
+        known = (x >= reach) & (x < width - reach) & (i >= reach * width) & (i < last)
+        four = [_at(plane, i - reach), _at(plane, i + reach), _at(plane, i - reach * width), _at(plane, i + reach * width)]
+        return F.when(known, v - (sum(four[1:], four[0]) - F.least(*four) - F.greatest(*four)) / 2)
+
+    return F.transform(plane, one)
+
+
+def pair_sums(a: Column, b: Column) -> Column:
+    """Struct (n, x, y, xx, yy, xy, dd): the number, sums, squares, products and squared differences of two planes' values."""
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in ("x", "y", "xx", "yy", "xy", "dd")])
+    two = F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+
+    def add(s: Column, p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        d = x - y
+        return F.struct((s["x"] + x).alias("x"), (s["y"] + y).alias("y"), (s["xx"] + x * x).alias("xx"), (s["yy"] + y * y).alias("yy"), (s["xy"] + x * y).alias("xy"), (s["dd"] + d * d).alias("dd"))
+
+    return F.aggregate(two, zero, add)
+
+
+@_once
 def detrended(plane: Column, width: int) -> Column:
     """Struct (mean, var) of a square plane: the mean, and the variance about the fitted plane with n - 3 degrees of freedom."""
     c, n = (width - 1) / 2, width * width
@@ -135,6 +190,7 @@ def _clamped(plane: Column, width: int, height: int, x: Column, y: Column) -> Co
     return _at(plane, inside(y, height) * width + inside(x, width))
 
 
+@_once
 def bilinear(plane: Column, width: int, height: int, x: Column, y: Column) -> Column:
     """The value between four neighbours; outside, the border's."""
     i, j = F.floor(x), F.floor(y)
@@ -150,6 +206,7 @@ def cubic_weights(t: Column) -> list[Column]:
     return [0.5 * (2 * t2 - t3 - t), 0.5 * (3 * t3 - 5 * t2 + 2), 0.5 * (4 * t2 - 3 * t3 + t), 0.5 * (t3 - t2)]
 
 
+@_once
 def bicubic(plane: Column, width: int, height: int, x: Column, y: Column) -> Column:
     """The value between sixteen neighbours."""
     i, j = F.floor(x), F.floor(y)
@@ -158,12 +215,14 @@ def bicubic(plane: Column, width: int, height: int, x: Column, y: Column) -> Col
     return sum((w * r for w, r in zip(wy[1:], rows[1:])), wy[0] * rows[0])
 
 
+@_once
 def dilated(mask: Column, width: int, height: int) -> Column:
     """A mask of 0 and 1, with every neighbour of a 1 (diagonal ones too)."""
     near = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
     return F.transform(mask, lambda v, i: F.greatest(*[_clamped(mask, width, height, i % width + dx, F.floor(i / width) + dy) for dx, dy in near]))
 
 
+@_once
 def extended_to_edge(mask: Column, width: int, height: int) -> Column:
     """A mask of 0 and 1, where border cells take over a 1 of the inner cell next to them."""
     def one(v: Column, i: Column) -> Column:
@@ -182,5 +241,6 @@ def median(values: Column) -> Column:
     return bind(F.array_sort(values), pick)
 
 
+@_once
 def mad_sigma(values: Column, scale: float = 1.4826) -> Column:
     return bind(F.struct(values.alias("v"), median(values).alias("m")), lambda s: scale * median(F.transform(s["v"], lambda x: F.abs(x - s["m"]))))

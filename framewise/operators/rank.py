@@ -13,9 +13,8 @@ def value_counts(df: DataFrame, group: list[str], value: str, weight: str | None
     """(group, value, c, below, n): c rows have the value, `below` have smaller ones, n have any. Other columns are dropped; the
     group and value columns must have other names than these three. A row counts `weight` times."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("c"))
-    totals = counts.groupBy(*group).agg(F.sum("c").alias("n"))
     w = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumn("below", F.sum("c").over(w) - F.col("c")).join(totals, group)
+    return counts.select(*group, value, "c", (F.sum("c").over(w) - F.col("c")).alias("below"), F.sum("c").over(Window.partitionBy(*group)).alias("n"))
 
 
 def rank_select(df: DataFrame, group: list[str], value: str, ranks: dict[str, Column], weight: str | None = None) -> DataFrame:

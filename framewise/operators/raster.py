@@ -1,9 +1,9 @@
-"""Grids in long form: one row for each site. Neighbours are found by window functions within a plane's rows and columns, or, on
-sparse grids, by joining shifted copies of the keys."""
+"""Grids in long form: one row for each site. Neighbours are found by moving copies of the keys; dense planes are better held as
+arrays (functions.tiles)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,61 +13,6 @@ def tile_sites(tiles: DataFrame, key: list[str], values: str, width: int) -> Dat
     return out.select(*key, "pos", (F.col("pos") % width).alias("x"), F.floor(F.col("pos") / width).cast("int").alias("y"), F.col("v").cast("double").alias("v"))
 
 
-def neighbour(plane: list[str], value: str, dx: int = 0, dy: int = 0) -> Column:
-    """The value at (x + dx, y + dy), one of dx and dy being 0, on dense planes; null outside."""
-    across, order, d = (["y"], "x", dx) if dx else (["x"], "y", dy)
-    w = Window.partitionBy(*plane, *across).orderBy(order)
-    return F.lead(value, d).over(w) if d > 0 else F.lag(value, -d).over(w)
-
-
-def gradients(sites: DataFrame, plane: list[str]) -> DataFrame:
-    """sites with gx and gy: half the central differences, null at the border."""
-    n = lambda dx, dy: neighbour(plane, "v", dx, dy)
-    return sites.withColumn("gx", (n(1, 0) - n(-1, 0)) / 2).withColumn("gy", (n(0, 1) - n(0, -1)) / 2)
-
-
-def structure(sites: DataFrame, plane: list[str]) -> DataFrame:
-    """(plane, energy, anisotropy): mean squared gradient, and (l1 - l2) / (l1 + l2) of the structure tensor's eigenvalues, over interior sites."""
-    g = gradients(sites, plane).where("gx IS NOT NULL AND gy IS NOT NULL")
-    m = g.groupBy(*plane).agg(F.avg(F.col("gx") * F.col("gx")).alias("a"), F.avg(F.col("gx") * F.col("gy")).alias("b"), F.avg(F.col("gy") * F.col("gy")).alias("c"))
-    spread = F.sqrt((F.col("a") - F.col("c")) * (F.col("a") - F.col("c")) + 4 * F.col("b") * F.col("b"))
-    total = F.col("a") + F.col("c")
-    return m.select(*plane, total.alias("energy"), F.when(total > 1e-12, spread / total).otherwise(0.0).alias("anisotropy"))
-
-
-def blur3(sites: DataFrame, plane: list[str]) -> DataFrame:
-    """sites with v smoothed by 1-2-1 along both axes; a border site stands for its missing neighbour."""
-    def along(dx: int, dy: int) -> Column:
-        a, b = neighbour(plane, "v", -dx, -dy), neighbour(plane, "v", dx, dy)
-        return (F.coalesce(a, F.col("v")) + 2 * F.col("v") + F.coalesce(b, F.col("v"))) / 4
-
-    return sites.withColumn("v", along(1, 0)).withColumn("v", along(0, 1))
-
-
-def downsample2(sites: DataFrame, plane: list[str]) -> DataFrame:
-    """(plane, x, y, v): means of 2 by 2 sites."""
-    half = lambda c: F.floor(F.col(c) / 2).cast("int")
-    return sites.groupBy(*plane, half("x").alias("hx"), half("y").alias("hy")).agg(F.avg("v").alias("v")).withColumnsRenamed({"hx": "x", "hy": "y"})
-
-
-def neighbour_excess(sites: DataFrame, plane: list[str], reach: int = 2) -> DataFrame:
-    """sites with excess: v less the mean of the middle two of the four neighbours `reach` sites away; null where one is missing."""
-    four = [neighbour(plane, "v", *d) for d in ((-reach, 0), (reach, 0), (0, -reach), (0, reach))]
-    total, low, high = sum(four[1:], four[0]), F.least(*four), F.greatest(*four)
-    known = four[0].isNotNull() & four[1].isNotNull() & four[2].isNotNull() & four[3].isNotNull()
-    return sites.withColumn("excess", F.when(known, F.col("v") - (total - low - high) / 2))
-
-
-def plane_residual_sigma(sites: DataFrame, plane: list[str], width: int) -> DataFrame:
-    """(plane, sigma): root mean square about the plane fitted to a full width x width tile, with n - 3 degrees of freedom."""
-    c = (width - 1) / 2
-    u, w, v = F.col("x") - c, F.col("y") - c, F.col("v")
-    n, s = width * width, width * width * (width * width - 1) / 12
-    m = sites.groupBy(*plane).agg(F.sum(v).alias("sv"), F.sum(u * v).alias("su"), F.sum(w * v).alias("sw"), F.sum(v * v).alias("svv"), F.count(v).alias("n")).where(F.col("n") == n)
-    rest = F.col("svv") - F.col("sv") * F.col("sv") / n - (F.col("su") * F.col("su") + F.col("sw") * F.col("sw")) / s
-    return m.select(*plane, F.sqrt(F.greatest(rest, F.lit(0.0)) / (n - 3)).alias("sigma"))
-
-
 def deposit(samples: DataFrame, cell: list[str], value: str, weight: str) -> DataFrame:
     """(cell, sum_w, sum_wv, sum_ww, n): partial sums of a weighted merge, which add up over any split of the samples."""
     w, v = F.col(weight), F.col(value)

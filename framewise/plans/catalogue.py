@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import tiles as plane
 from ..functions.robust import MAD_SCALE, clamp, micro, midtone, srgb_decode, srgb_encode, tangent_plane
 from ..operators import catalog, rank, raster, selection, sequence, spatial
 from ..sources.tables import frames, samples, seq, stars, table, tiles
@@ -447,13 +448,17 @@ def circular_phase(spark, d):
 # --- tiles --------------------------------------------------------------------------------------------------------------
 
 
+def _planes(spark, d):
+    return tiles(spark, d).select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+
+
 def _sites(spark, d):
     return raster.tile_sites(tiles(spark, d), ["vec_id", "label"], "embedding", 8)
 
 
 @query(f"WITH {TILES}, u AS (SELECT vec_id, x - 3.5 AS u, y - 3.5 AS w, v FROM sites), m AS (SELECT vec_id, sum(v) AS sv, sum(u * v) AS su, sum(w * v) AS sw, sum(v * v) AS svv FROM u GROUP BY vec_id) SELECT vec_id, {M('sqrt(greatest(svv - sv * sv / 64 - (su * su + sw * sw) / 336, 0) / 61)')} AS sigma FROM m")
 def detrended_sigma(spark, d):
-    return raster.plane_residual_sigma(_sites(spark, d), ["vec_id"], 8).select("vec_id", micro(F.col("sigma")).alias("sigma"))
+    return _planes(spark, d).select("vec_id", micro(F.sqrt(plane.detrended(F.col("e"), 8)["var"])).alias("sigma"))
 
 
 _GRAD = TILES + ", n AS (SELECT vec_id, label, x, y, (lead(v) OVER r - lag(v) OVER r) / 2 AS gx, (lead(v) OVER c - lag(v) OVER c) / 2 AS gy FROM sites WINDOW r AS (PARTITION BY vec_id, y ORDER BY x), c AS (PARTITION BY vec_id, x ORDER BY y)), t AS (SELECT vec_id, avg(gx * gx) AS a, avg(gx * gy) AS b, avg(gy * gy) AS c FROM n WHERE gx IS NOT NULL AND gy IS NOT NULL GROUP BY vec_id)"
@@ -461,29 +466,32 @@ _GRAD = TILES + ", n AS (SELECT vec_id, label, x, y, (lead(v) OVER r - lag(v) OV
 
 @query(f"WITH {_GRAD} SELECT vec_id, {M('a + c')} AS energy FROM t")
 def tenengrad_tile(spark, d):
-    return raster.structure(_sites(spark, d), ["vec_id"]).select("vec_id", micro(F.col("energy")).alias("energy"))
+    return _planes(spark, d).select("vec_id", micro(plane.tenengrad(F.col("e"), 8) / 4).alias("energy"))
 
 
 @query(f"WITH {_GRAD} SELECT vec_id, {M('sqrt((a - c) * (a - c) + 4 * b * b) / (a + c)')} AS aniso FROM t")
 def gradient_anisotropy(spark, d):
-    return raster.structure(_sites(spark, d), ["vec_id"]).select("vec_id", micro(F.col("anisotropy")).alias("aniso"))
+    return _planes(spark, d).select("vec_id", micro(plane.anisotropy(F.col("e"), 8)).alias("aniso"))
 
 
 @query(f"""WITH {TILES}, h AS (SELECT vec_id, pos, x, y, (coalesce(lag(v) OVER r, v) + 2 * v + coalesce(lead(v) OVER r, v)) / 4 AS v FROM sites WINDOW r AS (PARTITION BY vec_id, y ORDER BY x))
   SELECT vec_id, pos::INTEGER AS pos, {M('(coalesce(lag(v) OVER c, v) + 2 * v + coalesce(lead(v) OVER c, v)) / 4')} AS v FROM h WINDOW c AS (PARTITION BY vec_id, x ORDER BY y)""")
 def blur3(spark, d):
-    return raster.blur3(_sites(spark, d), ["vec_id"]).select("vec_id", "pos", micro(F.col("v")).alias("v"))
+    b = _planes(spark, d).select("vec_id", F.posexplode(plane.blur3(F.col("e"), 8)).alias("pos", "v"))
+    return b.select("vec_id", "pos", micro(F.col("v")).alias("v"))
 
 
 @query(f"WITH {TILES} SELECT vec_id, (x // 2)::INTEGER AS x, (y // 2)::INTEGER AS y, {M('avg(v)')} AS v FROM sites GROUP BY vec_id, x // 2, y // 2")
 def downsample2(spark, d):
-    return raster.downsample2(_sites(spark, d), ["vec_id"]).select("vec_id", "x", "y", micro(F.col("v")).alias("v"))
+    b = _planes(spark, d).select("vec_id", F.posexplode(plane.downsample2(F.col("e"), 8)).alias("pos", "v"))
+    return b.select("vec_id", (F.col("pos") % 4).alias("x"), F.floor(F.col("pos") / 4).cast("int").alias("y"), micro(F.col("v")).alias("v"))
 
 
 @query(f"""WITH {TILES}, f AS (SELECT vec_id, pos, v, lag(v, 2) OVER r AS a, lead(v, 2) OVER r AS b, lag(v, 2) OVER c AS c, lead(v, 2) OVER c AS e FROM sites WINDOW r AS (PARTITION BY vec_id, y ORDER BY x), c AS (PARTITION BY vec_id, x ORDER BY y))
   SELECT vec_id, pos::INTEGER AS pos, {M('v - (a + b + c + e - least(a, b, c, e) - greatest(a, b, c, e)) / 2')} AS excess FROM f WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND e IS NOT NULL""")
 def neighbour_excess(spark, d):
-    return raster.neighbour_excess(_sites(spark, d), ["vec_id"]).where("excess IS NOT NULL").select("vec_id", "pos", micro(F.col("excess")).alias("excess"))
+    b = _planes(spark, d).select("vec_id", F.posexplode(plane.excess(F.col("e"), 8)).alias("pos", "v"))
+    return b.where("v IS NOT NULL").select("vec_id", "pos", micro(F.col("v")).alias("excess"))
 
 
 @query(f"WITH {TILES}, m AS (SELECT vec_id, min(v) AS lo, max(v) AS hi FROM sites GROUP BY vec_id) SELECT vec_id, string_agg(lpad(lower(to_hex(floor((v - lo) / (hi - lo) * 65535 + 0.5)::BIGINT)), 4, '0'), '' ORDER BY pos) AS pixels FROM sites JOIN m USING (vec_id) WHERE hi > lo GROUP BY vec_id")
@@ -496,7 +504,8 @@ def hex_preview(spark, d):
 
 @query(f"WITH {TILES} SELECT label, pos::INTEGER AS pos, {M('median(v)')} AS med, count(*) AS n FROM sites GROUP BY label, pos")
 def fixed_pattern_sites(spark, d):
-    return _sites(spark, d).groupBy("label", "pos").agg(micro(F.median("v")).alias("med"), F.count(F.lit(1)).alias("n"))
+    m = rank.median(_sites(spark, d).select("label", "pos", "v"), ["label", "pos"], "v")
+    return m.select("label", "pos", micro(F.col("med")).alias("med"), "n")
 
 
 @query(f"""WITH {TILES}, c AS (SELECT vec_id, pos, least(greatest(v + 0.5, 0), 1) AS u FROM sites), e AS (SELECT *, CASE WHEN u <= 0.0031308 THEN u * 12.92 ELSE 1.055 * power(u, 1 / 2.4) - 0.055 END AS s FROM c)
@@ -512,28 +521,29 @@ _PAIR = TILES + ", p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.v AS x, b.v AS y
 
 
 def _pairs(spark, d):
-    s = _sites(spark, d)
-    other = s.select((F.col("vec_id") - 1).alias("vec_id"), "pos", F.col("vec_id").alias("b"), F.col("v").alias("other"))
-    own = s.select("vec_id", "pos", F.col("v").alias("own"))
-    return own.join(other, ["vec_id", "pos"]).select(F.col("vec_id").alias("a"), "b", F.col("own").alias("x"), F.col("other").alias("y"))
+    """(a, b, s) of each tile and the next: plane.pair_sums of their values, from one join of arrays."""
+    t = _planes(spark, d)
+    other = t.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("b"), F.col("e").alias("o"))
+    return t.join(other, "vec_id").select(F.col("vec_id").alias("a"), "b", plane.pair_sums(F.col("e"), F.col("o")).alias("s"))
 
 
 @query(f"WITH {_PAIR} SELECT a, b, {_round5('10 * log10(1 / avg((x - y) * (x - y)))')} AS psnr FROM p GROUP BY a, b")
 def psnr_pairs(spark, d):
-    m = _pairs(spark, d).groupBy("a", "b").agg(F.avg((F.col("x") - F.col("y")) * (F.col("x") - F.col("y"))).alias("mse"))
+    m = _pairs(spark, d).select("a", "b", (F.col("s.dd") / 64).alias("mse"))
     return m.select("a", "b", (F.floor(F.when(F.col("mse") > 1e-20, 10 * F.log10(1 / F.col("mse"))).otherwise(99.0) * 100000 + 0.5) / 100000).alias("psnr"))
 
 
 @query(f"WITH {_PAIR} SELECT a, b, {_round5('regr_slope(y, x)')} AS gain, {_round5('regr_intercept(y, x)')} AS shift FROM p GROUP BY a, b")
 def gain_offset_fit(spark, d):
     five = lambda c: F.floor(c * 100000 + 0.5) / 100000
-    return _pairs(spark, d).groupBy("a", "b").agg(five(F.regr_slope("y", "x")).alias("gain"), five(F.regr_intercept("y", "x")).alias("shift"))
+    gain = (F.col("s.xy") - F.col("s.x") * F.col("s.y") / 64) / (F.col("s.xx") - F.col("s.x") * F.col("s.x") / 64)
+    g = _pairs(spark, d).withColumn("gain", gain)
+    return g.select("a", "b", five(F.col("gain")).alias("gain"), five((F.col("s.y") - F.col("gain") * F.col("s.x")) / 64).alias("shift"))
 
 
 @query(f"WITH {_PAIR}, m AS (SELECT a, b, avg(x) AS mx, avg(y) AS my, avg(x * x) AS xx, avg(y * y) AS yy, avg(x * y) AS xy FROM p GROUP BY a, b) SELECT a, b, {_round5('(2 * mx * my + 0.0001) * (2 * (xy - mx * my) + 0.0009) / ((mx * mx + my * my + 0.0001) * (xx - mx * mx + yy - my * my + 0.0009))')} AS ssim FROM m")
 def ssim_pairs(spark, d):
-    x, y = F.col("x"), F.col("y")
-    m = _pairs(spark, d).groupBy("a", "b").agg(F.avg(x).alias("mx"), F.avg(y).alias("my"), F.avg(x * x).alias("xx"), F.avg(y * y).alias("yy"), F.avg(x * y).alias("xy"))
+    m = _pairs(spark, d).select("a", "b", *[(F.col(f"s.{k}") / 64).alias(n) for k, n in (("x", "mx"), ("y", "my"), ("xx", "xx"), ("yy", "yy"), ("xy", "xy"))])
     ssim = F.expr("(2 * mx * my + 0.0001D) * (2 * (xy - mx * my) + 0.0009D) / ((mx * mx + my * my + 0.0001D) * (xx - mx * mx + yy - my * my + 0.0009D))")
     return m.select("a", "b", (F.floor(ssim * 100000 + 0.5) / 100000).alias("ssim"))
 

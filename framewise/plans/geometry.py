@@ -6,23 +6,24 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions.robust import micro
-from ..operators import coverage, merge, raster
-from ..sources.tables import samples, seq, table
+from ..operators import asterism, coverage, merge, raster
+from ..sources.tables import samples, seq, stars, table
 from .catalogue import SAMPLES, SEQ, M, query
 
 _five = lambda c: F.floor(c * 100000 + 0.5) / 100000
 _FIVE = lambda x: f"floor(({x}) * 100000 + 0.5) / 100000"
 
-# A transform for each nation: none, a turn, a turn with scale, or a shear, all with a shift; and one of a neighbour's.
-_T = """t AS (SELECT n_nationkey AS id, CASE n_nationkey % 4 WHEN 0 THEN 0.0 ELSE 0.01 * n_nationkey END AS th, CASE WHEN n_nationkey % 4 >= 2 THEN 1 + n_regionkey / 50 ELSE 1.0 END AS sc, n_nationkey * 1.5 AS dx, n_regionkey - 2.0 AS dy, CASE WHEN n_nationkey % 4 = 3 THEN 0.25 ELSE 0.0 END AS sh FROM nation),
-  m AS (SELECT id, sc * cos(th) AS a, -sc * sin(th) + sh AS b, dx AS c, sc * sin(th) AS d, sc * cos(th) AS e, dy AS f FROM t)"""
+# A transform for each customer: none, a turn, a turn with scale, or a shear, all with a shift.
+_T = """t AS (SELECT c_custkey AS id, c_custkey % 25 AS k, c_nationkey % 5 AS r FROM customer),
+  p AS (SELECT id, CASE k % 4 WHEN 0 THEN 0.0 ELSE 0.01 * k END AS th, CASE WHEN k % 4 >= 2 THEN 1 + r / 50 ELSE 1.0 END AS sc, k * 1.5 AS dx, r - 2.0 AS dy, CASE WHEN k % 4 = 3 THEN 0.25 ELSE 0.0 END AS sh FROM t),
+  m AS (SELECT id, sc * cos(th) AS a, -sc * sin(th) + sh AS b, dx AS c, sc * sin(th) AS d, sc * cos(th) AS e, dy AS f FROM p)"""
 
 
 def _transforms(spark, d):
-    n, r = F.col("n_nationkey"), F.col("n_regionkey")
-    theta = F.when(n % 4 == 0, 0.0).otherwise(0.01 * n)
-    size = F.when(n % 4 >= 2, 1 + r / 50).otherwise(1.0)
-    t = table(spark, d, "nation").select(n.alias("id"), geo.similarity(theta, size, n * 1.5, r - 2.0).alias("t"), F.when(n % 4 == 3, 0.25).otherwise(0.0).alias("sh"))
+    k, r = F.col("c_custkey") % 25, F.col("c_nationkey") % 5
+    theta = F.when(k % 4 == 0, 0.0).otherwise(0.01 * k)
+    size = F.when(k % 4 >= 2, 1 + r / 50).otherwise(1.0)
+    t = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), geo.similarity(theta, size, k * 1.5, r - 2.0).alias("t"), F.when(k % 4 == 3, 0.25).otherwise(0.0).alias("sh"))
     return t.select("id", F.col("t").withField("b", F.col("t.b") + F.col("sh")).alias("t"))
 
 
@@ -34,10 +35,10 @@ def affine_inverse(spark, d):
 
 
 @query(f"""WITH {_T} SELECT m.id, {_FIVE('m.a * o.a + m.b * o.d')} AS a, {_FIVE('m.a * o.b + m.b * o.e')} AS b, {_FIVE('m.a * o.c + m.b * o.f + m.c')} AS c, {_FIVE('m.d * o.a + m.e * o.d')} AS d, {_FIVE('m.d * o.b + m.e * o.e')} AS e, {_FIVE('m.d * o.c + m.e * o.f + m.f')} AS f,
-  {_FIVE('sqrt(m.a * m.a + m.d * m.d) / 2 + sqrt(m.b * m.b + m.e * m.e) / 2')} AS scale, {_FIVE('atan2(m.d, m.a)')} AS turn, {_FIVE('m.c * 2')} AS c2 FROM m JOIN m o ON o.id = (m.id + 1) % 25""")
+  {_FIVE('sqrt(m.a * m.a + m.d * m.d) / 2 + sqrt(m.b * m.b + m.e * m.e) / 2')} AS scale, {_FIVE('atan2(m.d, m.a)')} AS turn, {_FIVE('m.c * 2')} AS c2 FROM m JOIN m o ON o.id = m.id + 1""")
 def affine_compose(spark, d):
     t = _transforms(spark, d)
-    o = t.select(F.pmod(F.col("id") - 1, F.lit(25)).alias("id"), F.col("t").alias("u"))
+    o = t.select((F.col("id") - 1).alias("id"), F.col("t").alias("u"))
     both = t.join(o, "id").select("id", "t", geo.compose(F.col("t"), F.col("u")).alias("p"))
     own = F.col("t")
     return both.select("id", *[_five(F.col(f"p.{k}")).alias(k) for k in geo.AFFINE], _five(geo.scale(own)).alias("scale"), _five(geo.rotation(own)).alias("turn"), _five(geo.rescale(own, 2.0)["c"]).alias("c2"))
@@ -97,7 +98,7 @@ _GRID = """w AS (SELECT s_suppkey, 180 + (s_suppkey % 7 - 3) / 10 AS ra, 10 + (s
   fit AS (SELECT s_suppkey, covar_pop(x, rx) / var_pop(x) AS a, covar_pop(y, rx) / var_pop(y) AS b, avg(rx) AS mrx, covar_pop(x, ry) / var_pop(x) AS c, covar_pop(y, ry) / var_pop(y) AS d, avg(ry) AS mry, avg(x) AS mx, avg(y) AS my FROM t4 GROUP BY s_suppkey HAVING count(*) >= 6)"""
 
 
-@query(f"WITH {_GRID} SELECT s_suppkey, {_FIVE('a')} AS a, {_FIVE('b')} AS b, round(mrx - a * mx - b * my, 3) AS tx, {_FIVE('c')} AS c, {_FIVE('d')} AS d, round(mry - c * mx - d * my, 3) AS ty FROM fit")
+@query(f"WITH {_GRID} SELECT s_suppkey, {_FIVE('a')} AS a, {_FIVE('b')} AS b, round(mrx - a * mx - b * my, 3) + 0.0 AS tx, {_FIVE('c')} AS c, {_FIVE('d')} AS d, round(mry - c * mx - d * my, 3) + 0.0 AS ty FROM fit")
 def relative_affine(spark, d):
     """The affine map between the pixels of two sky projections, by least squares on 5 by 5 points: both axes of a full grid are
     independent, so each slope is a covariance over a variance."""
@@ -112,7 +113,7 @@ def relative_affine(spark, d):
     g = g.select("s_suppkey", "x", "y", rx.alias("rx"), ry.alias("ry")).where("rx IS NOT NULL AND ry IS NOT NULL")
     slope = lambda x, y: F.covar_pop(x, y) / F.var_pop(x)
     f = g.groupBy("s_suppkey").agg(slope("x", "rx").alias("a"), slope("y", "rx").alias("b"), slope("x", "ry").alias("c"), slope("y", "ry").alias("d"), *[F.avg(v).alias("m" + v) for v in ("x", "y", "rx", "ry")], F.count(F.lit(1)).alias("n")).where("n >= 6")
-    shift = lambda m, p, q: F.round(F.col(m) - F.col(p) * F.col("mx") - F.col(q) * F.col("my"), 3)
+    shift = lambda m, p, q: F.round(F.col(m) - F.col(p) * F.col("mx") - F.col(q) * F.col("my"), 3) + 0.0
     return f.select("s_suppkey", *[_five(F.col(c)).alias(c) for c in "abcd"], shift("mrx", "a", "b").alias("tx"), shift("mry", "c", "d").alias("ty"))
 
 
@@ -267,3 +268,32 @@ def format_by_ending(spark, d):
     ext = F.lower(F.regexp_extract(F.regexp_replace("url", "[?#].*$", ""), r"\.([A-Za-z0-9]+)$", 1))
     kind = F.coalesce(*[F.when(ext.isin(*endings), name) for name, endings in kinds.items()])
     return table(spark, d, "pages").select("page_id", kind.alias("format"))
+
+
+# --- matching -------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT label AS frame, label * 37 % 360 AS degrees, round(1 + label / 100, 2) AS scale FROM embeddings WHERE label > 0 GROUP BY label")
+def triangle_match(spark, d):
+    """Frame 0's stars, turned, scaled and moved anew for each other frame, with a star in seven lost and a stray one for it: the match
+    finds the way back to frame 0."""
+    s = stars(spark, d).where("frame = 0").select("id", (F.col("x") * 40 + F.pmod(F.col("id") * 7919, F.lit(997))).alias("x"), (F.col("y") * 40 + F.pmod(F.col("id") * 6101, F.lit(991))).alias("y"), "flux")
+    t = geo.inverse(geo.similarity(F.radians(F.col("frame") * 37 % 360), 1 + F.col("frame") / 100, F.col("frame") * 11.0, F.col("frame") * -5.0))
+    moved = s.withColumn("frame", F.explode(F.sequence(F.lit(1), F.lit(9)))).withColumn("t", t)
+    x, y = geo.apply(F.col("t"), F.col("x"), F.col("y"))
+    stray = F.pmod(F.col("id") + F.col("frame"), F.lit(7)) == 0
+    moved = moved.select("frame", "id", F.when(stray, y * 0.7).otherwise(x).alias("x"), F.when(stray, x * 1.3).otherwise(y).alias("y"), "flux")
+    m = asterism.match(s.withColumn("frame", F.lit(0)), moved)
+    turn = F.floor(F.degrees(geo.rotation(F.col("transform"))) + 0.5)
+    return m.select("frame", F.pmod(turn, F.lit(360)).cast("int").alias("degrees"), F.round(geo.scale(F.col("transform")), 2).alias("scale"))
+
+
+@query("""WITH t AS (SELECT c_custkey AS id, c_custkey % 25 AS k, c_nationkey % 5 AS r FROM customer)
+  SELECT id, CASE k % 4 WHEN 0 THEN 'translation' WHEN 1 THEN 'euclidean' WHEN 2 THEN CASE WHEN r = 0 THEN 'euclidean' ELSE 'similarity' END ELSE 'affine' END AS model FROM t""")
+def fitted_model(spark, d):
+    """Points moved by each customer's transform, up to a hundredth of a pixel off: the fit finds the kind of transform."""
+    p = _transforms(spark, d).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    p = p.select("id", "t", ((F.col("id") * 37 + F.col("k") * 211) % 640).cast("double").alias("x"), ((F.col("id") * 53 + F.col("k") * 307) % 480).cast("double").alias("y"), ((F.col("k") % 3 - 1) / 100).alias("off"))
+    u, v = geo.apply(F.col("t"), F.col("x"), F.col("y"))
+    pairs = p.select("id", "x", "y", (u + F.col("off")).alias("u"), (v - F.col("off")).alias("v"))
+    return asterism.simplest_fit(pairs, ["id"], 0.02).select("id", "model")

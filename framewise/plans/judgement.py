@@ -224,3 +224,31 @@ def tile_positions(spark, d):
     f = f.selectExpr("*", "nx * ny AS av", "least(40L, nx * ny) AS c").selectExpr("*", "explode(sequence(0L, c - 1)) AS i")
     f = f.selectExpr("*", "least((2 * i + 1) * av div (2 * c), av - 1) AS cell")
     return f.selectExpr("p_partkey", "i", "mx + (cell % nx) * 32 AS x", "my + (cell div nx) * 32 AS y")
+
+
+@query(f"""WITH {_LEVELS}, s AS (SELECT vec_id, med, mad, least(greatest(med - {CLIP} * mad, 0), 0.999) AS sh FROM lv WHERE mad > 0), t AS (SELECT *, {_MID} AS mid FROM s),
+  a AS (SELECT *, least(greatest((med - mad - sh) / greatest(1 - sh, 1e-6), 0), 1) AS lo, least(greatest((med + mad - sh) / greatest(1 - sh, 1e-6), 0), 1) AS hi FROM t),
+  g AS (SELECT vec_id, sh, mid, (CASE WHEN hi <= 0 THEN 0 WHEN hi >= 1 THEN 1 ELSE (mid - 1) * hi / ((2 * mid - 1) * hi - mid) END - CASE WHEN lo <= 0 THEN 0 WHEN lo >= 1 THEN 1 ELSE (mid - 1) * lo / ((2 * mid - 1) * lo - mid) END) / greatest(2 * mad, 1e-9) AS gain FROM a)
+  SELECT vec_id, {_FIVE('gain')} AS gain, floor(gain * 100000 + 0.5) / 100000 >= 1.2 AS chosen FROM g""")
+def stretch_choice(spark, d):
+    """Whether a stretch would widen the spread about the background enough to be worth applying; these tiles are bright, so 1.2 is."""
+    s = _levels(spark, d).where("mad > 0").withColumn("sh", clamp(F.col("med") - CLIP * F.col("mad"), 0.0, 0.999))
+    s = s.withColumn("mid", _balance(F.col("med"), F.col("sh")))
+    at = lambda v: _stretched(clamp((v - F.col("sh")) / F.greatest(1 - F.col("sh"), F.lit(1e-6)), 0.0, 1.0), F.col("mid"))
+    gain = _five((at(F.col("med") + F.col("mad")) - at(F.col("med") - F.col("mad"))) / F.greatest(2 * F.col("mad"), F.lit(1e-9)))
+    return s.select("vec_id", gain.alias("gain"), (gain >= 1.2).alias("chosen"))
+
+
+@query("""WITH RECURSIVE v AS (SELECT vec_id, label, floor((abs(embedding[4]::DOUBLE) * 8 + 1) * 1000 + 0.5)::BIGINT AS w FROM embeddings), c AS (SELECT label, min(w) AS rep FROM v GROUP BY label
+  UNION ALL SELECT c.label, (SELECT min(w) FROM v WHERE v.label = c.label AND v.w * 10 > c.rep * 11) FROM c WHERE (SELECT min(w) FROM v WHERE v.label = c.label AND v.w * 10 > c.rep * 11) IS NOT NULL)
+  SELECT vec_id, v.label, (SELECT max(rep) FROM c WHERE c.label = v.label AND rep <= w) / 1000 AS cohort FROM v""")
+def width_cohorts(spark, d):
+    """Frames of like width: a cohort begins where a width is over 1.1 times the least of the cohort before. Widths are whole thousandths,
+    so a group has as many distinct ones as their range allows, however many frames it has."""
+    v = table(spark, d, "embeddings").select("vec_id", "label", F.floor((F.abs(F.element_at("embedding", 4).cast("double")) * 8 + 1) * 1000 + 0.5).alias("w"))
+    sets = v.groupBy("label").agg(F.sort_array(F.collect_set("w")).alias("all"))
+    first = lambda reps, w: F.size(reps) == 0
+    begins = lambda reps, w: first(reps, w) | (w * 10 > F.element_at(reps, -1) * 11)
+    reps = F.aggregate("all", F.array().cast("array<bigint>"), lambda reps, w: F.when(begins(reps, w), F.concat(reps, F.array(w))).otherwise(reps))
+    kept = sets.select("label", reps.alias("reps"))
+    return v.join(kept, "label").select("vec_id", "label", (F.array_max(F.filter("reps", lambda r: r <= F.col("w"))) / 1000).alias("cohort"))

@@ -112,12 +112,12 @@ def probe_grid(spark, d):
 # --- brightness maps, masks, signal ---------------------------------------------------------------------------------------
 
 
-@query(f"""WITH m AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey % 6 = 5 THEN 0.0 ELSE 0.5 + n_nationkey / 20 END AS g, (n_regionkey - 2) / 10 AS o FROM nation)
-  SELECT m.id, {_FIVE('m.g * 0.5 + m.o')} AS applied, CASE WHEN abs(m.g) >= 1e-6 THEN {_FIVE('1 / m.g')} END AS back_gain, CASE WHEN abs(m.g) >= 1e-6 THEN {_FIVE('-m.o / m.g')} END AS back_offset, {_FIVE('m.g * n.g')} AS gain, {_FIVE('m.g * n.o + m.o')} AS offset_of FROM m JOIN m n ON n.id = (m.id + 1) % 25""")
+@query(f"""WITH m AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 6 = 5 THEN 0.0 ELSE 0.5 + c_custkey % 25 / 20 END AS g, (c_nationkey % 5 - 2) / 10 AS o FROM customer)
+  SELECT m.id, {_FIVE('m.g * 0.5 + m.o')} AS applied, CASE WHEN abs(m.g) >= 1e-6 THEN {_FIVE('1 / m.g')} END AS back_gain, CASE WHEN abs(m.g) >= 1e-6 THEN {_FIVE('-m.o / m.g')} END AS back_offset, {_FIVE('m.g * n.g')} AS gain, {_FIVE('m.g * n.o + m.o')} AS offset_of FROM m JOIN m n ON n.id = m.id + 1""")
 def brightness_maps(spark, d):
-    n, r = F.col("n_nationkey"), F.col("n_regionkey")
-    m = table(spark, d, "nation").select(n.alias("id"), light.linear(F.when(n % 6 == 5, 0.0).otherwise(0.5 + n / 20), (r - 2) / 10).alias("m"))
-    both = m.join(m.select(F.pmod(F.col("id") - 1, F.lit(25)).alias("id"), F.col("m").alias("n")), "id")
+    k, r = F.col("c_custkey"), F.col("c_nationkey") % 5
+    m = table(spark, d, "customer").select(k.alias("id"), light.linear(F.when(k % 6 == 5, 0.0).otherwise(0.5 + k % 25 / 20), (r - 2) / 10).alias("m"))
+    both = m.join(m.select((F.col("id") - 1).alias("id"), F.col("m").alias("n")), "id")
     back, two = light.inverse(F.col("m")), light.compose(F.col("m"), F.col("n"))
     return both.select("id", _five(light.apply(F.col("m"), F.lit(0.5))).alias("applied"), _five(back["gain"]).alias("back_gain"), _five(back["offset"]).alias("back_offset"), _five(two["gain"]).alias("gain"), _five(two["offset"]).alias("offset_of"))
 
@@ -327,3 +327,45 @@ def sky_levels(spark, d):
     m = rank.median_mad(c, ["frame", "ch"], "v")
     w = Window.partitionBy("ch")  # one row for each frame
     return m.select("frame", "ch", micro(F.col("med")).alias("sky"), micro(F.col("mad") * MAD_SCALE).alias("spread"), micro(F.max("med").over(w) - F.min("med").over(w)).alias("range_of"))
+
+
+@query("""WITH f AS (SELECT l_orderkey AS frame_id, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) / count(*) AS obstructed, max(l_discount) * 12 AS swing FROM lineitem GROUP BY l_orderkey)
+  SELECT frame_id, CASE WHEN obstructed > 0.3 THEN 'obstructed' WHEN floor(swing * 1000000 + 0.5) > 1000000 THEN 'uneven' END AS reason FROM f""")
+def photometric_exclusion(spark, d):
+    """Why a frame is left out: too much of it is covered, or its brightness swings too far; null for frames that stay."""
+    f = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("frame_id")).agg((F.count_if(F.col("l_returnflag") == "R") / F.count(F.lit(1))).alias("obstructed"), (F.max("l_discount") * 12).alias("swing"))
+    return f.select("frame_id", F.when(F.col("obstructed") > 0.3, "obstructed").when(F.floor(F.col("swing") * 1000000 + 0.5) > 1000000, "uneven").alias("reason"))
+
+
+@query(f"WITH {FRAMES}, m AS (SELECT grp, median(cents) AS med FROM frames GROUP BY grp) SELECT frame_id, {M('CASE WHEN camera = ' + chr(39) + 'P' + chr(39) + ' THEN 0 ELSE least(greatest((frame_id % 13) / 10, 0), 1) * least(greatest(cents / med, 0.5), 2) END')} AS weight FROM frames JOIN m USING (grp)")
+def usable_weights(spark, d):
+    """Confidence times sharpness against the group, each within its bounds; nothing for a frame that can't be used."""
+    r = sequence.relative_to_median(frames(spark, d), ["grp"], "cents")
+    value = clamp(F.col("frame_id") % 13 / 10, 0.0, 1.0) * clamp(F.col("rel"), 0.5, 2.0)
+    return r.select("frame_id", micro(F.when(F.col("camera") == "P", 0.0).otherwise(value)).alias("weight"))
+
+
+@query(f"WITH {FRAMES}, c AS (SELECT grp, camera, median(cents) AS med FROM frames GROUP BY grp, camera), z AS (SELECT grp, median(cents) AS z FROM frames GROUP BY grp), g AS (SELECT grp, {M('med / z')} AS gain FROM c JOIN z USING (grp)) SELECT grp, count(*) AS cameras, min(gain) AS low, max(gain) AS high, {M('max(gain) / min(gain)')} AS spread, max(gain) > 1.1 * min(gain) AS warned FROM g GROUP BY grp")
+def gain_report(spark, d):
+    f = frames(spark, d)
+    g = rank.median(f, ["grp", "camera"], "cents").drop("n").join(rank.median(f, ["grp"], "cents", "z").drop("n"), "grp").select("grp", micro(F.col("med") / F.col("z")).alias("gain"))
+    return g.groupBy("grp").agg(F.count(F.lit(1)).alias("cameras"), F.min("gain").alias("low"), F.max("gain").alias("high"), micro(F.max("gain") / F.min("gain")).alias("spread"), (F.max("gain") > 1.1 * F.min("gain")).alias("warned"))
+
+
+@query(f"""WITH {FRAMES}, d AS (SELECT grp, count(*) AS frames, {M('coalesce(sum(known), 0) / 100 / 3600')} AS hours, count(DISTINCT camera) AS cameras, count(DISTINCT ts::DATE) AS nights, min(ts) AS first, max(ts) AS last, count(*) FILTER (WHERE known IS NULL) AS unknown FROM frames GROUP BY grp)
+  SELECT row_number() OVER (ORDER BY frames DESC, grp)::INTEGER AS place, * FROM d""")
+def catalog_overview(spark, d):
+    """Each filter's frames, hours, cameras and nights, the largest first."""
+    f = frames(spark, d)
+    g = f.groupBy("grp").agg(F.count(F.lit(1)).alias("frames"), micro(F.coalesce(F.sum("known"), F.lit(0)) / 100 / 3600).alias("hours"), F.countDistinct("camera").alias("cameras"), F.countDistinct(F.to_date("ts")).alias("nights"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.count_if(F.col("known").isNull()).alias("unknown"))
+    return g.withColumn("place", F.row_number().over(Window.orderBy(F.desc("frames"), "grp")))  # one row for each filter
+
+
+@query(f"""WITH {SAMPLES}, c AS (SELECT ch, x, y, sum(q) / count(*) / 50 AS v, (x + 0.5) / 64 * 2 - 1 AS nx, (y + 0.5) / 64 * 2 - 1 AS ny FROM samples GROUP BY ALL), r AS (SELECT *, (nx * nx + ny * ny) / 2 AS r2 FROM c)
+  SELECT ch, x, y, {M('v / greatest(1 - 0.3 * r2 - 0.1 * r2 * r2, 0.2) - (0.02 * nx - 0.01 * ny)')} AS v FROM r""")
+def flattened(spark, d):
+    """A vignette divided out and a gradient taken off, by the distance from the centre and the place in the frame."""
+    c = samples(spark, d).groupBy("ch", "x", "y").agg((F.sum("q") / F.count(F.lit(1)) / 50).alias("v"))
+    c = c.withColumn("nx", (F.col("x") + 0.5) / 64 * 2 - 1).withColumn("ny", (F.col("y") + 0.5) / 64 * 2 - 1)
+    r2 = (F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny")) / 2
+    return c.select("ch", "x", "y", micro(F.col("v") / F.greatest(1 - 0.3 * r2 - 0.1 * r2 * r2, F.lit(0.2)) - (0.02 * F.col("nx") - 0.01 * F.col("ny"))).alias("v"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import tiles as plane
 from ..functions.robust import MAD_SCALE, micro
-from ..operators import raster, rank, spatial
+from ..operators import rank, spatial
 from ..sources.tables import frames, samples, stars, table
-from .catalogue import _NEAR, FRAMES, SAMPLES, STARS, TILES, M, _near, _sites, query
+from .catalogue import _NEAR, FRAMES, SAMPLES, STARS, TILES, M, _near, _planes, _sites, query
 
 # Black and white levels of the four cells of a 2 by 2 pattern.
 BLACK, WHITE = (0, 1, 2, 3), (50, 49, 50, 48)
@@ -95,8 +96,10 @@ def aperture_flux(spark, d):
 
 @query(f"WITH {TILES}, g AS (SELECT vec_id, abs(lead(v) OVER (PARTITION BY vec_id, y ORDER BY x) - v) AS d FROM sites) SELECT vec_id, {M(f'{MAD_SCALE} * median(d) / sqrt(2)')} AS sigma FROM g WHERE d IS NOT NULL GROUP BY vec_id")
 def guide_noise(spark, d):
-    g = _sites(spark, d).withColumn("d", F.abs(raster.neighbour(["vec_id"], "v", 1, 0) - F.col("v"))).where("d IS NOT NULL")
-    return g.groupBy("vec_id").agg(micro(MAD_SCALE * F.median("d") / F.sqrt(F.lit(2.0))).alias("sigma"))
+    e = F.col("e")
+    d_ = F.filter(F.transform(e, lambda v, i: F.when(i % 8 < 7, F.abs(F.element_at(e, (i + 2).cast("int")) - v))), lambda v: v.isNotNull())
+    g = _planes(spark, d).select("vec_id", d_.alias("d"))
+    return g.select("vec_id", micro(MAD_SCALE * plane.median(F.col("d")) / F.sqrt(F.lit(2.0))).alias("sigma"))
 
 
 @query(f"WITH {TILES}, m AS (SELECT vec_id, x // 4 AS tx, y // 4 AS ty, list_sort(list(v + 1))[9] AS m FROM sites GROUP BY ALL) SELECT vec_id, {M('max(m) / min(m) - 1')} AS span FROM m GROUP BY vec_id")

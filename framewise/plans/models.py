@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import tiles as plane
 from ..functions.robust import MAD_SCALE, micro
-from ..operators import raster, robust_fit, selection, sequence
+from ..operators import robust_fit, selection, sequence
 from ..sources.tables import frames, samples, seq, stars, table
-from .catalogue import _NEAR, FRAMES, NUM, SAMPLES, SEQ, STARS, TILES, M, _near, _sites, query
+from .catalogue import _NEAR, FRAMES, NUM, SAMPLES, SEQ, STARS, TILES, M, _near, _planes, query
 
 _FOUR = lambda x: f"floor(({x}) * 10000 + 0.5) / 10000"
 _four = lambda c: F.floor(c * 10000 + 0.5) / 10000
@@ -94,9 +95,9 @@ _GRID = TILES + ", g AS (SELECT vec_id, label, x, y, (lead(v) OVER r - lag(v) OV
 
 @query(f"WITH {_GRID} SELECT vec_id, (x // 4)::INTEGER AS cx, (y // 4)::INTEGER AS cy, {M('avg(gx * gx + gy * gy)')} AS s FROM g WHERE gx IS NOT NULL AND gy IS NOT NULL GROUP BY vec_id, x // 4, y // 4")
 def regional_quality(spark, d):
-    g = raster.gradients(_sites(spark, d), ["vec_id"]).where("gx IS NOT NULL AND gy IS NOT NULL")
-    cell = lambda c: F.floor(F.col(c) / 4).cast("int").alias("c" + c)
-    return g.groupBy("vec_id", cell("x"), cell("y")).agg(micro(F.avg(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))).alias("s"))
+    g = _planes(spark, d).select("vec_id", F.posexplode(plane.energy(F.col("e"), 8)).alias("i", "g")).where("g IS NOT NULL")
+    cell = [F.floor(F.col("i") % 8 / 4).cast("int").alias("cx"), F.floor(F.col("i") / 32).cast("int").alias("cy")]
+    return g.groupBy("vec_id", *cell).agg(micro(F.avg("g") / 4).alias("s"))
 
 
 _SIGMA = TILES + f", u AS (SELECT vec_id, label, x - 3.5 AS u, y - 3.5 AS w, v FROM sites), m AS (SELECT vec_id, label, sum(v) AS sv, sum(u * v) AS su, sum(w * v) AS sw, sum(v * v) AS svv FROM u GROUP BY vec_id, label), s AS (SELECT label, floor(sqrt(greatest(svv - sv * sv / 64 - (su * su + sw * sw) / 336, 0) / 61) * 1000000 + 0.5)::BIGINT AS k FROM m)"
@@ -106,7 +107,7 @@ _SIGMA = TILES + f", u AS (SELECT vec_id, label, x - 3.5 AS u, y - 3.5 AS w, v F
 def flat_field_noise(spark, d):
     from ..operators import rank
 
-    s = raster.plane_residual_sigma(_sites(spark, d), ["vec_id", "label"], 8).select("label", F.floor(F.col("sigma") * 1000000 + 0.5).alias("sigma"))
+    s = _planes(spark, d).select("label", F.floor(F.sqrt(plane.detrended(F.col("e"), 8)["var"]) * 1000000 + 0.5).alias("sigma"))
     return rank.lowest_share_mean(s, ["label"], "sigma").select("label", micro(F.col("total") / F.col("k") / 1000000).alias("noise"))
 
 
@@ -178,6 +179,5 @@ def canvas(spark, d):
 
 @query(f"WITH {TILES} SELECT vec_id, {M('avg(v)')} AS mean, {M('greatest(avg(v * v) - avg(v) * avg(v), 0)')} AS var, min(v) AS low, max(v) AS high FROM sites GROUP BY vec_id")
 def tile_statistics(spark, d):
-    v = F.col("v")
-    return _sites(spark, d).groupBy("vec_id").agg(micro(F.avg(v)).alias("mean"), micro(F.greatest(F.avg(v * v) - F.avg(v) * F.avg(v), F.lit(0.0))).alias("var"), F.min(v).alias("low"), F.max(v).alias("high"))
-
+    t = _planes(spark, d).select("vec_id", "e", plane.mean(F.col("e")).alias("m"), plane.mean_square(F.col("e")).alias("q"))
+    return t.select("vec_id", micro(F.col("m")).alias("mean"), micro(F.greatest(F.col("q") - F.col("m") * F.col("m"), F.lit(0.0))).alias("var"), F.array_min("e").alias("low"), F.array_max("e").alias("high"))
