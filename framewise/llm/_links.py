@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import materialize, mix, pack_ascending, remove, spread, unpack_ascending, written
+from ._common import bytes_of, materialize, mix, pack_ascending, remove, spread, unpack_ascending, written
 
 CHAIN = 2  # earlier members of its run that a member is compared with, besides the first
 WHOLE = CHAIN + 2  # in a run of so many members at most, that compares every two
-COLLECTED = 2_000_000  # signatures that a task collects before it sends them, and about as many as fall in a hash range
+COLLECTED, IN_RANGE = 400_000, 1_000_000  # signatures that a task collects before it sends them; that fall in a hash range, about
 LONG = 32  # members of a run within a collection that go to the signature's range
 BLOCK = 4096  # members of a run that are compared within one task
 MOST_BITS = 1 << 29  # of a bitmap that is broadcast: 64 MB
@@ -34,11 +34,11 @@ def sketches(elements: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     return out
 
 
-def _unpack(blobs: list[bytes], classes: int) -> np.ndarray:
-    """Rows of `classes` counts, of sketches of one length that has so many classes at least."""
-    half = np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), -1)[:, :-16]
-    counts = np.stack((half >> 4, half & 15), axis=2).reshape(len(blobs), -1)
-    return counts if counts.shape[1] == classes else counts.reshape(len(blobs), -1, classes).sum(axis=1, dtype=np.int64).astype(np.uint8) & np.uint8(WRAP - 1)
+def _counts(packed: np.ndarray, classes: int) -> np.ndarray:
+    """Rows of `classes` counts, of rows of sketches that have so many classes at least."""
+    half = packed[:, :-16]
+    counts = np.stack((half >> 4, half & 15), axis=2).reshape(len(packed), -1)
+    return counts if counts.shape[1] == classes else counts.reshape(len(packed), -1, classes).sum(axis=1, dtype=np.int64).astype(np.uint8) & np.uint8(WRAP - 1)
 
 
 def _unpack_all(blobs: list[bytes]) -> np.ndarray:
@@ -48,7 +48,7 @@ def _unpack_all(blobs: list[bytes]) -> np.ndarray:
     out = np.empty((len(blobs), classes), np.uint8)
     for n in np.unique(length):
         at = np.flatnonzero(length == n)
-        out[at] = _unpack([blobs[i] for i in at], classes)
+        out[at] = _counts(np.frombuffer(b"".join([blobs[i] for i in at]), np.uint8).reshape(len(at), -1), classes)
     return out
 
 
@@ -128,7 +128,7 @@ class Sender:
 
 
 def ranges(n_signatures: int) -> int:
-    return max(1, -(-n_signatures // COLLECTED))
+    return max(1, -(-n_signatures // IN_RANGE))
 
 
 def find_runs(rows: DataFrame, n_ranges: int) -> DataFrame:
@@ -214,25 +214,30 @@ def near_sketches(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame
         for batch in batches:
             if not batch.num_rows:
                 continue
-            s, t = (batch.column(i).to_pylist() for i in (4, 5))
+            (x, at_x), (y, at_y) = (bytes_of(batch.column(i)) for i in (4, 5))
             n, o = (batch.column(i).to_numpy() for i in (2, 3))
-            apart = np.empty(batch.num_rows, np.int64)
-            shape = np.array([len(x) << 20 | len(y) for x, y in zip(s, t)], np.int64)
+            apart, same = np.empty(batch.num_rows, np.int64), np.zeros(batch.num_rows, bool)
+            shape = np.diff(at_x) << 20 | np.diff(at_y)
             for key in np.unique(shape):
-                at = np.flatnonzero(shape == key)
-                classes = 2 * (min(int(key) >> 20, int(key) & (1 << 20) - 1) - 16)
-                for some in np.array_split(at, range(2048, len(at), 2048)):
-                    apart[some] = _apart(_unpack([s[i] for i in some], classes), _unpack([t[i] for i in some], classes))
-            ok = pa.array(apart <= _most_apart(n, o, percent))
-            same = pa.array([x == y for x, y in zip(s, t)], pa.bool_())
+                size = int(key) >> 20, int(key) & (1 << 20) - 1
+                at, step = np.flatnonzero(shape == key), max(1, (1 << 19) // max(size))
+                for some in np.array_split(at, range(step, len(at), step)):
+                    p, q = x[at_x[some][:, None] + np.arange(size[0])], y[at_y[some][:, None] + np.arange(size[1])]
+                    classes = 2 * (min(size) - 16)
+                    apart[some] = _apart(_counts(p, classes), _counts(q, classes))
+                    if size[0] == size[1]:
+                        same[some] = (p == q).all(axis=1)
+            ok, same = pa.array(apart <= _most_apart(n, o, percent)), pa.array(same)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), same, batch.column(2)], names=["a", "b", "same", "n"]).filter(ok)
+        pa.default_memory_pool().release_unused()
 
     return both.mapInArrow(run, "a long, b long, same boolean, n long")
 
 
 def pack_set(elements: np.ndarray) -> bytes:
-    """A sorted set for jaccard_links, as differences."""
-    return pack_ascending(elements)
+    """A sorted set for jaccard_links: the upper 54 bits of each 64-bit hash, as differences, which take 6 bytes each in long texts. Two
+    elements of a pair of sets of a thousand fall together once in 10^10 pairs."""
+    return pack_ascending(elements >> np.uint64(10))
 
 
 def jaccard_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -255,6 +260,7 @@ def jaccard_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             c, e = np.array(common, np.int64), np.array(either, np.int64)
             ok = pa.array((c * 100 >= e * percent) & (c > 0))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(c), pa.array(e)], names=["a", "b", "common", "either"]).filter(ok)
+        pa.default_memory_pool().release_unused()
 
     return both.mapInArrow(run, "a long, b long, common long, either long")
 

@@ -101,6 +101,7 @@ def signatures(docs: DataFrame, percent: int, words: int, n_ranges: int) -> Data
                     node, times, n = np.array(of, np.int64).T
                     yield from sender.add(np.concatenate(sigs), np.repeat(node, times), np.repeat(n, times))
         yield from sender.flush()
+        pa.default_memory_pool().release_unused()
 
     return docs.select("node", "text").mapInArrow(run, SENT)
 

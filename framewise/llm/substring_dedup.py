@@ -9,11 +9,12 @@ stays, the others are removals.
 A passage that was put inside other text shares no paragraph. So each document's words are also cut where the hash of three
 words is the least within `reach` words either way; the same passage is cut alike wherever it stands. A unit between two cuts
 that stood before, in an earlier place, is repeated; repeated units that follow one another with `least_passage` words or
-more are removals too. Both kinds meet in one shuffle of signatures, streamed in order, so a very frequent paragraph or
-passage takes no memory.
+more are removals too. Both kinds meet in one shuffle of signatures, packed by hash range, to which a collection of a task sends
+a few members of a very frequent paragraph or passage only.
 
 Defined results: null, empty and short texts have no removals; of repeated rows (equal doc_id and text) one stands for all;
-rows with a null doc_id take no part; an empty table gives no rows. Other columns are ignored.
+rows with a null doc_id take no part; an empty table gives no rows. Where a doc_id stands on different texts, removals of each are
+given under that id (clean() expects one text for an id). Other columns are ignored.
 
 A node is a place in a document as one long. Where doc_ids are below 2^41 in size, none stands on different texts and texts are
 below 8 MB it is doc_id * 2^22 + the place; else (doc_id, text) get numbers in order of doc_id, long ones several in a row, so every
