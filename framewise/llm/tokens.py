@@ -38,7 +38,7 @@ def ids_of(path: str, by_word: bool = True) -> Ids:
 class Ids(dict):
     """bytes -> little-endian unsigned 32-bit ids. Bounded: it is emptied when it holds `most` words, and long words aren't kept."""
 
-    def __init__(self, path: str, by_word: bool = True, most: int = 500_000, longest: int = 64):
+    def __init__(self, path: str, by_word: bool = True, most: int = 300_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         super().__init__()
