@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary, decontaminate, lines, lm_score, ngram_join, packing, periodic, pii, quality, substring_dedup, topk
+from . import binary, decontaminate, lines, lm_score, main_text, ngram_join, packing, periodic, pii, quality, substring_dedup, topk
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_line_dedup": lines.query,
         "op10_ngram_join": ngram_join.query,
         "op11_periodic": periodic.query,
+        "op13_main_text": main_text.query,
     }
 
 
