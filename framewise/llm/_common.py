@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import uuid
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a folder in the session's warehouse."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset and driver and tasks are one machine, a folder in
+    the session's warehouse; on a cluster nothing tells which folder is shared, so that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_framewise"
     return base.rstrip("/")
 
@@ -115,42 +119,34 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
-_BYTE = mix(_LOWER.astype(np.uint64) + U64(0x51ED270B))  # a random value for each byte, alike for both cases of A-Z
-_STEP = U64(0xD1342543DE82EF93)
-_BLOCK = 1 << 19
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, U64(base % (1 << 64)))
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-@lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of _STEP and of its inverse modulo 2^64."""
-    return _powers(int(_STEP), _BLOCK), _powers(pow(int(_STEP), -1, 1 << 64), _BLOCK)
+_LOWER = _LOWER.astype(np.uint8)
+_LANES = 32
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _hash_spans(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [first, last): sums of byte values times powers of their place, from running sums."""
-    out, at = np.empty(len(first), np.uint64), 0
-    while at < len(first):
-        low = int(first[at])
-        to = max(at + 1, int(np.searchsorted(last, low + _BLOCK, side="right")))
-        power, inverse = _tables()
-        if (size := int(last[to - 1]) - low) > _BLOCK:  # a single span longer than a block
-            power, inverse = _powers(int(_STEP), size), np.ones(1, np.uint64)
-        total = np.zeros(size + 1, np.uint64)
-        np.cumsum(_BYTE[data[low : low + size]] * power[:size], out=total[1:])
-        out[at:to] = (total[last[at:to] - low] - total[first[at:to] - low]) * inverse[first[at:to] - low]
-        at = to
-    return mix(out + mix((last - first).astype(np.uint64)))
-
-
-def words_in(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first byte, byte after the last) of the words between ASCII white space; a word ends at an edge as well."""
-    word = ~_SPACE[data]
+    """64-bit hashes of the byte spans [first, last), alike for both cases of A-Z. Spans are taken in lanes of eight bytes, each mixed before
+    the next comes in, so that no sums or powers cancel; those of more than _LANES lanes take the start of their BLAKE2b digest."""
+    low = np.zeros(len(data) + 8, np.uint8)
+    np.take(_LOWER, data, out=low[: len(data)])
+    lanes = np.ndarray((len(data) + 1,), "<u8", low, strides=(1,))
+    size = last - first
+    h = mix((lanes[first] & _MASKS[np.minimum(size, 8)]) ^ mix(size.astype(np.uint64) + U64(0x51ED270B)))
+    at = np.flatnonzero((size > 8) & (size <= 8 * _LANES))
+    for k in range(1, _LANES):
+        if not len(at):
+            break
+        rest = size[at] - 8 * k
+        h[at] = mix(h[at] * P1 + (lanes[first[at] + 8 * k] & _MASKS[np.minimum(rest, 8)]))
+        at = at[rest > 8]
+    for i in np.flatnonzero(size > 8 * _LANES).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(low[first[i] : last[i]], digest_size=8).digest(), "little")
+    return h
+
+
+def words_in(data: np.ndarray, edges: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, byte after the last) of the words between ASCII white space, or the bytes that `between` flags; a word ends at an edge as well."""
+    word = ~between[data]
     flag = np.zeros(len(data) + 1, np.int8)
     flag[1:-1] = word[1:] != word[:-1]
     flag[0] = flag[-1] = 1

@@ -643,6 +643,33 @@ def test_word_hashes_differ_and_long_words_have_one():
     assert len(ngrams(hash_words(b"a b"), 5)) == 1
 
 
+def structured_pair(letters: int) -> tuple[bytes, bytes]:
+    """A Thue-Morse word over a and b, and its complement: sums of letters times powers are alike modulo powers of two."""
+    swap, word = bytes.maketrans(b"ab", b"ba"), b"a"
+    while len(word) < letters:
+        word += word.translate(swap)
+    return word, word.translate(swap)
+
+
+def test_structured_words_have_hashes_of_their_own():
+    for k in range(1, 15):
+        a, b = structured_pair(2**k)
+        assert len(set(hash_words(b" ".join([a, b, a.upper()])).tolist())) == 2
+
+
+@pytest.mark.parametrize("letters", [2**10, 2**14])
+def test_structured_words_link_and_count_apart(spark, letters):
+    a, b = (x.decode() for x in structured_pair(letters))
+    df = spark.createDataFrame([(1, a), (2, b), (3, "other words"), (4, a)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.join(df)[0].collect()} == {1: 1, 2: 2, 3: 3, 4: 1}
+    items = spark.createDataFrame([(0, f"{a} {a} {a} end")], "item_id long, text string")
+    found = decontaminate.mark(spark.createDataFrame([(1, f"{a} {a} {a} end"), (2, f"{b} {b} {b} end")], "doc_id long, text string"), items)
+    assert [r["doc_id"] for r in found.where("size(leaks) > 0").collect()] == [1]
+    assert substring_dedup.removals(spark.createDataFrame([(1, f"{a} " * 30), (2, f"{b} " * 30)], "doc_id long, text string")).count() == 0
+    scored = {r["doc_id"]: r["log_score"] for r in lm_score.scores(df).collect()}
+    assert scored[1] == scored[4] == round(math.log(2 / 5), 6) and scored[2] == round(math.log(1 / 5), 6)
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(17)
     for size in (1, 5, 200, 256, 257, 900, 3000):
