@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary, decontaminate, lines, lm_score, main_text, ngram_join, packing, periodic, pii, quality, substring_dedup, topk
+from . import binary, collocations, decontaminate, lines, lm_score, main_text, ngram_join, packing, periodic, pii, quality, substring_dedup, topk
 
 
 def queries() -> dict:
@@ -18,9 +18,17 @@ def queries() -> dict:
         "op9_line_dedup": lines.query,
         "op10_ngram_join": ngram_join.query,
         "op11_periodic": periodic.query,
+        "op12_collocations": collocations.query,
         "op13_main_text": main_text.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_lm_score": lm_score.SQL, "op3_top_k": topk.SQL, "op9_line_dedup": lines.SQL, "op10_ngram_join": ngram_join.SQL, "op11_periodic": periodic.SQL}
+    return {
+        "op1_lm_score": lm_score.SQL,
+        "op3_top_k": topk.SQL,
+        "op9_line_dedup": lines.SQL,
+        "op10_ngram_join": ngram_join.SQL,
+        "op11_periodic": periodic.SQL,
+        "op12_collocations": collocations.SQL,
+    }
