@@ -38,3 +38,11 @@ def stars(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     part = lambda i: F.floor(F.col("embedding")[i].cast("double") * 1000000 + 0.5)
     return e.select(F.col("vec_id").alias("id"), F.col("label").alias("frame"), (part(0) / 10000).alias("x"), (part(1) / 10000).alias("y"), (F.abs(part(2)) / 1000000).alias("flux"))
+
+
+def mosaics(spark: SparkSession, sf_dir: str, wide: int = 8) -> DataFrame:
+    """embeddings as tiles of larger frames: (frame, tx, ty, plane), `wide` by `wide` tiles of 8 by 8 sites in a frame, values on a grid of ten-thousandths."""
+    e = table(spark, sf_dir, "embeddings")
+    n = F.col("vec_id") % (wide * wide)
+    values = F.transform("embedding", lambda v: F.floor(v.cast("double") * 10000 + 0.5) / 10000)
+    return e.select(F.floor(F.col("vec_id") / (wide * wide)).alias("frame"), (n % wide).alias("tx"), F.floor(n / wide).alias("ty"), values.alias("plane"))
