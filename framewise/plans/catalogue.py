@@ -606,7 +606,7 @@ def sky_projection(spark, d):
 
 
 def queries() -> dict:
-    from . import geometry, judgement, kernels, measures, models, panels, starfield  # noqa: F401  their queries register here
+    from . import fields, geometry, judgement, kernels, measures, models, panels, starfield  # noqa: F401  their queries register here
 
     return dict(_QUERIES)
 
