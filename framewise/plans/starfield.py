@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.robust import MAD_SCALE
-from ..operators import detect
+from ..operators import correlate, detect
 from ..sources.shared import materialize
 from ..sources.tables import mosaics
 from .catalogue import query
@@ -136,3 +136,37 @@ def background_share(spark, d):
     """How much of each frame is sky, asked region by region: what tells a star field from a photograph."""
     tiles, sky = _sky_and_tiles(spark, d)
     return detect.background_share(tiles, sky, 8, RULES.region).select("frame", _five("share"), (F.col("share") >= RULES.background).alias("star_field"))
+
+
+SPAN, STEP = 0.6, 0.1
+_SHIFT = f"""flat AS (
+  SELECT vec_id, pos - 1 AS i, floor(embedding[pos]::DOUBLE * 10000 + 0.5) / 10000 AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS pos)),
+mean AS (SELECT vec_id, avg(v) AS m FROM flat GROUP BY vec_id),
+seen AS (SELECT f.vec_id, i % 8 AS x, i // 8 AS y, (v - m) * (0.5 - 0.5 * cos(2 * pi() * (i % 8) / 7)) * (0.5 - 0.5 * cos(2 * pi() * (i // 8) / 7)) AS v FROM flat f JOIN mean USING (vec_id)),
+place AS (SELECT i % 8 AS u, i // 8 AS w FROM (SELECT unnest(range(64)) AS i)),
+spectrum AS (
+  SELECT vec_id, u, w, sum(v * cos(2 * pi() * (u * x + w * y) / 8)) AS re, -sum(v * sin(2 * pi() * (u * x + w * y) / 8)) AS im FROM seen, place GROUP BY vec_id, u, w),
+both_of AS (
+  SELECT a.vec_id AS id, u, w, a.re * b.re + a.im * b.im AS re, a.im * b.re - a.re * b.im AS im, sqrt(a.re * a.re + a.im * a.im) * sqrt(b.re * b.re + b.im * b.im) AS size
+  FROM spectrum a JOIN spectrum b USING (u, w) WHERE b.vec_id = a.vec_id + 64),
+gate AS (SELECT id, max(size) AS most FROM both_of GROUP BY id),
+faded AS (
+  SELECT id, u, w, CASE WHEN u > 4 THEN u - 8 ELSE u END AS fu, CASE WHEN w > 4 THEN w - 8 ELSE w END AS fw, re / sqrt(re * re + im * im) AS re, im / sqrt(re * re + im * im) AS im
+  FROM both_of JOIN gate USING (id) WHERE size > most * 1e-4),
+power AS (
+  SELECT id, CASE WHEN u >= 4 THEN u - 8 ELSE u END AS u, CASE WHEN w >= 4 THEN w - 8 ELSE w END AS w, re * exp(-(fu * fu + fw * fw) / 12.96) AS re, im * exp(-(fu * fu + fw * fw) / 12.96) AS im FROM faded),
+surface AS (SELECT id, p.u AS x, p.w AS y, sum(re * cos(2 * pi() * (f.u * p.u + f.w * p.w) / 8) - im * sin(2 * pi() * (f.u * p.u + f.w * p.w) / 8)) / 64 AS s FROM power f, place p GROUP BY id, p.u, p.w),
+peak AS (SELECT id, x, y, s FROM surface QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC) = 1),
+step_of AS (SELECT -{SPAN} + i * {STEP} AS o FROM (SELECT unnest(range({round(2 * SPAN / STEP) + 1})) AS i)),
+fine AS (
+  SELECT id, ox.o AS ox, oy.o AS oy, sum(re * cos(2 * pi() * (u * (x + ox.o) + w * (y + oy.o)) / 8) - im * sin(2 * pi() * (u * (x + ox.o) + w * (y + oy.o)) / 8)) AS s FROM power JOIN peak USING (id), step_of ox, step_of oy GROUP BY id, ox.o, oy.o),
+best AS (SELECT id, ox, oy FROM fine QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC) = 1)"""
+
+
+@query(f"WITH {_SHIFT} SELECT id // 64 AS frame, id % 8 AS tx, id % 64 // 8 AS ty, {_FIVE('CASE WHEN x > 4 THEN x - 8 ELSE x END + ox')} AS dx, {_FIVE('CASE WHEN y > 4 THEN y - 8 ELSE y END + oy')} AS dy, {_FIVE('p.s')} AS peak FROM peak p JOIN best USING (id)")
+def tile_shift(spark, d):
+    """How far each tile has moved from one frame to the next, by phase correlation to a tenth of a pixel."""
+    t = mosaics(spark, d)
+    after = t.select((F.col("frame") - 1).alias("frame"), "tx", "ty", F.col("plane").alias("b"))
+    pairs = t.withColumnRenamed("plane", "a").join(after, ["frame", "tx", "ty"])
+    return correlate.shifts(pairs, 8, SPAN, STEP).select("frame", "tx", "ty", _five("dx"), _five("dy"), _five("peak"))
