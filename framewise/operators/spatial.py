@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import sequence
+
 
 def within(a: DataFrame, b: DataFrame, radius: float, keep: list[str] | None = None) -> DataFrame:
     """(a, b, d2, and the columns `keep` of a) of points (id, x, y) at most `radius` apart: cells of that size, each point of `b` in the nine around it."""
@@ -55,15 +57,14 @@ def overlaps(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
     return both.where(F.col("cell") == F.floor(F.greatest("a_lo", "b_lo") / size)).select("a", "b")
 
 
-def overlap_counts(a: DataFrame, b: DataFrame) -> DataFrame:
+def overlap_counts(a: DataFrame, b: DataFrame, step: int = 1 << 10) -> DataFrame:
     """a (id, lo, hi) with n: how many closed integer intervals of b overlap it, without making the pairs. Those that begin by hi
-    less those that end before lo; both are running sums over the distinct edges, one row each, that a looks up."""
+    less those that end before lo; both are running sums over the distinct edges, taken within stretches of `step` and over these, that a looks up."""
     begun = b.groupBy(F.col("lo").alias("at")).agg(F.count(F.lit(1)).alias("b"), F.lit(0).cast("long").alias("e"))
     ended = b.groupBy((F.col("hi") + 1).alias("at")).agg(F.lit(0).cast("long").alias("b"), F.count(F.lit(1)).alias("e"))
     asked = a.select(F.explode(F.array("lo", "hi")).alias("at")).distinct().select("at", F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("e"))
     edges = begun.unionByName(ended).unionByName(asked).groupBy("at").agg(F.sum("b").alias("b"), F.sum("e").alias("e"))
-    w = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    sums = edges.select("at", F.sum("b").over(w).alias("begun"), F.sum("e").over(w).alias("ended"))
+    sums = sequence.running(edges.withColumn("__step", F.floor(F.col("at") / step)), [], "__step", ["at"], {"begun": F.col("b"), "ended": F.col("e")})
     low, high = sums.select(F.col("at").alias("lo"), "ended"), sums.select(F.col("at").alias("hi"), "begun")
     return a.join(low, "lo").join(high, "hi").select("id", "lo", "hi", (F.col("begun") - F.col("ended")).alias("n"))
 

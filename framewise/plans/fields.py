@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import projection as pr
 from ..functions import tiles as plane
 from ..functions.robust import MAD_SCALE
 from ..operators import basis_fit, spatial
 from ..sources.tables import mosaics, samples, stars
-from .catalogue import _RANKED, RADIUS, SAMPLES, query
+from .catalogue import _RANKED, RADIUS, SAMPLES, STARS, query
 
 _four = lambda c: F.floor(c * 10000 + 0.5) / 10000
 _FOUR = lambda x: f"floor(({x}) * 10000 + 0.5) / 10000"
@@ -110,3 +111,43 @@ def curvature_fit(spark, d):
     )
     found = basis_fit.checked_curvature(basis_fit.moments(local, ["cell"], "w", "x", "y", "v", "variance"), ["cell"])
     return found.select("cell", "why", _four(c("delta")).alias("delta"), _four(c("blend")).alias("blend"))
+
+
+# Each frame's stars through a lens and a homography of the frame's own; frame 9's homography is singular.
+_PROJECTED = STARS + """, lens AS (SELECT DISTINCT frame, 0.01 * (frame - 4) AS k, 0.002 * frame AS p1, -0.001 * frame AS p2, CASE WHEN frame = 9 THEN 0.0 ELSE 1.0 END AS h8, 0.02 * frame AS turn FROM stars),
+  site AS (SELECT s.id, s.x AS sx, s.y AS sy, l.*, cos(turn) AS m, sin(turn) AS n FROM stars s JOIN lens l USING (frame))"""
+_BEND = "{x} + k * {x} * ({x} * {x} + {y} * {y}) + 2 * p1 * {x} * {y} + p2 * (({x} * {x} + {y} * {y}) + 2 * {x} * {x})"
+_BEND_Y = "{y} + k * {y} * ({x} * {x} + {y} * {y}) + p1 * (({x} * {x} + {y} * {y}) + 2 * {y} * {y}) + 2 * p2 * {x} * {y}"
+
+
+def _lens(spark, d):
+    f = F.col("frame")
+    turn = 0.02 * f
+    last = F.when(f == 9, 0.0).otherwise(1.0)
+    rows = [F.cos(turn), -F.sin(turn), F.lit(0.01), F.sin(turn), F.cos(turn), F.lit(-0.02), F.lit(0.01) * last, F.lit(0.005) * last, last]
+    p = pr.projection(cx=F.lit(2.0), cy=F.lit(-1.0), norm=F.lit(50.0), k=0.01 * (f - 4), p1=0.002 * f, p2=-0.001 * f, h=F.array(*rows), ox=F.lit(100.0), oy=F.lit(80.0), scale=F.lit(40.0))
+    return stars(spark, d).withColumn("p", F.explode(F.array(p)))
+
+
+@query(f"""WITH {_PROJECTED}, u AS (SELECT *, (sx - 2) / 50 AS x, (sy + 1) / 50 AS y FROM site), v AS (SELECT *, {_BEND.format(x='x', y='y')} AS bx, {_BEND_Y.format(x='x', y='y')} AS b_y FROM u)
+  SELECT id, CASE WHEN h8 = 0 THEN 'singular' END AS fault, CASE WHEN h8 > 0 THEN {_FOUR('(m * bx - n * b_y + 0.01) / (0.01 * bx + 0.005 * b_y + 1) * 40 + 100')} END AS x,
+    CASE WHEN h8 > 0 THEN {_FOUR('(n * bx + m * b_y - 0.02) / (0.01 * bx + 0.005 * b_y + 1) * 40 + 80')} END AS y FROM v""")
+def projected_stars(spark, d):
+    """Where each star lands in the output, and what is wrong with its frame's projection."""
+    s = _lens(spark, d).select("id", pr.fault(F.col("p")).alias("fault"), F.explode(F.array(pr.forward(F.col("p"), F.col("x"), F.col("y")))).alias("q"))
+    return s.select("id", "fault", _four(F.col("q.x")).alias("x"), _four(F.col("q.y")).alias("y"))
+
+
+_NEWTON = """SELECT * EXCLUDE (x, y, bx, b_y, ja, jb, jd), x - (jd * (bx - tx) - jb * (b_y - ty)) / (ja * jd - jb * jb) AS x, y - (ja * (b_y - ty) - jb * (bx - tx)) / (ja * jd - jb * jb) AS y
+  FROM (SELECT *, {bend} AS bx, {bend_y} AS b_y, 1 + k * (3 * x * x + y * y) + 2 * p1 * y + 6 * p2 * x AS ja, 2 * k * x * y + 2 * p1 * x + 2 * p2 * y AS jb, 1 + k * (x * x + 3 * y * y) + 6 * p1 * y + 2 * p2 * x AS jd FROM {of})"""
+_STEPS = ", ".join(f"n{i + 1} AS ({_NEWTON.format(of=f'n{i}', bend=_BEND.format(x='x', y='y'), bend_y=_BEND_Y.format(x='x', y='y'))})" for i in range(8))
+
+
+@query(f"""WITH {_PROJECTED}, o AS (SELECT *, (sx * 0.5) / 40 AS qx, (sy * 0.5) / 40 AS qy FROM site WHERE h8 > 0),
+  back AS (SELECT *, m - qx * 0.01 AS a, -n - qx * 0.005 AS b, qx - 0.01 AS r, n - qy * 0.01 AS c, m - qy * 0.005 AS e, qy + 0.02 AS s FROM o),
+  n0 AS (SELECT *, (r * e - b * s) / (a * e - b * c) AS tx, (a * s - c * r) / (a * e - b * c) AS ty, (r * e - b * s) / (a * e - b * c) AS x, (a * s - c * r) / (a * e - b * c) AS y FROM back), {_STEPS}
+  SELECT id, {_FOUR('x * 50 + 2')} AS x, {_FOUR('y * 50 - 1')} AS y FROM n8""")
+def unprojected_places(spark, d):
+    """The site behind an output place near each star, by Newton's method; SQL solves the homography's two equations and takes eight whole steps."""
+    s = _lens(spark, d).where("frame <> 9").select("id", F.explode(F.array(pr.backward(F.col("p"), F.col("x") * 0.5 + 100, F.col("y") * 0.5 + 80))).alias("q"))
+    return s.select("id", _four(F.col("q.x")).alias("x"), _four(F.col("q.y")).alias("y"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..functions.robust import micro
 from ..operators import asterism, coverage, merge, raster
+from ..sources import lists
 from ..sources.tables import samples, seq, stars, table
 from .catalogue import SAMPLES, SEQ, M, query
 
@@ -264,9 +265,9 @@ def header_synonyms(spark, d):
 @query("""WITH e AS (SELECT page_id, lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '\\.([A-Za-z0-9]+)$', 1)) AS ext FROM pages)
   SELECT page_id, CASE WHEN ext IN ('fits', 'fit', 'fts') THEN 'fits' WHEN ext IN ('xisf') THEN 'xisf' WHEN ext IN ('html', 'htm', 'php', 'com', 'org', 'net') THEN 'page' END AS format FROM e""")
 def format_by_ending(spark, d):
-    kinds = {"fits": ("fits", "fit", "fts"), "xisf": ("xisf",), "page": ("html", "htm", "php", "com", "org", "net")}
-    ext = F.lower(F.regexp_extract(F.regexp_replace("url", "[?#].*$", ""), r"\.([A-Za-z0-9]+)$", 1))
-    kind = F.coalesce(*[F.when(ext.isin(*endings), name) for name, endings in kinds.items()])
+    path = F.regexp_replace("url", "[?#].*$", "")
+    page = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)).isin("html", "htm", "php", "com", "org", "net")
+    kind = F.coalesce(lists.format_of(path), F.when(page, "page"))
     return table(spark, d, "pages").select("page_id", kind.alias("format"))
 
 
