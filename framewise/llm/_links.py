@@ -20,7 +20,7 @@ COLLECTED, IN_RANGE = 400_000, 1_000_000  # signatures that a task collects befo
 LONG = 32  # members of a run within a collection that go to the signature's range
 BLOCK = 4096  # members of a run that are compared within one task
 MOST_BITS = 1 << 29  # of a bitmap that is broadcast: 64 MB
-LEAST_CLASSES, MOST_CLASSES, WRAP = 256, 1 << 16, 16  # of the sketch: how many elements of a set fall in each class, modulo WRAP
+LEAST_CLASSES, MOST_CLASSES, COARSE_CLASSES, WRAP = 256, 1 << 16, 256, 16  # of the sketch: how many elements of a set fall in each class, modulo WRAP
 
 
 def sketches(elements: np.ndarray, sizes: np.ndarray) -> list[bytes]:
@@ -265,8 +265,23 @@ def jaccard_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, common long, either long")
 
 
+def _folded(facts: DataFrame) -> DataFrame:
+    """facts (node, n, sketch) with sketches of half the classes, COARSE_CLASSES at least: a little weaker, but half as large."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for blob in batch.column(2).to_pylist():
+                packed = np.frombuffer(blob, np.uint8)[None, :]
+                counts = _counts(packed, max(COARSE_CLASSES, len(blob) - 16))[0]
+                out.append((counts[::2] << 4 | counts[1::2]).tobytes() + bytes(16))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["node", "n", "sketch"])
+
+    return facts.select("node", "n", "sketch").mapInArrow(run, "node long, n long, sketch binary")
+
+
 def other_pairs(runs: DataFrame, facts: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of one run but of two components whose sizes and sketches allow the similarity; for runs where not every two were compared.
+    """(a, b) of one run but of two components whose sizes and folded sketches allow the similarity; for runs where not every two were compared.
 
     Runs whose members all are in their first's component need nothing more. The others go to tasks in blocks of BLOCK members, each two blocks of a run
     meeting in one task; only the pairs that pass leave it."""
@@ -280,7 +295,7 @@ def other_pairs(runs: DataFrame, facts: DataFrame, comps: DataFrame, percent: in
     # sig + 0: an exchange of its own, so that adaptive execution can split a common signature.
     long = found.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > WHOLE).select((F.col("sig") + F.lit(0)).alias("sig"), "m")
     rows = found
-    rows = rows.join(long, "sig").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(facts.select("node", "n", "sketch"), "node")
+    rows = rows.join(long, "sig").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(_folded(facts), "node")
     rows = rows.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "sketch")
@@ -423,11 +438,13 @@ def resolve(runs: DataFrame, facts: DataFrame, sets_of, copies: DataFrame | None
         if not found.isEmpty():
             links = links.unionByName(found)
             comps = materialize(components(sure()), "comps")
-    more = other_pairs(runs, facts, comps, percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    more = materialize(more, "pairs")
+    more = materialize(other_pairs(runs, facts, comps, percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     if more.isEmpty():
         return comps, links
-    found = exact(more)
+    more = materialize(near_sketches(more, facts, percent), "pairs")
+    found = more.where("same").select("a", "b", F.col("n").alias("common"), F.col("n").alias("either"))
+    if not (unsure := more.where("NOT same").select("a", "b")).isEmpty():
+        found = found.unionByName(exact(unsure))
     if found.isEmpty():
         return comps, links
     links = links.unionByName(found)
