@@ -7,8 +7,9 @@ upper bound of its score (words that the item has count 2, others -1, best stret
 windows of a slice of documents at once. A document is contaminated by an item if the best score reaches `least` of that of
 a full copy, and the alignment has `seed` equal words in a row. One pass over the documents without a shuffle.
 
-Items are taken in blocks of at most `block` items and about BLOCK_BYTES of text, each block computed in the same pass, so what the
-driver holds and the tasks are sent is bounded.
+Items are taken in blocks of at most `block` items and about BLOCK_BYTES of text, and one more item at most. A benchmark of one block is one lazy pass over the
+documents; beyond that each block is a pass of its own, and what the passes before it found is written to the shared folder, so that neither the
+driver nor a task ever holds more than one block, however many there are.
 
 Defined results: null and empty texts hold nothing; items that are null, have a null id or fewer words than a seed are not
 searched; equal items are reported each; repeated documents are reported each; empty tables give no rows. Other columns stay;
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import P1, P2, hash_words, map_texts, ngrams, read_table, split_texts
+from ._common import P1, P2, hash_words, map_texts, ngrams, read_table, remove, split_texts, written
 
 SEED, LEAST, BLOCK, BLOCK_BYTES = 3, 0.5, 20_000, 8 << 20
 MOST = 1_000_000  # rows or window words that are worked on at once
@@ -190,9 +191,16 @@ def _blocks(benchmark: DataFrame, block: int, most: int = BLOCK_BYTES) -> Iterat
 
 def mark(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """docs with `leaks`: the items that a document holds a copy of, exact or edited, with score and place."""
-    out, parts = docs, []
+    spark, out, parts = docs.sparkSession, docs, []
+    shared = path = None
     for i, items in enumerate(_blocks(benchmark, block)):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+        if shared is not None:
+            last = path
+            out, path = written(out, "leaks")
+            shared.destroy()
+            if last is not None:
+                remove(spark, last)
+        shared = spark.sparkContext.broadcast(items)
 
         def run(texts: list, shared=shared) -> list:
             if not hasattr(run, "matcher"):
