@@ -205,10 +205,11 @@ def _most_apart(n: np.ndarray, o: np.ndarray, percent: int) -> np.ndarray:
 
 
 def near_sketches(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
-    """(a, b, same, n) of the pairs whose sketches allow the similarity; same: the sets are equal, with n elements.
-    facts: (node, n, sketch), one row for each node."""
+    """(a, b, same, n) of the pairs whose sketches allow the similarity; same: the sets are equal, with n elements. Other columns of pairs, all
+    long, follow. facts: (node, n, sketch), one row for each node."""
+    more = [c for c in pairs.columns if c not in ("a", "b")]
     side = lambda x: facts.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b", *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,10 +229,10 @@ def near_sketches(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame
                     if size[0] == size[1]:
                         same[some] = (p == q).all(axis=1)
             ok, same = pa.array(apart <= _most_apart(n, o, percent)), pa.array(same)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), same, batch.column(2)], names=["a", "b", "same", "n"]).filter(ok)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), same, batch.column(2), *batch.columns[6:]], names=["a", "b", "same", "n", *more]).filter(ok)
         pa.default_memory_pool().release_unused()
 
-    return both.mapInArrow(run, "a long, b long, same boolean, n long")
+    return both.mapInArrow(run, ", ".join(["a long, b long, same boolean, n long", *(f"{c} long" for c in more)]))
 
 
 def pack_set(elements: np.ndarray) -> bytes:
@@ -241,9 +242,11 @@ def pack_set(elements: np.ndarray) -> bytes:
 
 
 def jaccard_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, common, either) of the pairs whose sets have the similarity, exactly. sets: (node, elements: from pack_set)."""
+    """(a, b, common, either) of the pairs whose sets have the similarity, exactly; other columns of pairs, all long, follow.
+    sets: (node, elements: from pack_set)."""
+    more = [c for c in pairs.columns if c not in ("a", "b")]
     side = lambda x: sets.select(F.col("node").alias(x), F.col("elements").alias(f"e_{x}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "e_a", "e_b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "e_a", "e_b", *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,10 +262,10 @@ def jaccard_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 either.append(len(x) + len(y) - both)
             c, e = np.array(common, np.int64), np.array(either, np.int64)
             ok = pa.array((c * 100 >= e * percent) & (c > 0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(c), pa.array(e)], names=["a", "b", "common", "either"]).filter(ok)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(c), pa.array(e), *batch.columns[4:]], names=["a", "b", "common", "either", *more]).filter(ok)
         pa.default_memory_pool().release_unused()
 
-    return both.mapInArrow(run, "a long, b long, common long, either long")
+    return both.mapInArrow(run, ", ".join(["a long, b long, common long, either long", *(f"{c} long" for c in more)]))
 
 
 def _folded(facts: DataFrame) -> DataFrame:
@@ -281,7 +284,7 @@ def _folded(facts: DataFrame) -> DataFrame:
 
 
 def other_pairs(runs: DataFrame, facts: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of one run but of two components whose sizes and folded sketches allow the similarity; for runs where not every two were compared.
+    """(a, b, c_a, c_b) of one run but of two components, c_a and c_b, whose sizes and folded sketches allow the similarity; for runs where not every two were compared.
 
     Runs whose members all are in their first's component need nothing more. The others go to tasks in blocks of BLOCK members, each two blocks of a run
     meeting in one task; only the pairs that pass leave it."""
@@ -290,8 +293,7 @@ def other_pairs(runs: DataFrame, facts: DataFrame, comps: DataFrame, percent: in
     stars = real.select("first", "node").distinct().join(of("node", "own"), "node", "left").join(of("first", "its"), "first", "left")
     apart = materialize(stars.where("coalesce(own, node) <> coalesce(its, first)").select("first", "node"), "apart")
     mixed = materialize(semi(real, apart, ["first", "node"]).select("sig").distinct(), "mixed")
-    found = semi(real, mixed, ["sig"])
-    found = materialize(found.select("sig", "node").unionByName(found.select("sig", F.col("first").alias("node"))).distinct(), "members")
+    found = materialize(semi(real, mixed, ["sig"]).select("sig", F.explode(F.array("node", "first")).alias("node")).distinct(), "members")
     # sig + 0: an exchange of its own, so that adaptive execution can split a common signature.
     long = found.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > WHOLE).select((F.col("sig") + F.lit(0)).alias("sig"), "m")
     rows = found
@@ -301,7 +303,7 @@ def other_pairs(runs: DataFrame, facts: DataFrame, comps: DataFrame, percent: in
     rows = rows.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "sketch")
     ordered = rows.repartition(spread(rows), "sig", "i", "j").sortWithinPartitions("sig", "i", "j", "n", "node")
 
-    def compare(own, node, comp, n, sk, i, j) -> tuple[np.ndarray, np.ndarray]:
+    def compare(own, node, comp, n, sk, i, j) -> list[np.ndarray]:
         found = [], []
         for k in range(len(node) - 1):
             hi = np.searchsorted(n, n[k] * 100 // percent, side="right")  # sizes ascend
@@ -312,15 +314,17 @@ def other_pairs(runs: DataFrame, facts: DataFrame, comps: DataFrame, percent: in
             if ok.any():
                 at = np.flatnonzero(ok) + k + 1
                 at = at[_apart(sk[at], sk[k]) <= _most_apart(n[at], n[k], percent)]
-                found[0].append(np.full(len(at), node[k])), found[1].append(node[at])
-        return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
+                low, high = np.where(node[at] < node[k], at, k), np.where(node[at] < node[k], k, at)
+                found[0].append(low), found[1].append(high)
+        low, high = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
+        return [node[low], node[high], comp[low], comp[high]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(t: pa.Table) -> pa.RecordBatch:
             own, node, comp, n = (t.column(c).to_numpy() for c in ("own", "node", "comp", "n"))
             sk = _unpack_all(t.column("sketch").to_pylist())
-            a, b = compare(own, node, comp, n, sk, t.column("i")[0].as_py(), t.column("j")[0].as_py())
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+            pairs = compare(own, node, comp, n, sk, t.column("i")[0].as_py(), t.column("j")[0].as_py())
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs], names=["a", "b", "c_a", "c_b"])
 
         held: list[pa.Table] = []
         key = None
@@ -337,7 +341,7 @@ def other_pairs(runs: DataFrame, facts: DataFrame, comps: DataFrame, percent: in
         if held:
             yield out(pa.concat_tables(held))
 
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    return ordered.mapInArrow(run, "a long, b long, c_a long, c_b long").distinct()
 
 
 def numbers(docs: DataFrame, size: Column) -> DataFrame:
@@ -369,10 +373,10 @@ def facts_of(docs: DataFrame) -> tuple[int, bool, int, int, int]:
 
 
 def among(df: DataFrame, key: Column, keys: DataFrame, own: Column) -> DataFrame:
-    """The rows of df whose key may be among those of a written table; all that are, and few others. A bitmap of at most MOST_BITS
-    bits, in rows of 4 KB, is broadcast, whatever the number of keys; the scan of df then drops rows without a shuffle."""
-    bits = 1 << 15
-    while bits < min(16 * keys.count(), MOST_BITS):
+    """The rows of df whose key may be among those of a written table, where it may stand repeatedly; all that are, and few others. A bitmap of
+    at most MOST_BITS bits, in rows of 4 KB, is broadcast, whatever the number of keys; the scan of df then drops rows without a shuffle."""
+    bits, n = 1 << 15, keys.agg(F.approx_count_distinct(own)).first()[0]
+    while bits < min(16 * n, MOST_BITS):
         bits *= 2
     place = lambda k: F.pmod(F.xxhash64(k), F.lit(bits))
     maps = keys.select(place(own).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("__map")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bits"))
@@ -391,61 +395,69 @@ def semi(df: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
 def components(links: DataFrame, tag: str = "components", most_rounds: int = 60) -> DataFrame:
     """(node, comp): comp is the smallest node that links (a, b) reach; only linked nodes have rows.
 
-    Large-star and small-star steps in turn, until no edge changes. Minima are summed up on the map side, so a node with very
-    many links is one row for each task; each round is written to the shared folder."""
+    Large-star and small-star steps in turn, until no node has two edges to smaller ones; then each node takes its parent's parent, until edges end at
+    roots. Minima are summed up on the map side, so a node with very many links is one row for each task; each round is written to the shared folder."""
     edges, path = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), tag)
     # Minima are exchanged anew (u + 0), so that both sides of a join are shuffles and adaptive execution can split a hot u.
     lowest = lambda x, low: x.groupBy("u").agg(low.alias("low")).select((F.col("u") + F.lit(0)).alias("u"), "low")
-    before = None
     for _ in range(most_rounds):
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if not now[0] or now == before:
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up")))
+        ends = ends.groupBy("x").agg(F.sum("up").alias("up"), (F.min("up") == 0).alias("below"))
+        most, chained = ends.agg(F.max("up"), F.max(F.when(F.col("below"), F.col("up")))).first()
+        if not most or most == 1 and not chained:
             break
-        before = now
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.where("v > u").join(lowest(both, F.least(F.min("v"), F.col("u"))), "u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
-        low = lowest(large, F.min("v"))
-        small = large.join(low, "u").select(F.col("v").alias("x"), "low").where("x <> low").unionByName(low.select(F.col("u").alias("x"), "low"))
+        if most == 1:
+            above = edges.select(F.col("u").alias("v"), F.col("v").alias("low"))
+            after = edges.join(above, "v", "left").select("u", F.coalesce("low", "v").alias("v"))
+        else:
+            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            large = both.where("v > u").join(lowest(both, F.least(F.min("v"), F.col("u"))), "u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
+            low = lowest(large, F.min("v"))
+            small = large.join(low, "u").select(F.col("v").alias("x"), "low").where("x <> low").unionByName(low.select(F.col("u").alias("x"), "low"))
+            after = small.select(F.greatest("x", "low").alias("u"), F.least("x", "low").alias("v")).distinct()
         last = path
-        edges, path = written(small.select(F.greatest("x", "low").alias("u"), F.least("x", "low").alias("v")).distinct(), tag)
+        edges, path = written(after, tag)
         remove(links.sparkSession, last)
     else:
         raise RuntimeError("components: the links didn't settle")
-    comps = edges.groupBy("u").agg(F.min("v").alias("comp"))
-    roots = edges.select(F.col("v").alias("u")).distinct().select("u", F.col("u").alias("comp"))
-    return comps.unionByName(roots).groupBy("u").agg(F.min("comp").alias("comp")).withColumnRenamed("u", "node")
+    roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("comp"))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots)
+
+
+def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """comps once more, after links that have their ends' components as c_a, c_b: only these components are linked, not all nodes anew."""
+    new = materialize(components(links.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))), "joined")
+    old = comps.join(new.select(F.col("node").alias("__comp"), F.col("comp").alias("__low")), F.col("comp") == F.col("__comp"), "left")
+    return old.select("node", F.coalesce("__low", "comp").alias("comp")).unionByName(new).groupBy("node").agg(F.min("comp").alias("comp"))
 
 
 def resolve(runs: DataFrame, facts: DataFrame, sets_of, copies: DataFrame | None, percent: int) -> tuple[DataFrame, DataFrame]:
     """(components, links) of what the pairs of one run whose sets have the similarity connect; the links are enough to do so. facts: (node, n, sketch);
-    sets_of(nodes) gives (node, elements) of a table of nodes; copies: links (a, b) already certain."""
-    nodes = lambda p: p.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets_of(nodes) gives (node, elements) of nodes, which may be repeated; copies: links (a, b) already certain."""
+    only = ("a", "b", "common", "either")
 
     def exact(pairs: DataFrame) -> DataFrame:
-        return materialize(jaccard_links(pairs, sets_of(materialize(nodes(pairs), "nodes")), percent), "links")
+        return materialize(jaccard_links(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node"))), percent), "links")
 
     # A pair whose members are connected already needs no exact check: each node's pair with its smallest partner goes first.
     pairs = materialize(near_sketches(first_pairs(runs, percent), facts, percent), "pairs")
     links = pairs.where("same").select("a", "b", F.col("n").alias("common"), F.col("n").alias("either"))
     links = links.unionByName(exact(materialize(pairs.where("NOT same").groupBy("b").agg(F.min("a").alias("a")), "picked")))
-    sure = lambda: links.select("a", "b") if copies is None else links.select("a", "b").unionByName(copies)
-    comps = materialize(components(sure()), "comps")
+    comps = materialize(components(links.select("a", "b") if copies is None else links.select("a", "b").unionByName(copies)), "comps")
     side = lambda x: comps.select(F.col("node").alias(x), F.col("comp").alias(f"c_{x}"))
-    rest = pairs.where("NOT same").join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(c_a, a) <> coalesce(c_b, b)")
-    rest = materialize(rest.select("a", "b"), "rest")
+    rest = pairs.where("NOT same").join(side("a"), "a", "left").join(side("b"), "b", "left").withColumns({f"c_{x}": F.coalesce(f"c_{x}", x) for x in "ab"})
+    rest = materialize(rest.where("c_a <> c_b").select("a", "b", "c_a", "c_b"), "rest")
     if not rest.isEmpty():
         found = exact(rest)
         if not found.isEmpty():
-            links = links.unionByName(found)
-            comps = materialize(components(sure()), "comps")
+            links, comps = links.unionByName(found.select(*only)), materialize(joined(comps, found), "comps")
     more = materialize(other_pairs(runs, facts, comps, percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     if more.isEmpty():
         return comps, links
     more = materialize(near_sketches(more, facts, percent), "pairs")
-    found = more.where("same").select("a", "b", F.col("n").alias("common"), F.col("n").alias("either"))
-    if not (unsure := more.where("NOT same").select("a", "b")).isEmpty():
+    found = more.where("same").select("a", "b", F.col("n").alias("common"), F.col("n").alias("either"), "c_a", "c_b")
+    if not (unsure := more.where("NOT same").select("a", "b", "c_a", "c_b")).isEmpty():
         found = found.unionByName(exact(unsure))
     if found.isEmpty():
         return comps, links
-    links = links.unionByName(found)
-    return materialize(components(sure()), "comps"), links
+    return materialize(joined(comps, found), "comps"), links.unionByName(found.select(*only))

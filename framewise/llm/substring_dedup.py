@@ -141,7 +141,7 @@ def signatures(texts: DataFrame, least_words: int, n_ranges: int) -> DataFrame:
 
 def paragraph_sets(texts: DataFrame, nodes: DataFrame, ids: DataFrame | None) -> DataFrame:
     """(node, elements) of paragraphs; a document's are fetched together."""
-    wanted = located(nodes.select("node", F.col("node").alias("own")), ids, "own", "__of", "at")
+    wanted = located(nodes.distinct().select("node", F.col("node").alias("own")), ids, "own", "__of", "at")
     wanted = materialize(wanted.groupBy((F.col("node") - F.col("at")).alias("__base")).agg(F.collect_list("node").alias("nodes")), "wanted")  # at most a document's lines
     fetched = among(texts, F.col("base"), wanted, F.col("__base")).join(wanted, F.col("base") == F.col("__base")).select("text", "nodes", "base")
 

@@ -712,6 +712,37 @@ def test_runs_of_any_length(spark, monkeypatch):
         assert set(root.values()) == {min(own)}
 
 
+def test_components_of_any_graph_in_few_rounds(spark, monkeypatch):
+    """Stars need no round, a path of 300 nodes takes as many as its length has bits, about, and any graph has its components."""
+    rng, tables, written = random.Random(5), [], _links.written
+    monkeypatch.setattr(_links, "written", lambda df, tag: tables.append(tag) or written(df, tag))
+
+    def of(links):
+        tables.clear()
+        found = _links.components(spark.createDataFrame(links, "a long, b long").repartition(3)).collect()
+        got = {r["node"]: r["comp"] for r in found}
+        want = {i: i for x in links for i in x}
+        while any(want[a] != want[b] for a, b in links):
+            for a, b in links:
+                want[a] = want[b] = min(want[a], want[b])
+        assert len(found) == len(got) and got == want
+        return len(tables)
+
+    assert of([(7 * i, 7 * i + k) for i in range(5) for k in range(1, 7)]) == 1
+    ids = list(range(300))
+    assert of([(i + 1, i) for i in ids]) <= 11
+    rng.shuffle(ids)
+    assert of(list(zip(ids, ids[1:]))) <= 14
+    of([(rng.randrange(400), rng.randrange(400, 800)) for _ in range(420)])
+
+
+def test_later_links_join_components(spark):
+    frame = lambda rows, columns: spark.createDataFrame(rows, ", ".join(f"{c} long" for c in columns))
+    comps = frame([(1, 1), (5, 1), (2, 2), (6, 2), (3, 3), (7, 3)], ["node", "comp"])
+    links = frame([(5, 6, 1, 2), (6, 8, 2, 8), (9, 10, 9, 10)], ["a", "b", "c_a", "c_b"])
+    assert sorted(map(tuple, _links.joined(comps, links).collect())) == [(1, 1), (2, 1), (3, 3), (5, 1), (6, 1), (7, 3), (8, 1), (9, 9), (10, 9)]
+
+
 def test_one_doc_id_on_two_texts_loses_no_link(spark):
     rng = random.Random(21)
     a, b = (" ".join(rng_words(rng, 70, 10**6)) for _ in "ab")
