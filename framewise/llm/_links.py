@@ -12,13 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bytes_of, materialize, mix, pack_ascending, remove, spread, unpack_ascending, written
+from ._common import bytes_of, materialize, mix, pack_ascending, release, remove, spread, unpack_ascending, written
 
 CHAIN = 2  # earlier members of its run that a member is compared with, besides the first
 WHOLE = CHAIN + 2  # in a run of so many members at most, that compares every two
 COLLECTED, IN_RANGE = 400_000, 1_000_000  # signatures that a task collects before it sends them; that fall in a hash range, about
 LONG = 32  # members of a run within a collection that go to the signature's range
 BLOCK = 4096  # members of a run that are compared within one task
+AT_ONCE = 100_000  # pairs that a task holds before it gives them, about
 MOST_BITS = 1 << 29  # of a bitmap that is broadcast: 64 MB
 LEAST_CLASSES, MOST_CLASSES, COARSE_CLASSES, WRAP = 256, 1 << 16, 256, 16  # of the sketch: how many elements of a set fall in each class, modulo WRAP
 
@@ -183,6 +184,8 @@ def find_runs(rows: DataFrame, n_ranges: int) -> DataFrame:
                 held.append([x.as_py() for x in blobs])
         if held:
             yield from members(held)
+        held = []
+        release()
 
     return ordered.mapInArrow(run, schema)
 
@@ -230,7 +233,7 @@ def near_sketches(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame
                         same[some] = (p == q).all(axis=1)
             ok, same = pa.array(apart <= _most_apart(n, o, percent)), pa.array(same)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), same, batch.column(2), *batch.columns[6:]], names=["a", "b", "same", "n", *more]).filter(ok)
-        pa.default_memory_pool().release_unused()
+        release()
 
     return both.mapInArrow(run, ", ".join(["a long, b long, same boolean, n long", *(f"{c} long" for c in more)]))
 
@@ -263,7 +266,7 @@ def jaccard_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             c, e = np.array(common, np.int64), np.array(either, np.int64)
             ok = pa.array((c * 100 >= e * percent) & (c > 0))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(c), pa.array(e), *batch.columns[4:]], names=["a", "b", "common", "either", *more]).filter(ok)
-        pa.default_memory_pool().release_unused()
+        release()
 
     return both.mapInArrow(run, ", ".join(["a long, b long, common long, either long", *(f"{c} long" for c in more)]))
 
@@ -283,6 +286,34 @@ def _folded(facts: DataFrame) -> DataFrame:
     return facts.select("node", "n", "sketch").mapInArrow(run, "node long, n long, sketch binary")
 
 
+def _close(own: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, sk: np.ndarray, across: bool, percent: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, c_a, c_b) of nodes, ascending in size n, of two components whose sizes and counts allow the similarity; across: and of two blocks.
+    AT_ONCE pairs and those of one node are held at most."""
+    found: tuple[list, list] = [], []
+
+    def out() -> pa.RecordBatch:
+        low, high = (np.concatenate(x) for x in found)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (node[low], node[high], comp[low], comp[high])], names=["a", "b", "c_a", "c_b"])
+
+    count = 0
+    for k in range(len(node) - 1):
+        hi = np.searchsorted(n, n[k] * 100 // percent, side="right")  # sizes ascend
+        r = slice(k + 1, hi)
+        ok = comp[r] != comp[k]
+        if across:
+            ok &= own[r] != own[k]
+        if ok.any():
+            at = np.flatnonzero(ok) + k + 1
+            at = at[_apart(sk[at], sk[k]) <= _most_apart(n[at], n[k], percent)]
+            found[0].append(np.where(node[at] < node[k], at, k)), found[1].append(np.where(node[at] < node[k], k, at))
+            count += len(at)
+            if count >= AT_ONCE:
+                yield out()
+                found, count = ([], []), 0
+    if count:
+        yield out()
+
+
 def other_pairs(runs: DataFrame, facts: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """(a, b, c_a, c_b) of one run but of two components, c_a and c_b, whose sizes and folded sketches allow the similarity; for runs where not every two were compared.
 
@@ -303,28 +334,11 @@ def other_pairs(runs: DataFrame, facts: DataFrame, comps: DataFrame, percent: in
     rows = rows.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "sketch")
     ordered = rows.repartition(spread(rows), "sig", "i", "j").sortWithinPartitions("sig", "i", "j", "n", "node")
 
-    def compare(own, node, comp, n, sk, i, j) -> list[np.ndarray]:
-        found = [], []
-        for k in range(len(node) - 1):
-            hi = np.searchsorted(n, n[k] * 100 // percent, side="right")  # sizes ascend
-            r = slice(k + 1, hi)
-            ok = comp[r] != comp[k]
-            if i != j:
-                ok &= own[r] != own[k]
-            if ok.any():
-                at = np.flatnonzero(ok) + k + 1
-                at = at[_apart(sk[at], sk[k]) <= _most_apart(n[at], n[k], percent)]
-                low, high = np.where(node[at] < node[k], at, k), np.where(node[at] < node[k], k, at)
-                found[0].append(low), found[1].append(high)
-        low, high = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
-        return [node[low], node[high], comp[low], comp[high]]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(t: pa.Table) -> pa.RecordBatch:
+        def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
             own, node, comp, n = (t.column(c).to_numpy() for c in ("own", "node", "comp", "n"))
             sk = _unpack_all(t.column("sketch").to_pylist())
-            pairs = compare(own, node, comp, n, sk, t.column("i")[0].as_py(), t.column("j")[0].as_py())
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs], names=["a", "b", "c_a", "c_b"])
+            return _close(own, node, comp, n, sk, t.column("i")[0].as_py() != t.column("j")[0].as_py(), percent)
 
         held: list[pa.Table] = []
         key = None
@@ -334,12 +348,14 @@ def other_pairs(runs: DataFrame, facts: DataFrame, comps: DataFrame, percent: in
             cuts = np.concatenate(([0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [t.num_rows]))
             for a, b in zip(cuts[:-1], cuts[1:]):
                 if key is not None and tuple(keys[:, a]) != key:
-                    yield out(pa.concat_tables(held))
+                    yield from out(pa.concat_tables(held))
                     held = []
                 key = tuple(keys[:, a])
                 held.append(t.slice(a, b - a))
         if held:
-            yield out(pa.concat_tables(held))
+            yield from out(pa.concat_tables(held))
+        held = []
+        release()
 
     return ordered.mapInArrow(run, "a long, b long, c_a long, c_b long").distinct()
 

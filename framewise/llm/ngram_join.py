@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import U64, as_bytes, materialize, mix, ngrams, pieces, read_table, split_texts
+from ._common import U64, as_bytes, materialize, mix, ngrams, pieces, read_table, release, split_texts
 from ._links import SENT, Sender, among, facts_of, find_runs, numbers, pack_set, ranges, resolve, sketches
 
 WORDS, PERCENT = 5, 80
@@ -101,7 +101,8 @@ def signatures(docs: DataFrame, percent: int, words: int, n_ranges: int) -> Data
                     node, times, n = np.array(of, np.int64).T
                     yield from sender.add(np.concatenate(sigs), np.repeat(node, times), np.repeat(n, times))
         yield from sender.flush()
-        pa.default_memory_pool().release_unused()
+        seen.clear()
+        release()
 
     return docs.select("node", "text").mapInArrow(run, SENT)
 
@@ -132,6 +133,7 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> tuple[D
                 for batch in pieces(whole, 1):
                     sets = [pack_set(shingles(w, words)) for w in split_texts(batch.column(1))]
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "elements"])
+            release()
 
         return fetched.where("node IS NOT NULL").mapInArrow(run, "node long, elements binary").dropDuplicates(["node"])
 

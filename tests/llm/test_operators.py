@@ -5,6 +5,8 @@ import math
 import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -743,6 +745,32 @@ def test_later_links_join_components(spark):
     assert sorted(map(tuple, _links.joined(comps, links).collect())) == [(1, 1), (2, 1), (3, 3), (5, 1), (6, 1), (7, 3), (8, 1), (9, 9), (10, 9)]
 
 
+def test_pairs_of_a_common_run_leave_in_small_batches(monkeypatch):
+    """400 equal sketches in as many components are 79,800 pairs, which a task doesn't hold at once; each comes once, with its components."""
+    monkeypatch.setattr(_links, "AT_ONCE", 5000)
+    node = np.random.default_rng(2).permutation(400)
+    batches = list(_links._close(np.zeros(400, int), node, node + 1000, np.full(400, 100), np.ones((400, 256), np.uint8), False, 80))
+    assert max(b.num_rows for b in batches) < 5400
+    found = [tuple(r.values()) for b in batches for r in b.to_pylist()]
+    assert len(found) == 400 * 399 // 2 and set(found) == {(a, b, a + 1000, b + 1000) for b in range(400) for a in range(b)}
+
+
+def test_freed_memory_returns_to_the_system():
+    """A worker that has held many small arrays is used again; what they took isn't kept beside the next stage's."""
+    code = """if True:
+        import re, numpy as np
+        from framewise.llm._common import release
+        own = lambda: int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+        before = own()
+        held = [np.ones(5000) for _ in range(5000)]
+        last = [np.ones(50) for _ in range(100)]
+        assert own() > before + 150
+        del held
+        release()
+        assert own() < before + 40, (before, own())"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(_links.__file__)) + "/..")
+
+
 def test_one_doc_id_on_two_texts_loses_no_link(spark):
     rng = random.Random(21)
     a, b = (" ".join(rng_words(rng, 70, 10**6)) for _ in "ab")
