@@ -3,7 +3,8 @@
 Documents go to range partitions by doc_id, are sorted and encoded there, and are written by Spark as Parquet rows that each
 hold a segment: the ids of whole documents (2 bytes each if the vocabulary allows it, else 4), their boundaries in
 Elias-Fano form and their doc_ids. A boundary costs about 2 + log2(ids / documents) bits; select() finds one without
-reading the others, from samples of 32 bits each. A segment is closed at `segment_ids` ids, so no row grows with the input.
+reading the others, from samples of 32 bits each. A segment is closed at `segment_ids` ids, so no row grows with the input, and
+a row group holds few of them.
 
 Defined results: null text is an empty document, whose only id is the end id; rows with equal doc_id follow one another, ordered
 by a hash of their text (so that many of them are many range partitions); null doc_ids come first; an empty table gives no segments and no rows. Other columns aren't written."""
@@ -25,6 +26,7 @@ from ._common import as_bytes, new_path, read_table, spread
 from .tokens import ids_of, tokenizer_path
 
 END, SEGMENT_IDS, SAMPLE = 1, 1_000_000, 64
+GROUP_BYTES = 16 << 20  # of segments that the writer and a reader hold at once
 _HEAD = struct.Struct("<IIB")  # values, bits of the upper part, lower bits of each value
 
 
@@ -118,7 +120,9 @@ def segments(docs: DataFrame, path: str | None = None, end: int = END, segment_i
 
 
 def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END, segment_ids: int = SEGMENT_IDS) -> None:
-    segments(docs, path, end, segment_ids).write.option("compression", "zstd").parquet(folder)
+    # A row is megabytes, and Parquet's writer looks at the size of what it holds every hundred rows at the earliest.
+    rows = max(1, GROUP_BYTES // (4 * segment_ids))
+    segments(docs, path, end, segment_ids).write.option("compression", "zstd").option("parquet.block.row.count.limit", rows).parquet(folder)
 
 
 def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:

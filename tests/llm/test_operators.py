@@ -13,6 +13,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -183,6 +184,17 @@ def test_binary_round_trip(spark, awkward, library, tmp_path):
     assert binary.read(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_binary_holds_few_segments_at_once(spark, library, tmp_path):
+    """Many segments in one file are many row groups, so that a writer or reader holds 16 MB of them, not all."""
+    text, folder = "a b c d " * 25_000, str(tmp_path / "ids")
+    binary.write(spark.range(60).select(F.lit(5).alias("doc_id"), F.lit(text).alias("text")), folder, segment_ids=100_000)
+    groups = [m.row_group(i).num_rows for f in os.listdir(folder) if f.endswith(".parquet") for m in [pq.read_metadata(f"{folder}/{f}")] for i in range(m.num_row_groups)]
+    assert sum(groups) == 60 and max(groups) <= (16 << 20) // 400_000
+    one = np.array(library(text) + [1], "<u4")
+    got = binary.read(spark, folder).orderBy("start").collect()
+    assert [tuple(r) for r in got] == [(5, k * len(one), len(one), zlib.crc32(one.tobytes())) for k in range(60)]
+
+
 def test_null_and_repeated_ids_have_one_order(spark, library, tmp_path):
     rows = [(None, "a b"), (4, "x"), (4, "y z w"), (None, "c"), (4, "x"), (1, None), (-7, "q r")]
     got = []
