@@ -5,12 +5,12 @@ segment's mean m and deviation d (times the root of its length), its share of th
 d_q * d_v (Cauchy-Schwarz on what remains without the means). The sum over segments bounds the score from above, which bounds
 the distance from below; halving segments tightens it. A task takes a block of vectors and a block of queries: a small part
 is scored exactly to start each query's threshold, the others pass the coarse bounds, then finer ones, and only survivors
-are scored. The k best of each block are merged by query.
+are scored. The k best are merged by query within a task, whose later blocks start from the threshold reached, then over all tasks.
 
-Queries are a stated set and meet all vectors in blocks, each a packed row. A block of vectors goes once to each block of queries,
-under one of several salts; a block of queries goes to every salt, so no key receives all vectors. Components are kept as 32-bit
-integers if a block allows it, else as doubles, which hold floor(256 * x) exactly; scores are taken in doubles while they stay
-below 2^53, else in integers of any size.
+Queries are a stated set and meet all vectors in blocks, each a packed row. Both sides are tables of blocks, and a task reads one
+partition of each: nothing is copied into a shuffle or sent to the driver, whatever the number of queries. Components are kept as
+32-bit integers if a block allows it, else as doubles, which hold floor(256 * x) exactly; scores are taken in doubles while they
+stay below 2^53, else in integers of any size.
 
 Defined results: vectors that are null or empty, or hold a null, NaN or infinite component, or whose id is null take no part;
 vectors of each length meet those of the same length; an empty table gives no rows; equal scores are ranked by id; repeated ids
@@ -98,8 +98,9 @@ class Bounds:
                 self.levels.append(np.hstack([mean * np.sqrt(size), rest]))
 
 
-def search(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, vector id, score) of the k best vectors of the block for each query, of whole numbers held in doubles; ties go to smaller ids."""
+def search(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, vector id, score) of the k best vectors of the block for each query, of whole numbers held in doubles; ties go to smaller ids.
+    least: scores that each query has k of already, so that lower ones needn't be returned."""
     order = np.argsort(v_ids, kind="stable")
     v_ids, v = v_ids[order], v[order]
     most = float(abs(q).max(initial=0)) * float(abs(v).max(initial=0)) * q.shape[1]
@@ -111,16 +112,19 @@ def search(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, k
     known = q @ v[start].T
     known[q_ids[:, None] == v_ids[start][None, :]] = -np.inf
     floor = np.partition(known, len(start) - k, axis=1)[:, len(start) - k] - (slack - 0.5) if len(start) >= k else np.full(len(q), -np.inf)
+    if least is not None and exact:
+        floor = np.maximum(floor, least)
     out_q, out_v, out_s = [], [], []
-    alive = bq[0] @ bv[0].T + slack >= floor[:, None] if bq else np.ones((len(q), len(v)), bool)
-    alive &= q_ids[:, None] != v_ids[None, :]
-    for i in range(len(q)):
+    alive = q_ids[:, None] != v_ids[None, :]
+    for a, b in zip(bq, bv):
+        on = np.flatnonzero(alive.sum(axis=1) > 4 * k)
+        if len(on):
+            alive[on] &= a[on] @ b.T + slack >= floor[on, None]
+    scores = q @ v.T if exact and alive.mean() > 0.1 else None
+    for i in np.flatnonzero(alive.any(axis=1)):
         at = np.flatnonzero(alive[i])
-        for a, b in zip(bq[1:], bv[1:]):
-            if len(at) > 4 * k:
-                at = at[b[at] @ a[i] + slack >= floor[i]]
         if exact:
-            score = v[at] @ q[i]
+            score = v[at] @ q[i] if scores is None else scores[i, at]
             if len(at) > k:
                 best = np.partition(score, len(at) - k)[len(at) - k]
                 keep = score >= best
@@ -137,30 +141,46 @@ def search(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, k
     return tuple(np.concatenate(x) if x else none for x in (out_q, out_v, out_s))
 
 
+def merged(parts: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query over several results of `search`, by query."""
+    q, v, s = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((v, ~s, q))  # ~s falls as s grows, for any long
+    q, v, s = q[order], v[order], s[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    return q[place < k], v[place < k], s[place < k]
+
+
+def kth(found: tuple, q_ids: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best score so far of each query, or minus infinity."""
+    q, _, s = merged([found], k)
+    end = np.searchsorted(q, q_ids, "right")
+    full = end - np.searchsorted(q, q_ids) == k
+    return np.where(full, s[end - 1], -np.inf) if len(q) else np.full(len(q_ids), -np.inf)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, vector_rows: int = VECTORS, query_rows: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score) from two tables (vec_id, embedding)."""
     cast = lambda t: t.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     parts = max(1, -(-queries.count() // query_rows))
     q = materialize(blocks(cast(queries).repartition(parts, "vec_id"), query_rows).select(F.struct("*").alias("q")), "query-blocks")
-    n = q.count()
-    if not n:
+    if q.isEmpty():
         return q.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    salts = max(1, min(spread(vectors), -(-vectors.count() // vector_rows)))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    q = q.select("q", F.pmod(F.xxhash64("q.ids"), F.lit(n)).alias("block"), each(salts).alias("salt"))
-    sent = blocks(cast(vectors), vector_rows).select(F.struct("*").alias("v"), each(n).alias("block"))
-    sent = sent.withColumn("salt", F.pmod(F.xxhash64("v.ids"), F.lit(salts)))
-    met = sent.join(q, (sent["block"] == q["block"]) & (sent["salt"] == q["salt"]) & (sent["v.size"] == q["q.size"]))
+    v = materialize(blocks(cast(vectors), vector_rows).select(F.struct("*").alias("v")), "vector-blocks")
+    v = v.coalesce(-(-spread(vectors) // q.rdd.getNumPartitions()))  # a task for each pair of partitions; each of v sends k rows a query on
+    met = v.hint("shuffle_replicate_nl").join(q, v["v.size"] == q["q.size"])
     met = met.select(F.col("q.size").alias("size"), F.col("q.ids").alias("qi"), F.col("q.data").alias("qd"), F.col("v.ids").alias("vi"), F.col("v.data").alias("vd"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, bytes], tuple] = {}
         for batch in batches:
             for size, qi, qd, vi, vd in zip(*(batch.column(i) for i in range(5))):
-                size = size.as_py()
+                size, key = size.as_py(), (size.as_py(), qi.as_py())
                 ids = lambda x: np.frombuffer(x.as_py(), "<i8")
                 data = lambda x: unpack(x.as_py(), size)
-                found = search(ids(qi), data(qd), ids(vi), data(vd), k)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
+                found = search(ids(qi), data(qd), ids(vi), data(vd), k, kth(held[key], ids(qi), k) if key in held else None)
+                held[key] = merged([held[key], found], k) if key in held else found
+        for found in held.values():
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
 
     best = met.mapInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -245,6 +245,19 @@ def test_top_k_on_awkward_vectors(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_sends_no_copies_of_its_blocks(spark):
+    """Neither side is broadcast or repeated for salts, however small its files look; later blocks start from what earlier ones reached."""
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.2, 8)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(2)
+    best = topk.top_k(df, df.where("vec_id % 10 = 0"), k=3, vector_rows=16, query_rows=8)
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan and "Generate" not in plan
+    whole = np.floor(256 * np.array([v for _, v in rows], np.float32).astype(float)).astype(int)
+    expected = {(q, v) for q in range(0, 300, 10) for v in sorted((v for v in range(300) if v != q), key=lambda v: (-(whole[q] @ whole[v]), v))[:3]}
+    assert {(r["query_id"], r["vec_id"]) for r in best.collect()} == expected
+
+
 # --- personal data ----------------------------------------------------------------------------------------------------
 
 PATTERNS = {
