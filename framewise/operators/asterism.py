@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
@@ -64,12 +64,13 @@ def match(reference: DataFrame, targets: DataFrame, brightest: int = BRIGHTEST)
 
 def simplest_fit(pairs: DataFrame, by: list[str], tolerance: float) -> DataFrame:
     """(by, model, rms, transform) of pairs (by, x, y, u, v): the first of translation, euclidean, similarity and affine, each by least squares,
-    whose root mean square residual is within `tolerance` of the best one's. Sums by group, and one pass for the residuals."""
+    whose root mean square residual is within `tolerance` of the best one's. Sums by group, and one pass for the residuals of all four: a group's
+    fits are one row, which meets its pairs by sorting, as files tell nothing of how many there are. Pairs at one point have a translation only."""
     x, y, u, v = (F.col(c) for c in "xyuv")
     m = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias("m" + c) for c in "xyuv"], *[F.covar_pop(p, q).alias(p + q) for p, q in ("xx", "yy", "xy", "xu", "xv", "yu", "yv")])
     c = {k: F.col(k) for k in ("xx", "yy", "xy", "xu", "xv", "yu", "yv")}
     size = c["xx"] + c["yy"]
-    a, b = (c["xu"] + c["yv"]) / size, (c["xv"] - c["yu"]) / size
+    a, b = F.when(size > 1e-12, (c["xu"] + c["yv"]) / size), F.when(size > 1e-12, (c["xv"] - c["yu"]) / size)
     unit = F.sqrt(a * a + b * b)
     det = c["xx"] * c["yy"] - c["xy"] * c["xy"]
 
@@ -83,8 +84,13 @@ def simplest_fit(pairs: DataFrame, by: list[str], tolerance: float) -> DataFrame
         ("similarity", F.when(size > 1e-12, about_means(a, -b, b, a))),
         ("affine", F.when(F.abs(det) > 1e-12, about_means((c["xu"] * c["yy"] - c["yu"] * c["xy"]) / det, (c["yu"] * c["xx"] - c["xu"] * c["xy"]) / det, (c["xv"] * c["yy"] - c["yv"] * c["xy"]) / det, (c["yv"] * c["xx"] - c["xv"] * c["xy"]) / det))),
     ]
-    fits = m.select(*by, F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.lit(name).alias("model"), t.alias("t")) for i, (name, t) in enumerate(ladder)])).alias("f")).select(*by, "f.*").where("t IS NOT NULL")
-    px, py = geo.apply(F.col("t"), x, y)
-    rest = pairs.join(fits, by).groupBy(*by, "place", "model").agg(F.sqrt(F.avg((px - u) * (px - u) + (py - v) * (py - v))).alias("rms"), F.first("t").alias("transform"))
-    good = rest.withColumn("least", F.min("rms").over(Window.partitionBy(*by))).where(F.col("rms") <= F.col("least") + tolerance)  # four rows a group
-    return good.groupBy(*by).agg(F.min(F.struct("place", "model", "rms", "transform")).alias("g")).select(*by, "g.model", "g.rms", "g.transform")
+    fits = m.select(*by, F.array(*[F.struct(F.lit(name).alias("model"), t.alias("t")) for name, t in ladder]).alias("fits"))
+
+    def far(i: int) -> Column:
+        px, py = geo.apply(F.col("fits")[i]["t"], x, y)
+        return (px - u) * (px - u) + (py - v) * (py - v)
+
+    rest = pairs.join(fits.hint("merge"), by).groupBy(*by).agg(F.first("fits").alias("fits"), F.array(*[F.sqrt(F.avg(far(i))) for i in range(len(ladder))]).alias("rms"))
+    tried = F.zip_with("fits", "rms", lambda f, r: F.struct(f["model"].alias("model"), r.alias("rms"), f["t"].alias("transform")))
+    good = rest.withColumn("least", F.array_min("rms")).withColumn("tried", tried).where("least IS NOT NULL")
+    return good.select(*by, F.filter("tried", lambda f: f["rms"] <= F.col("least") + tolerance)[0].alias("__g")).select(*by, "__g.model", "__g.rms", "__g.transform")
