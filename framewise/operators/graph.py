@@ -83,10 +83,41 @@ def forest(nodes: DataFrame, links: DataFrame, most: int = 64) -> tuple[DataFram
     return materialize(out, "forest"), materialize(none if taken is None else taken.distinct(), "tree")
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, comp): the smallest node that links (a, b) reach."""
-    plain = links.select("a", "b", F.lit(1).alias("weight"), _identity().alias("t"))
-    return forest(nodes, plain)[0].select("node", "comp")
+def components(nodes: DataFrame, links: DataFrame, most: int = 64) -> DataFrame:
+    """(node, comp): the smallest node that links (a, b) reach.
+
+    Each round every component points at its smallest linked one if that is smaller, pointers are followed to their ends, and links within a component go, as do
+    copies of others; so what is left shrinks fast."""
+    spark, c = nodes.sparkSession, F.col
+    placed, path = written(nodes.select("node", c("node").alias("comp")).distinct(), "components")
+    known = lambda n: placed.select(c("node").alias(n))
+    ends = lambda t: t.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left, held = written(ends(links.select("a", "b")).join(known("a"), "a", "left_semi").join(known("b"), "b", "left_semi").select("a", "b"), "links")
+    for _ in range(most):
+        if left.isEmpty():
+            return placed
+        up, tops = _followed(left.groupBy(c("b").alias("c")).agg(F.min("a").alias("parent")), most)
+        at = lambda n: up.select(c("c").alias(n), c("parent").alias(f"p{n}"))
+        last, gone = path, held
+        placed, path = written(placed.join(up, c("comp") == c("c"), "left").select("node", F.coalesce("parent", "comp").alias("comp")), "components")
+        moved = left.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))
+        left, held = written(ends(moved), "links")
+        for x in (last, gone, tops):
+            remove(spark, x)
+    raise RuntimeError("the components didn't settle")
+
+
+def _followed(up: DataFrame, most: int) -> tuple[DataFrame, str]:
+    """up (c, parent), every parent smaller than its c, with each parent replaced by the end of its pointers; and where it is."""
+    now, path = written(up, "followed")
+    for _ in range(most):
+        far = now.select(F.col("c").alias("parent"), F.col("parent").alias("__p"))
+        if now.join(far, "parent", "left_semi").isEmpty():
+            return now, path
+        last = path
+        now, path = written(now.join(far, "parent", "left").select("c", F.coalesce("__p", "parent").alias("parent")), "followed")
+        remove(up.sparkSession, last)
+    raise RuntimeError("pointers didn't settle")
 
 
 def anchored(links: DataFrame, anchors: DataFrame) -> DataFrame:

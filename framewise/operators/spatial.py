@@ -20,6 +20,33 @@ def within(a: DataFrame, b: DataFrame, radius: float, keep: list[str] | None = N
     return left.join(right, ["cx", "cy"]).select(*keep, "a", "b", d2.alias("d2")).where(F.col("d2") <= radius * radius)
 
 
+def chained(points: DataFrame, size: float, ahead: int = 8) -> DataFrame:
+    """(p, q) of points (id, x, y, ...): each with the next `ahead` ones by x in its cell of `size`, and over the cells' borders likewise. A few near pairs of each
+    point, as many for any density; which pairs these are is no promise."""
+    cell = lambda c, off: F.floor((c + off) / size)
+    grids = points.where("x IS NOT NULL AND y IS NOT NULL").select(F.struct(*points.columns).alias("p"), F.explode(F.array(F.lit(0.0), F.lit(size / 2))).alias("off"))
+    grids = grids.select("p", "off", cell(F.col("p.x"), F.col("off")).alias("cx"), cell(F.col("p.y"), F.col("off")).alias("cy"))
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    w = Window.partitionBy("off", "cx", "cy").orderBy("p.x", "p.id")
+    pairs = grids.repartition(parts, "off", "cx", "cy").select("p", "off", F.array(*[F.lead("p", k).over(w) for k in range(1, ahead + 1)]).alias("q")).select("p", "off", F.explode("q").alias("q"))
+    same = (cell(F.col("p.x"), 0.0) == cell(F.col("q.x"), 0.0)) & (cell(F.col("p.y"), 0.0) == cell(F.col("q.y"), 0.0))
+    return pairs.where(F.col("q").isNotNull() & ((F.col("off") == 0) | ~same)).select("p", "q")
+
+
+def between(points: DataFrame, radius: float) -> DataFrame:
+    """(p, q): all pairs at most `radius` apart of points (id, x, y, comp, ...) whose comp differs. Comps are ordered by their size, and a point looks for larger ones
+    only, and only where its cell or one around it has any: where one comp fills a place, no pairs of its own are made."""
+    cell = lambda c: F.floor(F.col(c) / radius).cast("long")
+    sizes = points.groupBy("comp").agg(F.struct(F.count(F.lit(1)).alias("n"), "comp").alias("o"))
+    placed = points.where("x IS NOT NULL AND y IS NOT NULL").select(F.struct(*points.columns).alias("p"), F.col("comp"), cell("x").alias("cx"), cell("y").alias("cy")).join(sizes.hint("merge"), "comp").drop("comp")
+    near = F.explode(F.array(*[F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c")
+    top = placed.groupBy("cx", "cy").agg(F.max("o").alias("top")).select("top", near).groupBy("c.cx", "c.cy").agg(F.max("top").alias("top"))
+    left = placed.join(top.hint("merge"), ["cx", "cy"]).where("o < top").select("p", "o", near).select("p", "o", "c.*")
+    right = placed.select(F.col("p").alias("q"), F.col("o").alias("oq"), "cx", "cy")
+    dx, dy = F.col("p.x") - F.col("q.x"), F.col("p.y") - F.col("q.y")
+    return left.join(right.hint("merge"), ["cx", "cy"]).where((F.col("o") < F.col("oq")) & (dx * dx + dy * dy <= radius * radius)).select("p", "q")
+
+
 def nearest(pairs: DataFrame, of: str = "a", to: str = "b", by: list[str] | None = None) -> DataFrame:
     """The pair of least distance of each (by, of); equal distances go to the smaller `to`."""
     by = by or []

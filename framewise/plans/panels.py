@@ -11,7 +11,7 @@ from ..sources.shared import materialize
 from ..sources.tables import table
 from .catalogue import query
 
-WIDE, HIGH, REACH, SAME, LINKED = 64, 48, 80.0, 61, 20
+WIDE, HIGH, REACH, NEAR, SAME, LINKED = 64, 48, 80.0, 32.0, 61, 20
 _five = lambda c: (F.floor(F.col(c) * 100000 + 0.5) / 100000).alias(c)
 _FIVE = lambda x: f"floor(({x}) * 100000 + 0.5) / 100000"
 
@@ -34,13 +34,17 @@ better AS (
 tree AS (SELECT e.* FROM edge e WHERE NOT EXISTS (SELECT 1 FROM better r WHERE r.a = e.a AND r.b = e.b AND r.at = e.b))"""
 
 
-def _links(spark, d) -> tuple[DataFrame, DataFrame]:
-    """(exposures, links (a, b, inside, t)): t leads from b's sites to a's; inside counts the points of a grid over b that land in a."""
+def _exposures(spark, d) -> DataFrame:
     c = F.col
-    w = table(spark, d, "customer").select(c("c_custkey").alias("id"), (c("c_acctbal").cast("double") / 10).alias("x"), (c("c_nationkey") * 40.0).alias("y"), ((c("c_custkey") % 7 - 3) * 0.01).alias("th"))
-    pairs = spatial.within(w, w, REACH).where("a < b").select("a", "b")
-    side = lambda n: w.select(c("id").alias(n), c("x").alias(n + "x"), c("y").alias(n + "y"), c("th").alias(n + "th"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return table(spark, d, "customer").select(c("c_custkey").alias("id"), (c("c_acctbal").cast("double") / 10).alias("x"), (c("c_nationkey") * 40.0).alias("y"), ((c("c_custkey") % 7 - 3) * 0.01).alias("th"))
+
+
+def _links(pairs: DataFrame) -> DataFrame:
+    """Links (a, b, inside, t) of pairs (p, q) of exposures: t leads from b's sites to a's, a being the smaller one; inside counts the points of a grid over b that land in a."""
+    c = F.col
+    one = F.col("p.id") < F.col("q.id")
+    pairs = pairs.select(F.when(one, c("p")).otherwise(c("q")).alias("p"), F.when(one, c("q")).otherwise(c("p")).alias("q"))
+    both = pairs.where("p.id < q.id").select(*[c(f"{s}.{k}").alias(n + k) for s, n in (("p", "a"), ("q", "b")) for k in ("id", "x", "y", "th")]).withColumnRenamed("aid", "a").withColumnRenamed("bid", "b")
     turn, dx, dy = c("bth") - c("ath"), c("bx") - c("ax"), c("by") - c("ay")
     t = geo.affine(
         F.cos(turn), -F.sin(turn), F.cos("ath") * dx + F.sin("ath") * dy + ((c("a") * 31 + c("b") * 17) % 7 - 3) * 0.01,
@@ -53,25 +57,35 @@ def _links(spark, d) -> tuple[DataFrame, DataFrame]:
         x, y = geo.apply(c("t"), p["x"], p["y"])
         return (x >= 0) & (x < WIDE) & (y >= 0) & (y < HIGH)
 
-    return w, materialize(both.withColumn("inside", F.size(F.filter(grid, lands))), "overlaps")
+    return both.withColumn("inside", F.size(F.filter(grid, lands)))
 
 
-def _panels(w: DataFrame, links: DataFrame) -> DataFrame:
-    return graph.components(w.select(F.col("id").alias("node")), links.where(F.col("inside") >= SAME))
+def _panels(w: DataFrame) -> DataFrame:
+    """(node, comp): components over links of SAME points and more, which join exposures less than NEAR apart: three rows or columns of a grid outside are
+    27 of its 81 points. First a few near pairs of each exposure, then all pairs of exposures that aren't together yet, so no link is left out."""
+    same = lambda pairs: _links(pairs).where(F.col("inside") >= SAME).select("a", "b")
+    first = graph.components(w.select(F.col("id").alias("node")), same(spatial.chained(w, NEAR)))
+    apart = spatial.between(w.join(first.withColumnRenamed("node", "id"), "id"), NEAR)
+    comp = lambda n: first.select(F.col("node").alias(n), F.col("comp").alias(f"c{n}"))
+    rest = materialize(same(apart), "rest").join(comp("a"), "a").join(comp("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    joined = graph.components(first.select(F.col("comp").alias("node")), rest).select(F.col("node").alias("comp"), F.col("comp").alias("low"))
+    return first.join(joined, "comp").select("node", F.col("low").alias("comp"))
 
 
 def _forest(spark, d) -> tuple[DataFrame, DataFrame]:
     """The forest over the panels' representatives, their smallest exposures."""
-    w, links = _links(spark, d)
-    own = materialize(_panels(w, links).select(F.col("comp").alias("node")).distinct(), "representatives")
-    some = links.where(F.col("inside") >= LINKED).join(own.withColumnRenamed("node", "a"), "a", "left_semi").join(own.withColumnRenamed("node", "b"), "b", "left_semi")
-    return graph.forest(own, some.select("a", "b", F.col("inside").alias("weight"), "t"))
+    w = _exposures(spark, d)
+    own = materialize(_panels(w).select(F.col("comp").alias("id")).distinct().join(w, "id"), "representatives")
+    pairs = spatial.within(own, own, REACH).where("a < b").select("a", "b")
+    side = lambda n, s: own.select(F.col("id").alias(n), F.struct("id", "x", "y", "th").alias(s))
+    some = _links(pairs.join(side("a", "p"), "a").join(side("b", "q"), "b")).where(F.col("inside") >= LINKED)
+    return graph.forest(own.select(F.col("id").alias("node")), some.select("a", "b", F.col("inside").alias("weight"), "t"))
 
 
 @query(f"WITH RECURSIVE {_LINKS} SELECT id, panel, count(*) OVER (PARTITION BY panel) AS exposures FROM panel")
 def panel_components(spark, d):
     """The exposures of one pointing: three quarters of a grid over one land in the other; the panel's name is its smallest exposure."""
-    found = _panels(*_links(spark, d))
+    found = _panels(_exposures(spark, d))
     sizes = found.groupBy("comp").agg(F.count(F.lit(1)).alias("exposures"))
     return found.join(sizes, "comp").select(F.col("node").alias("id"), F.col("comp").alias("panel"), "exposures")
 
