@@ -1,7 +1,7 @@
 """Robust lines and planes by groups: a fixed number of reweighted least-squares passes, each two aggregations.
 
-A pass needs five sums by group and the median absolute residual; the fitted coefficients are one row for each group and join
-the data again. No group is collected."""
+A pass needs five sums by group and the median absolute residual, taken from counts; coefficients and scale are one row for each group,
+are written to the shared folder and join the data again, which is read anew each time. No group is collected."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.robust import MAD_SCALE, tukey_weight
+from ..sources.shared import materialize
+from . import rank
 
 
 def robust_line(df: DataFrame, group: list[str], x: str, y: str, passes: int = 3, cut: float = 4.0, floor: float = 1e-9, least: int = 8) -> DataFrame:
@@ -24,9 +26,11 @@ def robust_line(df: DataFrame, group: list[str], x: str, y: str, passes: int = 3
         fit = s.where((F.col("n") >= least) & (F.abs(det) > 1e-18)).select(*group, gain.alias("gain"), ((F.col("sy") - gain * F.col("sx")) / F.col("s")).alias("shift"), "n")
         if i == passes - 1:
             return fit
-        r = pairs.join(fit, group).withColumn("__r", F.col("__y") - F.col("gain") * F.col("__x") - F.col("shift"))
-        scale = r.groupBy(*group).agg((cut * MAD_SCALE * F.median(F.abs("__r"))).alias("__k"))
-        weighted = r.join(scale, group).withColumn("__w", tukey_weight(F.col("__r"), F.greatest("__k", F.lit(floor)))).select(*group, "__x", "__y", "__w")
+        fit = materialize(fit.drop("n"), "line")
+        off = F.col("__y") - F.col("gain") * F.col("__x") - F.col("shift")
+        med = rank.median_of_many(pairs.join(fit, group).select(*group, F.abs(off).alias("__r")), group, "__r")
+        fit = materialize(fit.join(med, group).withColumn("__k", F.greatest(cut * MAD_SCALE * F.col("med"), F.lit(floor))), "scale")
+        weighted = pairs.join(fit, group).withColumn("__w", tukey_weight(off, F.col("__k"))).select(*group, "__x", "__y", "__w")
     raise ValueError("at least one pass")
 
 
