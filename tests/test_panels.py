@@ -39,6 +39,15 @@ def test_components_of_dense_panels_make_few_pairs(spark, dense, monkeypatch):
     assert len(made) == 2 and sum(made) < 14 * 240  # all pairs within reach are 27,503
 
 
+@pytest.mark.parametrize("name", ["panel_tree"])
+def test_forests_link_representatives_only(spark, dense, monkeypatch, name):
+    made = []
+    real = panels._links
+    monkeypatch.setattr(panels, "_links", lambda pairs: (made.append(pairs.count()), real(pairs))[1])
+    assert same(spark, dense, name)
+    assert len(made) == 3 and made[2] < 240
+
+
 def test_pairs_between_components_are_all_there(spark):
     rows = [(i, float(i * 37 % 50), float(i * 11 % 23), (i * i) % 3) for i in range(60)] + [(60, None, 1.0, 2)]
     got = {frozenset((r["p"]["id"], r["q"]["id"])) for r in spatial.between(spark.createDataFrame(rows, "id long, x double, y double, comp long"), 6.0).collect()}
