@@ -39,7 +39,7 @@ def test_components_of_dense_panels_make_few_pairs(spark, dense, monkeypatch):
     assert len(made) == 2 and sum(made) < 14 * 240  # all pairs within reach are 27,503
 
 
-@pytest.mark.parametrize("name", ["panel_tree"])
+@pytest.mark.parametrize("name", ["panel_tree", "panel_transforms"])
 def test_forests_link_representatives_only(spark, dense, monkeypatch, name):
     made = []
     real = panels._links
